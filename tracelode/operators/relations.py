@@ -141,6 +141,7 @@ def oriented_representation(assets: DataFrame, representations: DataFrame, geome
     )
     joined = (
         assets.where(F.col("asset_kind") == "image")
+        .select("asset_id", "workspace_id", "current_generation")
         .join(r, ["asset_id", "workspace_id", "current_generation"], "left")
         .join(g, "representation_id", "left")
     )

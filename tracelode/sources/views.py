@@ -208,7 +208,7 @@ SELECT l_orderkey AS note_id,
 FROM lineitem""",
     "v_note_tag": "SELECT DISTINCT l_orderkey AS note_id, p_brand AS tag FROM lineitem JOIN part ON l_partkey = p_partkey",
     "v_rect": """
-SELECT l_orderkey AS locator_id, CAST(l_linenumber AS BIGINT) AS region_order, l_partkey AS part_id,
+SELECT l_orderkey AS locator_id, CAST(l_linenumber AS BIGINT) AS region_order, l_partkey AS part_id, l_returnflag AS flag,
   ABS(l_discount) * 5 AS x, ABS(l_tax) * 5 AS y,
   0.05 + l_quantity / 125 AS width, 0.05 + l_quantity / 125 AS height
 FROM lineitem""",
@@ -219,8 +219,56 @@ SELECT conv_id * 1000 + turn AS message_id, conv_id AS thread_id, turn % 3 AS ci
   CONCAT('l', CAST(conv_id AS STRING), ':0') AS locator_id,
   CASE WHEN conv_id % 6 = 0 THEN 'w1' ELSE 'w0' END AS workspace_id
 FROM conversations WHERE role = 'assistant'""",
-    "v_line": """
-SELECT doc_id, source, text FROM documents""",
+    "v_golden_case": """
+SELECT CONCAT('g', CAST(doc_id AS STRING)) AS case_id, doc_id,
+  CASE doc_id % 3 WHEN 0 THEN 'retrieval' WHEN 1 THEN 'evidence' ELSE 'answer' END AS layer,
+  CASE WHEN doc_id % 4 = 3 THEN 'mixed' WHEN doc_id % 5 = 4 THEN 'image' ELSE 'pdf' END AS modality,
+  CASE WHEN doc_id % 9 = 2 THEN 'no_answer' WHEN doc_id % 6 = 0 THEN 'exact_fact'
+    WHEN doc_id % 6 = 1 THEN 'cross_document_compare' WHEN doc_id % 6 = 2 THEN 'method_constraints'
+    WHEN doc_id % 6 = 3 THEN 'table' WHEN doc_id % 6 = 4 THEN 'chart' ELSE 'image' END AS task_type,
+  CASE WHEN doc_id % 9 = 2 THEN 'refuse' ELSE 'answer' END AS disposition,
+  CASE WHEN doc_id % 5 = 0 THEN 'selected' ELSE 'all_ready' END AS scope_mode
+FROM documents""",
+    "v_golden_fixture": """
+SELECT CONCAT('f', CAST(doc_id AS STRING)) AS fixture_id,
+  CASE WHEN doc_id % 5 = 4 THEN 'image' ELSE 'pdf' END AS modality,
+  CAST(1 + doc_id % 4 AS INT) AS page_number, CONCAT('page-', CAST(1 + doc_id % 4 AS STRING)) AS page_label,
+  CAST(1 + doc_id % 3 AS INT) AS n_regions
+FROM documents""",
+    "v_golden_target": """
+SELECT CONCAT('g', CAST(doc_id AS STRING)) AS case_id, CAST(0 AS INT) AS target_order,
+  CONCAT('f', CAST(CASE WHEN doc_id % 47 = 1 THEN doc_id + 100000000 ELSE doc_id END AS STRING)) AS fixture_id,
+  CASE WHEN doc_id % 5 = 4 THEN 'image_region' WHEN doc_id % 53 = 1 THEN 'image_region'
+    WHEN doc_id % 2 = 0 THEN 'pdf_page' ELSE 'pdf_region' END AS locator_kind,
+  CAST(CASE WHEN doc_id % 41 = 1 THEN 99 ELSE 1 + doc_id % 4 END AS INT) AS page_number,
+  CONCAT('page-', CAST(1 + doc_id % 4 AS STRING)) AS page_label,
+  CAST(CASE WHEN doc_id % 43 = 1 THEN 9 ELSE doc_id % 3 END AS INT) AS region_index
+FROM documents WHERE doc_id % 9 <> 2
+UNION ALL
+SELECT CONCAT('g', CAST(doc_id AS STRING)) AS case_id, CAST(1 AS INT) AS target_order,
+  CONCAT('f', CAST(doc_id - doc_id % 5 + CASE WHEN doc_id % 5 = 4 THEN 0 ELSE 4 END AS STRING)) AS fixture_id,
+  CASE WHEN doc_id % 5 = 4 THEN 'pdf_page' ELSE 'image_region' END AS locator_kind,
+  CAST(1 + (doc_id - doc_id % 5) % 4 AS INT) AS page_number,
+  CONCAT('page-', CAST(1 + (doc_id - doc_id % 5) % 4 AS STRING)) AS page_label, CAST(0 AS INT) AS region_index
+FROM documents WHERE doc_id % 9 <> 2 AND doc_id % 4 = 3""",
+    "v_execution": """
+SELECT CONCAT('g', CAST(doc_id AS STRING)) AS case_id,
+  CASE WHEN doc_id % 71 = 1 THEN 'answer' WHEN doc_id % 3 = 0 THEN 'retrieval' WHEN doc_id % 3 = 1 THEN 'evidence'
+    ELSE 'answer' END AS layer,
+  CASE WHEN doc_id % 4 = 3 THEN 'mixed' WHEN doc_id % 5 = 4 THEN 'image' ELSE 'pdf' END AS modality,
+  CAST(CASE WHEN doc_id % 9 = 2 THEN 0 WHEN doc_id % 4 = 3 THEN 2 WHEN doc_id % 67 = 1 THEN 5 ELSE 1 END AS INT) AS target_count,
+  doc_id % 59 <> 1 AS passed, doc_id % 61 <> 1 AS adapters_ran
+FROM documents WHERE doc_id % 73 <> 1
+UNION ALL
+SELECT CONCAT('g', CAST(doc_id AS STRING)) AS case_id, 'answer' AS layer, 'pdf' AS modality,
+  CAST(1 AS INT) AS target_count, true AS passed, true AS adapters_ran
+FROM documents WHERE doc_id % 79 = 1""",
+    "v_model_answer": """
+SELECT CONCAT('g', CAST(doc_id AS STRING)) AS case_id,
+  CASE WHEN doc_id % 7 = 1 THEN 'no match' ELSE CONCAT(lang, ' ', source) END AS output
+FROM documents WHERE doc_id % 3 = 2""",
+    "v_study_page": """
+SELECT DISTINCT representation_id, page_number FROM v_locator""",
 }
 
 # The chunk table as the checking engine computes it.
