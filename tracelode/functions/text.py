@@ -77,7 +77,7 @@ def chunk(df: DataFrame, text: str, carry: list[str], size: int = CHUNK_SIZE) ->
 def casefold(column: Column) -> Column:
     out = F.lower(column)
     for letter, plain in CASEFOLD.items():
-        out = F.regexp_replace(out, letter, plain)
+        out = F.replace(out, F.lit(letter), F.lit(plain))
     return out
 
 

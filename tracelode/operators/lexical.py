@@ -96,7 +96,8 @@ def substring_matches(queries: DataFrame, units: DataFrame) -> DataFrame:
     run_rows = units.select("workspace_id", "unit_id", F.explode(tx.text_runs(F.col("text"))).alias("run"))
     vocabulary = run_rows.select("run").distinct()
     matched = containing_runs(asked.select("term").distinct(), vocabulary)
-    unit_terms = run_rows.join(matched, "run").select("workspace_id", "unit_id", "term").distinct()
+    wanted = asked.select("workspace_id", "term").distinct().join(matched, "term")
+    unit_terms = run_rows.join(wanted, ["workspace_id", "run"]).select("workspace_id", "unit_id", "term").distinct()
     return asked.join(unit_terms, ["workspace_id", "term"])
 
 
@@ -193,9 +194,8 @@ def top_units(scores: DataFrame, units: DataFrame, k: int) -> DataFrame:
 def with_fill(scores: DataFrame, queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """Add score-0 units in id order, so that k locations exist whenever the scope has them.
 
-    At most k locations can be short, and the k first unscored locations by their smallest unit id
-    are among the k + (scored locations kept) first of the workspace; k per workspace are enough
-    once scored ones are set aside by the final dedupe.
+    A query short of k locations has fewer than k scored ones, so the first 2k locations of its
+    workspace hold at least k without a score.
     """
     first = units.groupBy("workspace_id", "asset_id", "location_key").agg(F.min("unit_id").alias("unit_id"))
     lowest = top_per(first, ["workspace_id"], [F.col("unit_id")], 2 * k).select("workspace_id", "unit_id")

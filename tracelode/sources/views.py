@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelode.functions import text as tx
-from tracelode.operators import scope
+from tracelode.operators import dense, scope
 from tracelode.session import shared_dir
 
 BASE_TABLES = (
@@ -132,8 +132,11 @@ FROM v_visible v JOIN v_embedding e ON e.unit_id = v.unit_id AND e.asset_id = v.
 WHERE e.is_current AND e.embedding_space = 'text' AND e.provider = 'main' AND e.model = 'base'
   AND e.version = 'v1' AND e.dimensions = 64""",
     "v_query": """
-SELECT item_id AS query_id, CONCAT('src', CAST(item_id % 20 AS STRING)) AS workspace_id, text
+SELECT CAST(item_id AS STRING) AS query_id, item_id, CONCAT('src', CAST(item_id % 20 AS STRING)) AS workspace_id, text
 FROM benchmark""",
+    "v_hquery": """
+SELECT q.query_id, q.item_id, q.workspace_id, q.text, p.label, p.embedding FROM v_query q
+JOIN v_probe p ON p.workspace_id = q.workspace_id AND p.label = q.item_id % 10""",
     "v_message": """
 SELECT conv_id * 1000 + turn AS message_id, conv_id AS thread_id, turn, role, text AS content,
   CASE WHEN turn = 0 THEN NULL WHEN turn % 4 = 3 THEN conv_id * 1000 + turn - 3
@@ -271,6 +274,68 @@ FROM documents WHERE doc_id % 3 = 2""",
 SELECT DISTINCT representation_id, page_number FROM v_locator""",
 }
 
+# Mean vector per workspace and label, as the checking engine computes it.
+VIEW_SQL["v_probe"] = """
+SELECT workspace_id || '#' || label AS query_id, workspace_id, label, list(v ORDER BY pos) AS embedding FROM (
+  SELECT d.source AS workspace_id, e.label, e.pos, round(avg(e.x), 9) AS v FROM documents d JOIN (
+    SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) e
+  ON e.vec_id = d.doc_id GROUP BY 1, 2, 3) GROUP BY 1, 2, 3"""
+VIEW_SQL["v_scored"] = """
+SELECT q.query_id, d.unit_id, d.embedding_id, d.asset_id, d.location_key, d.label AS unit_label, q.label AS query_label,
+  round(1 - coalesce(list_dot_product(q.embedding, CAST(d.embedding AS DOUBLE[])) / nullif(sqrt(list_dot_product(q.embedding, q.embedding))
+    * sqrt(list_dot_product(CAST(d.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[]))), 0), 0), 9) AS distance,
+  bit_count(xor(CAST(array_to_string([CASE WHEN x > 0 THEN '1' ELSE '0' END for x in q.embedding], '') AS BIT),
+    CAST(array_to_string([CASE WHEN x > 0 THEN '1' ELSE '0' END for x in d.embedding], '') AS BIT))) AS hamming
+FROM v_probe q JOIN v_dense d ON d.workspace_id = q.workspace_id"""
+VIEW_SQL["v_top_dense"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, unit_id) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, asset_id, location_key ORDER BY distance, unit_id) AS loc_rank FROM v_scored)
+  WHERE loc_rank = 1)"""
+VIEW_SQL["v_hdense"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, unit_id) AS rank FROM (
+  SELECT h.query_id, s.unit_id, s.asset_id, s.location_key, s.distance,
+    row_number() OVER (PARTITION BY h.query_id, s.asset_id, s.location_key ORDER BY s.distance, s.unit_id) AS lr
+  FROM v_hquery h JOIN v_scored s ON s.query_id = h.workspace_id || '#' || h.label) WHERE lr = 1)"""
+VIEW_SQL["v_lexed"] = """
+SELECT q.query_id, q.workspace_id, q.text AS query_text, v.unit_id, v.asset_id, v.location_key, v.page_number, v.text,
+  q.terms, replace(lower(v.text), 'ß', 'ss') AS body
+FROM (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS terms FROM v_query) q
+JOIN v_visible v ON v.workspace_id = q.workspace_id"""
+VIEW_SQL["v_simple"] = """
+SELECT *, n / len(terms) + CASE WHEN contains(body, replace(lower(query_text), 'ß', 'ss')) THEN 1.0 ELSE 0.0 END AS score
+FROM (SELECT *, len([x for x in terms if contains(body, x)]) AS n FROM v_lexed) WHERE n > 0"""
+VIEW_SQL["v_top_simple"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, asset_id, location_key ORDER BY score DESC, unit_id) AS lr FROM v_simple) WHERE lr = 1)"""
+VIEW_SQL["v_hybrid"] = """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, asset_id, location_key) AS rank FROM (
+  SELECT query_id, asset_id, location_key, round(sum(1.0 / (60 + rank)), 12) AS score, arg_min(unit_id, channel) AS unit_id FROM (
+    SELECT query_id, asset_id, location_key, unit_id, rank, 0 AS channel FROM v_hdense WHERE rank <= 10
+    UNION ALL SELECT s.query_id, s.asset_id, s.location_key, s.unit_id, s.rank, 1 FROM v_top_simple s JOIN v_hquery h ON h.query_id = s.query_id WHERE s.rank <= 10)
+  GROUP BY 1, 2, 3)) WHERE rank <= 6"""
+VIEW_SQL["v_bm25"] = """
+SELECT m.query_id, m.unit_id, v.asset_id, v.page_number, round(sum(m.idf * m.tf * 2.2 / (m.tf + 1.2 * (0.25 + 0.75 * m.n_tokens / m.avg_len))), 9) AS score
+FROM (SELECT q.query_id, p.unit_id, p.tf, l.n_tokens, w.avg_len, ln(1 + (w.n_units - d.df + 0.5) / (d.df + 0.5)) AS idf
+  FROM (SELECT query_id, workspace_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM v_query) q
+  JOIN (SELECT workspace_id, unit_id, term, count(*) AS tf FROM (SELECT workspace_id, unit_id,
+    lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS term FROM v_visible) GROUP BY ALL) p ON p.workspace_id = q.workspace_id AND p.term = q.term
+  JOIN (SELECT workspace_id, term, count(DISTINCT unit_id) AS df FROM (SELECT workspace_id, unit_id,
+    lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS term FROM v_visible) GROUP BY ALL) d ON d.workspace_id = q.workspace_id AND d.term = q.term
+  JOIN (SELECT unit_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n_tokens FROM v_visible) l ON l.unit_id = p.unit_id
+  JOIN (SELECT workspace_id, count(*) AS n_units, avg(len(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS avg_len FROM v_visible GROUP BY 1) w
+    ON w.workspace_id = q.workspace_id) m JOIN v_visible v ON v.unit_id = m.unit_id GROUP BY 1, 2, 3, 4"""
+VIEW_SQL["v_top_bm25"] = """
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, asset_id, page_number) AS rank
+FROM (SELECT query_id, asset_id, page_number, max(score) AS score FROM v_bm25 GROUP BY 1, 2, 3)"""
+VIEW_SQL["v_hpages"] = """
+SELECT query_id, asset_id, page_number, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS BIGINT) AS rank FROM (
+  SELECT h.query_id, h.asset_id, v.page_number, min(h.rank) AS r FROM v_hdense h JOIN v_visible v ON v.unit_id = h.unit_id WHERE h.rank <= 24 GROUP BY 1, 2, 3)"""
+VIEW_SQL["v_hybrid_pages"] = """
+SELECT query_id, asset_id, page_number, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS BIGINT) AS rank FROM (
+  SELECT h.query_id, h.asset_id, v.page_number, min(h.rank) AS r FROM v_hybrid h JOIN v_visible v ON v.unit_id = h.unit_id GROUP BY 1, 2, 3)"""
+VIEW_SQL["v_relevant"] = """
+SELECT DISTINCT h.query_id, d.asset_id, d.page_number FROM v_hquery h JOIN v_dense d ON d.workspace_id = h.workspace_id AND d.label = h.label"""
+
 # The chunk table as the checking engine computes it.
 CHUNK_CTE = """
 v_cut AS (
@@ -291,7 +356,7 @@ v_unit_base AS (
   regexp_replace(substr(text,st+1,e-st),'^\\s+|\\s+$','','g') AS text
  FROM v_cut WHERE length(regexp_replace(substr(text,st+1,e-st),'\\s','','g')) > 0)"""
 
-_NAME = re.compile(r"\bv_[a-z_]+\b")
+_NAME = re.compile(r"\bv_[a-z_0-9]+\b")
 
 
 def needed_views(sql: str) -> list[str]:
@@ -368,6 +433,11 @@ class Tables:
                 self("v_unit"), self("v_asset"), self("v_representation"), self("v_locator"),
                 self("v_signature"),
             )
+        if name == "v_probe":
+            vectors = self("embeddings").join(
+                self("documents").selectExpr("doc_id AS vec_id", "source AS workspace_id"), "vec_id"
+            )
+            return dense.label_probes(vectors, 64)
         if name == "v_dense":
             vectors = scope.embedding_scope(
                 self("v_embedding"), space="text", provider="main", model="base", version="v1",
