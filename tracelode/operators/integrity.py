@@ -223,3 +223,29 @@ def job_eligibility(requests: DataFrame, assets: DataFrame, jobs: DataFrame, uni
         ((action == "delete_retry") & ~F.coalesce(failed_delete, no), "no_failed_deletion"),
     ]
     return joined.withColumn("decision", first_code(rules, "allowed"))
+
+
+# Coordinate spaces of region locators.
+PDF_SPACE = "pdf_normalized_top_left_v1"
+IMAGE_SPACE = "image_normalized_top_left_v1"
+
+
+def typed_locators(located: DataFrame) -> DataFrame:
+    """Locators as exactly one filled struct (pdf or image) with the codes of broken rules.
+
+    located: locator_kind, page_number, space, crop_width, n_regions.
+    """
+    kind = F.col("locator_kind")
+    image = kind == "image_region"
+    rules = [
+        ((kind == "pdf_page") & (F.col("n_regions") > 0), "page_has_regions"),
+        ((kind != "pdf_page") & (F.col("n_regions") == 0), "regions_missing"),
+        ((kind == "pdf_region") & (F.col("space") != PDF_SPACE), "coordinate_space"),
+        (image & (F.col("space") != IMAGE_SPACE), "coordinate_space"),
+        ((kind == "pdf_region") & F.col("crop_width").isNull(), "geometry_missing"),
+    ]
+    return (
+        located.withColumn("errors", error_codes(rules))
+        .withColumn("pdf", F.when(~image, F.struct(F.col("page_number").alias("page"), "space", "crop_width")))
+        .withColumn("image", F.when(image, F.struct("space")))
+    )
