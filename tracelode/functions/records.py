@@ -98,10 +98,19 @@ def stream_events(df: DataFrame, key: str, stream: str) -> DataFrame:
             F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit("message")).alias("name"),
             F.array_join(data, "\n").alias("data"),
         )
-        .withColumn("is_json", F.expr("try_parse_json(data) IS NOT NULL"))
+        .withColumn("is_json", single_json("data"))
     )
 
 
+def single_json(column: str) -> Column:
+    """True when the text is exactly one JSON value.
+
+    The parser stops after a first value, so the text is read as the only item of an array.
+    """
+    items = F.expr(f"try_variant_get(try_parse_json(concat('[', {column}, ']')), '$', 'array<variant>')")
+    return F.coalesce(F.size(items) == 1, F.lit(False))
+
+
 def stream_remainder(stream: Column) -> Column:
     return F.element_at(stream_blocks(stream), -1)
 
