@@ -28,6 +28,7 @@ DUPLICATES = {"D1": 1, "D8": 8, "D64": 64}
 DIMENSIONS = 64
 CENTROID_WEIGHT = 4.0
 PERTURBATION = 0.1
+NEAREST_STALE = 4  # so many stale rows per signature copy a visible vector
 
 
 def _noise(*parts: Column) -> Column:
@@ -63,7 +64,8 @@ def scaled_corpus(seeds: DataFrame, seed: str = "seed") -> DataFrame:
         .withColumn("unit_order", F.col("_order") % factor)
         .drop("_order")
     )
-    family = F.when(F.col("cohort") == "outside", "outside").when(F.col("cohort") == "wrong_provider", "wrong_provider").otherwise("target")
+    stale = F.col("cohort").isin("old_generation", "old_index") & (F.col("source_order") < NEAREST_STALE)
+    family = F.when(visible | stale, "target").otherwise(F.col("cohort"))
     vector = F.transform(
         F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)),
         lambda i: F.when(i == F.col("position"), F.lit(CENTROID_WEIGHT)).otherwise(
