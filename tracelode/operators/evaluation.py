@@ -74,3 +74,20 @@ def verdict(metrics: DataFrame, latencies: DataFrame, stability: DataFrame) -> D
         quality.alias("quality_passed"), latency.alias("latency_passed"), "concurrency_passed",
         (quality & latency & F.col("concurrency_passed")).alias("eligible"),
     )
+
+
+def capacity_gates(recall: DataFrame, latencies: DataFrame, stability: DataFrame, visible: DataFrame) -> DataFrame:
+    """(gate, observed, passed) from one-row recall and visibility, and per-strategy latency and stability."""
+    p = latencies.agg(*[F.max(F.when(F.col("strategy") == s, F.col("p95"))).alias(f"{s}_p95") for s in ("dense", "hybrid")])
+    s = stability.agg(F.min("throughput").alias("throughput"), F.sum(F.col("errors") + F.col("drifted")).alias("unstable"))
+    one = recall.join(p).join(s).join(visible)
+    rows = [
+        ("annRecall", F.round("recall", 6), F.col("recall") >= CAPACITY["recall"]),
+        ("denseP95", F.col("dense_p95"), F.col("dense_p95") <= CAPACITY["dense_p95"]),
+        ("hybridP95", F.col("hybrid_p95"), F.col("hybrid_p95") <= CAPACITY["hybrid_p95"]),
+        ("throughput", F.round("throughput", 6), F.col("throughput") >= CAPACITY["throughput"]),
+        ("stability", F.col("unstable").cast("double"), F.col("unstable") == 0),
+        ("scopeAndCurrentChain", F.when(F.col("visible"), 1.0).otherwise(0.0), F.col("visible")),
+    ]
+    cells = F.array(*[F.struct(F.lit(n).alias("gate"), o.cast("double").alias("observed"), c.alias("passed")) for n, o, c in rows])
+    return one.select(F.explode(cells).alias("g")).select("g.*")

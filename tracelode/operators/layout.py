@@ -36,13 +36,14 @@ CONTINUATION = (
 
 def text_runs(pages: DataFrame) -> DataFrame:
     """Maximal visible runs of each page: page_id, run_start and the run's place among visible characters."""
-    pieces = pages.select("page_id", F.posexplode(F.split("text", f"(?<=[{tx.SPACE}])(?![{tx.SPACE}])|(?<![{tx.SPACE}])(?=[{tx.SPACE}])")).alias("n", "piece"))
+    pieces = pages.select("page_id", F.posexplode(F.split("text", f"[{tx.SPACE}]")).alias("n", "piece"))
     order = Window.partitionBy("page_id").orderBy("n")
-    visible = F.length(tx.strip(F.col("piece")))
-    placed = pieces.withColumn("_end", F.sum(F.length("piece")).over(order)).withColumn("_seen", F.sum(visible).over(order))
-    return placed.where(visible > 0).select(
+    placed = pieces.withColumn("_end", F.sum(F.length("piece") + 1).over(order) - 1).withColumn(
+        "_seen", F.sum(F.length("piece")).over(order)
+    )
+    return placed.where(F.col("piece") != "").select(
         "page_id", "piece", (F.col("_end") - F.length("piece")).alias("run_start"),
-        (F.col("_seen") - visible).alias("run_from"), F.col("_seen").alias("run_upto"),
+        (F.col("_seen") - F.length("piece")).alias("run_from"), F.col("_seen").alias("run_upto"),
     )
 
 
@@ -144,7 +145,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     chains shrink quickly; every round is checkpointed and counted.
     """
     both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpoint(nodes.select("node", F.col("node").alias("label")))
+    linked = both.select(F.col("a").alias("node")).distinct()
+    alone = nodes.select("node").join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
+    labels = checkpoint(linked.select("node", F.col("node").alias("label")))
     while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("_near"))
         stepped = labels.join(heard, labels["node"] == heard["a"], "left").select(
@@ -158,7 +161,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         changed = moved.where(F.col("_old") != F.col("label")).limit(1).count()
         labels = moved.select("node", "label")
         if not changed:
-            return labels.withColumnRenamed("label", "component")
+            return labels.withColumnRenamed("label", "component").unionByName(alone)
 
 
 def merge_figures(rects: DataFrame, page: str, item: str) -> DataFrame:
