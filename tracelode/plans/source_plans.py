@@ -19,10 +19,6 @@ from tracelode.sources import sinks as sk
 from tracelode.sources.views import Tables
 
 
-def json_text(value: str) -> str:
-    return f"replace(replace({value}, chr(92), concat(chr(92), chr(92))), '\"', concat(chr(92), '\"'))"
-
-
 EVAL_LINES = """SELECT doc_id AS line_no, CASE doc_id % 12
   WHEN 1 THEN '{"id": ' WHEN 2 THEN '[1, 2]' WHEN 3 THEN '   '
   WHEN 4 THEN concat('{"id":" ","query":"q","relevant":[{"sourceFilename":"a.pdf","pages":[1]}]}')
@@ -60,7 +56,7 @@ STUDY_ROWS = """SELECT event_id AS line_no, CASE WHEN event_id % 13 = 1 THEN ' '
     "src_task_csv",
     """SELECT event_id AS line_no, CASE event_id % 13 WHEN 1 THEN 'participant_id_required' WHEN 2 THEN 'task_type' WHEN 3 THEN 'question_required' WHEN 4 THEN 'workflow' WHEN 5 THEN 'times' WHEN 6 THEN 'times'
       WHEN 7 THEN 'times' WHEN 8 THEN 'saved_note' WHEN 9 THEN 'supported_conclusion' WHEN 10 THEN 'citation_locator_accuracy' WHEN 11 THEN 'region_gap' ELSE '' END AS errors,
-      CASE WHEN event_id % 13 IN (5, 6, 7) THEN NULL ELSE 1800.0 END AS seconds FROM events""",
+      CASE WHEN event_id % 13 IN (5, 6, 7) THEN NULL ELSE CAST(1800 AS DOUBLE) END AS seconds FROM events""",
 )
 def src_task_csv(t: Tables) -> DataFrame:
     return rd.check_study_results(t.sql(STUDY_ROWS)).select("line_no", "errors", "seconds")

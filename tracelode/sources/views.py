@@ -460,6 +460,7 @@ class Tables:
         names = [n for n in BASE_TABLES if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", text)]
         names += [n for n in dict.fromkeys(_NAME.findall(text)) if n in VIEW_SQL or n == "v_unit_base"]
         frames = {}
+        text = text.replace("{", "{{").replace("}", "}}")
         for n in names:
             text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", text)
             frames[n] = self(n)
