@@ -75,10 +75,12 @@ def chunk(df: DataFrame, text: str, carry: list[str], size: int = CHUNK_SIZE) ->
 
 
 def casefold(column: Column) -> Column:
-    out = F.lower(column)
+    low = F.lower(column)
+    out = low
     for letter, plain in CASEFOLD.items():
         out = F.replace(out, F.lit(letter), F.lit(plain))
-    return out
+    # Few texts hold such letters; the others skip the replacements.
+    return F.when(F.rlike(low, F.lit(f"[{''.join(CASEFOLD)}]")), out).otherwise(low)
 
 
 def strip(column: Column) -> Column:
@@ -115,7 +117,8 @@ def bm25_tokens(column: Column) -> Column:
             lambda run: F.concat(F.filter(F.split(run, ""), lambda c: c != ""), bigrams(run)),
         )
     )
-    return F.concat(latin_words(column), parts)
+    words = latin_words(column)
+    return F.when(F.rlike(column, F.lit(f"[{CJK}]")), F.concat(words, parts)).otherwise(words)
 
 
 def lexical_terms(column: Column) -> Column:
@@ -141,10 +144,7 @@ def text_runs(column: Column) -> Column:
     A search term made of such characters is a substring of the text exactly when it is a
     substring of one of these runs.
     """
-    folded = casefold(column)
-    return F.array_distinct(
-        F.concat(F.regexp_extract_all(folded, F.lit("([a-z0-9]+)"), 1), cjk_runs(folded))
-    )
+    return F.array_distinct(F.regexp_extract_all(casefold(column), F.lit(f"([a-z0-9]+|[{CJK}]+)"), 1))
 
 
 def slug(name: Column, fallback: Column) -> Column:

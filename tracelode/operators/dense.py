@@ -89,7 +89,7 @@ def _salted(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     spread = corpus.withColumn("_salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)))
     q = queries.select(
         "workspace_id", F.col("ids").alias("q_ids"), F.col("places").alias("q_places"), F.col("vectors").alias("q_vectors"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("_salt"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("_salt"),
     )
     return spread.join(q, ["workspace_id", "_salt"]).drop("_salt")
 

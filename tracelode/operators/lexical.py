@@ -65,20 +65,21 @@ def bm25_scores(queries: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
-def _grams(text: Column) -> Column:
-    """Distinct substrings of one to three characters."""
+def _grams(run: Column) -> Column:
+    """Keys under which a run can be found: its 3-grams, and for CJK runs also 1- and 2-grams."""
 
     def of(size: int) -> Column:
         return F.when(
-            F.length(text) >= size,
-            F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))),
+            F.length(run) >= size,
+            F.transform(F.sequence(F.lit(1), F.length(run) - size + 1), lambda i: F.substring(run, i, F.lit(size))),
         ).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+    latin = F.rlike(run, F.lit("^[a-z0-9]"))
+    return F.array_distinct(F.when(latin, of(3)).otherwise(F.concat(of(1), of(2), of(3))))
 
 
 def containing_runs(terms: DataFrame, runs: DataFrame) -> DataFrame:
-    """(term, run) pairs where the run contains the term.
+    """(term, run) pairs where the run contains the term (ASCII terms of 3 characters or more).
 
     Terms meet runs through the first (up to) three characters of the term, so only runs that
     share that gram are compared.
@@ -90,15 +91,40 @@ def containing_runs(terms: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+SHORT_TERM = "^[a-z0-9]{1,3}$"
+
+
+def _short_matches(asked: DataFrame, units: DataFrame) -> DataFrame:
+    """Terms of up to three ASCII characters, compared with the text itself.
+
+    Such terms sit in most texts, so an index saves nothing. There are at most 36 + 36^2 + 36^3 of them,
+    which bounds the list kept per workspace.
+    """
+    lists = asked.where(F.rlike("term", F.lit(SHORT_TERM))).groupBy("workspace_id").agg(
+        F.collect_set("term").alias("_terms")
+    )
+    folded = units.select("workspace_id", "unit_id", tx.casefold(F.col("text")).alias("_folded"))
+    return folded.join(lists, "workspace_id").select(
+        "workspace_id", "unit_id",
+        F.explode(F.filter("_terms", lambda t: F.contains(F.col("_folded"), t))).alias("term"),
+    )
+
+
+def _long_matches(asked: DataFrame, units: DataFrame) -> DataFrame:
+    """Longer terms, found through the vocabulary of the texts' runs."""
+    long = asked.where(~F.rlike("term", F.lit(SHORT_TERM)))
+    run_rows = units.select("workspace_id", "unit_id", F.explode(tx.text_runs(F.col("text"))).alias("run"))
+    vocabulary = run_rows.select("run").distinct()
+    matched = containing_runs(long.select("term").distinct(), vocabulary)
+    wanted = long.select("workspace_id", "term").distinct().join(matched, "term")
+    return run_rows.join(wanted, ["workspace_id", "run"]).select("workspace_id", "unit_id", "term").distinct()
+
+
 def substring_matches(queries: DataFrame, units: DataFrame) -> DataFrame:
     """(query_id, workspace_id, unit_id, term) where the case-folded unit text contains the term."""
     asked = query_terms(queries, tx.lexical_terms(F.col("text")))
-    run_rows = units.select("workspace_id", "unit_id", F.explode(tx.text_runs(F.col("text"))).alias("run"))
-    vocabulary = run_rows.select("run").distinct()
-    matched = containing_runs(asked.select("term").distinct(), vocabulary)
-    wanted = asked.select("workspace_id", "term").distinct().join(matched, "term")
-    unit_terms = run_rows.join(wanted, ["workspace_id", "run"]).select("workspace_id", "unit_id", "term").distinct()
-    return asked.join(unit_terms, ["workspace_id", "term"])
+    found = _short_matches(asked, units).unionByName(_long_matches(asked, units))
+    return asked.join(found, ["workspace_id", "term"])
 
 
 def term_counts(queries: DataFrame) -> DataFrame:
