@@ -206,17 +206,29 @@ def sign_words(vector: Column) -> Column:
     )
 
 
+def candidate_locations(queries: DataFrame, corpus: DataFrame, dims: int, n: int, metric: str) -> DataFrame:
+    """(query_id, unit_id): the best unit of each of the first n locations under `metric`.
+
+    Counting locations instead of rows means that copies of one passage cannot fill the window, so no
+    window has to be widened afterwards.
+    """
+    hits = _hits(queries, corpus, "unit_id", dims, n, metric, distinct=True)
+    best = hits.groupBy("query_id", "asset_id", "location_key").agg(
+        F.min(F.struct("distance", "unit_id")).alias("b")
+    ).select("query_id", "b.unit_id", "b.distance")
+    return top_per(best, ["query_id"], [F.col("distance"), F.col("unit_id")], n).select("query_id", "unit_id")
+
+
 def top_approximate(queries: DataFrame, corpus: DataFrame, dims: int, n: int, k: int, multiplier: int = 3) -> DataFrame:
     """Cosine-n and sign-bit multiplier*n candidates, distinct, re-ranked exactly, first k locations."""
-    near = top_rows(queries, corpus, "unit_id", dims, n, "cosine").select("query_id", "unit_id")
-    bits = top_rows(queries, corpus, "unit_id", dims, multiplier * n, "hamming").select("query_id", "unit_id")
+    near = candidate_locations(queries, corpus, dims, n, "cosine")
+    bits = candidate_locations(queries, corpus, dims, multiplier * n, "hamming")
     return rerank(queries, corpus, near.union(bits).distinct(), k)
 
 
 def top_prefiltered(queries: DataFrame, corpus: DataFrame, dims: int, n: int, k: int, multiplier: int = 3) -> DataFrame:
     """Sign-bit candidates only, re-ranked exactly: the approximate side on its own."""
-    bits = top_rows(queries, corpus, "unit_id", dims, multiplier * n, "hamming").select("query_id", "unit_id")
-    return rerank(queries, corpus, bits, k)
+    return rerank(queries, corpus, candidate_locations(queries, corpus, dims, multiplier * n, "hamming"), k)
 
 
 def rerank(queries: DataFrame, corpus: DataFrame, candidates: DataFrame, k: int) -> DataFrame:

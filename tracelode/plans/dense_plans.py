@@ -62,8 +62,14 @@ def top_binary_candidates(t: Tables) -> DataFrame:
     )
 
 
-ANN = """cand AS (SELECT query_id, unit_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, unit_id) AS a,
-    row_number() OVER (PARTITION BY query_id ORDER BY hamming, unit_id) AS b FROM v_scored) WHERE {keep}),
+def candidates_sql(measure: str, n: int) -> str:
+    return f"""SELECT query_id, unit_id FROM (SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY {measure}, unit_id) AS r FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id, asset_id, location_key ORDER BY {measure}, unit_id) AS l FROM v_scored) WHERE l = 1) WHERE r <= {n}"""
+
+
+def ann_sql(cosine: bool) -> str:
+    both = f"{candidates_sql('distance', 10)} UNION " if cosine else ""
+    return f"""cand AS ({both}{candidates_sql('hamming', 30)}),
   ann AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, unit_id) AS rank FROM (
     SELECT s.*, row_number() OVER (PARTITION BY s.query_id, s.asset_id, s.location_key ORDER BY s.distance, s.unit_id) AS lr
     FROM v_scored s JOIN cand c ON c.query_id = s.query_id AND c.unit_id = s.unit_id) WHERE lr = 1))"""
@@ -71,7 +77,7 @@ ANN = """cand AS (SELECT query_id, unit_id FROM (SELECT *, row_number() OVER (PA
 
 @query(
     "top_dense_ann",
-    f"""WITH {ANN.format(keep="a <= 10 OR b <= 30")}
+    f"""WITH {ann_sql(True)}
     SELECT query_id, asset_id, location_key, unit_id, round(distance, 6) AS distance, CAST(rank AS BIGINT) AS rank FROM ann WHERE rank <= {K}""",
 )
 def top_dense_ann(t: Tables) -> DataFrame:
@@ -114,7 +120,7 @@ def top_window_rounds(t: Tables) -> DataFrame:
 
 @query(
     "top_ann_recall",
-    f"""WITH {ANN.format(keep="b <= 30")}, ex AS (SELECT * FROM v_top_dense WHERE rank <= 10), ap AS (SELECT * FROM ann WHERE rank <= 10)
+    f"""WITH {ann_sql(False)}, ex AS (SELECT * FROM v_top_dense WHERE rank <= 10), ap AS (SELECT * FROM ann WHERE rank <= 10)
     SELECT ex.query_id, CAST(count(*) AS BIGINT) AS n_exact, CAST(count(ap.unit_id) AS BIGINT) AS n_shared,
       round(count(ap.unit_id) / count(*), 6) AS recall
     FROM ex LEFT JOIN ap ON ap.query_id = ex.query_id AND ap.asset_id = ex.asset_id AND ap.location_key = ex.location_key GROUP BY 1""",
