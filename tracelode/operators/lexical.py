@@ -92,17 +92,12 @@ def containing_runs(terms: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 SHORT_TERM = "^[a-z0-9]{1,3}$"
+DIRECT_TERMS = 4_000
 
 
-def _short_matches(asked: DataFrame, units: DataFrame) -> DataFrame:
-    """Terms of up to three ASCII characters, compared with the text itself.
-
-    Such terms sit in most texts, so an index saves nothing. There are at most 36 + 36^2 + 36^3 of them,
-    which bounds the list kept per workspace.
-    """
-    lists = asked.where(F.rlike("term", F.lit(SHORT_TERM))).groupBy("workspace_id").agg(
-        F.collect_set("term").alias("_terms")
-    )
+def _direct_matches(asked: DataFrame, units: DataFrame) -> DataFrame:
+    """Terms compared with the text itself, through one bounded list of terms per workspace."""
+    lists = asked.groupBy("workspace_id").agg(F.collect_set("term").alias("_terms"))
     folded = units.select("workspace_id", "unit_id", tx.casefold(F.col("text")).alias("_folded"))
     return folded.join(lists, "workspace_id").select(
         "workspace_id", "unit_id",
@@ -111,19 +106,29 @@ def _short_matches(asked: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _long_matches(asked: DataFrame, units: DataFrame) -> DataFrame:
-    """Longer terms, found through the vocabulary of the texts' runs."""
-    long = asked.where(~F.rlike("term", F.lit(SHORT_TERM)))
+    """Terms found through the vocabulary of the texts' runs, whatever their number."""
     run_rows = units.select("workspace_id", "unit_id", F.explode(tx.text_runs(F.col("text"))).alias("run"))
     vocabulary = run_rows.select("run").distinct()
-    matched = containing_runs(long.select("term").distinct(), vocabulary)
-    wanted = long.select("workspace_id", "term").distinct().join(matched, "term")
+    matched = containing_runs(asked.select("term").distinct(), vocabulary)
+    wanted = asked.join(matched, "term")
     return run_rows.join(wanted, ["workspace_id", "run"]).select("workspace_id", "unit_id", "term").distinct()
 
 
 def substring_matches(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """(query_id, workspace_id, unit_id, term) where the case-folded unit text contains the term."""
+    """(query_id, workspace_id, unit_id, term) where the case-folded unit text contains the term.
+
+    While every workspace asks for few distinct terms, each text is compared with them directly. Beyond
+    that only terms of up to three ASCII characters are (there are at most 36 + 36^2 + 36^3, and they sit
+    in most texts anyway); the others go through an index over the vocabulary.
+    """
     asked = query_terms(queries, tx.lexical_terms(F.col("text")))
-    found = _short_matches(asked, units).unionByName(_long_matches(asked, units))
+    terms = asked.select("workspace_id", "term").distinct()
+    largest = terms.groupBy("workspace_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= DIRECT_TERMS:
+        found = _direct_matches(terms, units)
+    else:
+        short = F.rlike("term", F.lit(SHORT_TERM))
+        found = _direct_matches(terms.where(short), units).unionByName(_long_matches(terms.where(~short), units))
     return asked.join(found, ["workspace_id", "term"])
 
 
