@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import text as tx
 from tracelode.scale import top_per
+from tracelode.session import checkpoint
 
 # Fixed values.
 K1 = 1.2
@@ -142,12 +143,13 @@ def term_counts(queries: DataFrame) -> DataFrame:
 def simple_scores(queries: DataFrame, units: DataFrame) -> DataFrame:
     """Share of matched terms, plus 1 when the whole query occurs in the text.
 
-    The whole query can only occur where every term does, so the text is compared for those alone.
+    The whole query can only occur where every term does, so the text is joined in for those alone.
+    The counts are needed twice and are therefore stored in between.
     """
     matched = substring_matches(queries, units).groupBy("query_id", "workspace_id", "unit_id").agg(
         F.count(F.lit(1)).alias("_matched")
     )
-    sized = matched.join(term_counts(queries), "query_id")
+    sized = checkpoint(matched.join(term_counts(queries), "query_id"))
     full = sized.where(F.col("_matched") == F.col("n_terms"))
     texts = full.join(units.select("unit_id", "text"), "unit_id").where(
         F.contains(tx.casefold(F.col("text")), F.col("folded"))

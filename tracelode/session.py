@@ -25,6 +25,9 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     for key, value in SESSION_CONF.items():
         builder = builder.config(key, value)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    # Local tables are small; smaller partitions keep all local threads busy.
+    builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+    builder = builder.config("spark.sql.files.openCostInBytes", "262144")
     builder = builder.config("spark.driver.memory", "12g")
     for key, value in conf.items():
         builder = builder.config(key, value)
