@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,13 +100,26 @@ DIRECT_TERMS = 4_000
 
 
 def _direct_matches(asked: DataFrame, units: DataFrame) -> DataFrame:
-    """Terms compared with the text itself, through one bounded list of terms per workspace."""
+    """Terms compared with the text itself, through one bounded list of terms per workspace.
+
+    The built-in `contains` takes about 20 microseconds per kilobyte, Python's substring search far
+    less, so the comparison runs on Arrow batches; only matches leave the task.
+    """
     lists = asked.groupBy("workspace_id").agg(F.collect_set("term").alias("_terms"))
     folded = units.select("workspace_id", "unit_id", tx.casefold(F.col("text")).alias("_folded"))
-    return folded.join(lists, "workspace_id").select(
-        "workspace_id", "unit_id",
-        F.explode(F.filter("_terms", lambda t: F.contains(F.col("_folded"), t))).alias("term"),
-    )
+
+    def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [
+                (space, unit, term)
+                for space, unit, body, terms in batch.itertuples(index=False, name=None)
+                for term in terms
+                if term in body
+            ]
+            yield pd.DataFrame(found, columns=["workspace_id", "unit_id", "term"])
+
+    joined = folded.join(lists, "workspace_id").select("workspace_id", "unit_id", "_folded", "_terms")
+    return joined.mapInPandas(matches, "workspace_id string, unit_id string, term string")
 
 
 def _long_matches(asked: DataFrame, units: DataFrame) -> DataFrame:
