@@ -21,8 +21,9 @@ def stable_uuid(namespace: str, value: Column) -> Column:
 
 def iso_utc(ts: Column) -> Column:
     """UTC ISO-8601 with offset; fractional seconds only when there are any."""
-    micros = F.date_format(ts, "SSSSSS")
-    base = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    micros = F.date_format(utc, "SSSSSS")
+    base = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
     return F.concat(base, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))
 
 
