@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import bpe
+from tracelode.llm import bpe, quality_rules, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op3_urls": urls.op3_urls,
     "op4_bpe": bpe.op4_bpe,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
 }
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {"op3_urls": urls.OP3_SQL}
