@@ -111,7 +111,8 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
         place = np.arange(len(buf)) - np.repeat(starts, sizes)
         term = _MIX[place & 63, buf]
         if sizes.max() > 64:
-            term = mix(term + (place >> 6).astype(np.uint64) * U64(0xA0761D6478BD642F))
+            far = place > 63
+            term[far] = mix(term[far] + (place[far] >> 6).astype(np.uint64) * U64(0xA0761D6478BD642F))
         some = sizes > 0
         out[some] = np.add.reduceat(term, starts[some])
     return mix(out + sizes.astype(np.uint64))

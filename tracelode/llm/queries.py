@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import bpe, quality_rules, urls
+from tracelode.llm import bpe, near_dups, quality_model, quality_rules, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op3_urls": urls.op3_urls,
     "op4_bpe": bpe.op4_bpe,
+    "op5_quality": quality_model.op5_quality,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op8_near_dups": near_dups.op8_near_dups,
 }
-CHECKS: dict[str, str] = {"op3_urls": urls.OP3_SQL}
+CHECKS: dict[str, str] = {"op3_urls": urls.OP3_SQL, "op8_near_dups": near_dups.OP8_SQL}
