@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import bpe, near_dups, quality_model, quality_rules, suffixes, urls
+from tracelode.llm import bpe, decontaminate, near_dups, quality_model, quality_rules, suffixes, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_urls": urls.op3_urls,
     "op4_bpe": bpe.op4_bpe,
