@@ -62,6 +62,18 @@ def pieces(texts: list[bytes], limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         yield at, len(texts)
 
 
+def word_pieces(texts: list[list[bytes]], limit: int = 200_000) -> Iterator[tuple[int, int]]:
+    """(from, to) ranges of about `limit` words."""
+    at = n = 0
+    for i, text in enumerate(texts):
+        if n and n + len(text) > limit:
+            yield at, i
+            at, n = i, 0
+        n += len(text)
+    if at < len(texts):
+        yield at, len(texts)
+
+
 class Ids(dict):
     """Numbers for words in order of first sight; the task's state, emptied when `full`."""
 

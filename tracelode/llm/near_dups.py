@@ -26,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import U64, forget, load, map_batches, mix, shared_table, utf8, word_hashes
+from tracelode.llm.common import U64, forget, load, map_batches, mix, shared_table, utf8, word_hashes, word_pieces
 from tracelode.llm.components import components
-from tracelode.llm.quality_model import word_pieces
 
 SHINGLE = 5
 ROWS = 5

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import U64, ascii_words, crc_mod, load, map_batches, mix, word_hashes
+from tracelode.llm.common import U64, ascii_words, crc_mod, load, map_batches, mix, word_hashes, word_pieces
 from tracelode.llm.quality_rules import repeated_words
 
 BUCKETS = 1 << 17
@@ -174,18 +174,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), start, SCORE, "doc_id long, score double")
 
 
-def word_pieces(texts: list[list[bytes]], limit: int = 200_000) -> Iterator[tuple[int, int]]:
-    """(from, to) ranges of about `limit` words."""
-    at = n = 0
-    for i, text in enumerate(texts):
-        if n and n + len(text) > limit:
-            yield at, i
-            at, n = i, 0
-        n += len(text)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     held = crc_mod("doc_id", 3) == 1
