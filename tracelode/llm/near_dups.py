@@ -5,10 +5,10 @@ class. The minima of many universal hashes form a signature; `rows` of them at a
 Classes that share a band are candidates, confirmed first on the signatures, then on the full sets.
 
 Within a band every class is compared with the smallest id. That links almost all there is; bands
-whose members then still lie in several components are compared block by block, pairs of different
-components only, with the signatures deciding which pairs are confirmed on full sets. So no pairs
-are emitted but likely ones, no band is cut off, and a link between any two members of a band is
-found. With t the threshold, the number of bands is chosen so that two documents at t share no band
+whose members then still lie in several components are compared block by block inside tasks, pairs of
+different components only, likely ones by signature on their full sets; a task returns just the
+links that join components. So pairs are not emitted, no band is cut off, and what any two members
+of a band would link is linked. Joins of texts ask for a merge join, whatever the size. With t the threshold, the number of bands is chosen so that two documents at t share no band
 with a probability of `miss` at most.
 
 Results: one row per id. Rows without words have an empty set and no links. Rows that repeat an id
@@ -31,8 +31,8 @@ from tracelode.llm.components import components
 
 SHINGLE = 5
 ROWS = 5
-#: Members of a band that are compared with each other at a time.
-BLOCK = 256
+#: Shingles of the members of a band that are compared at a time.
+BLOCK = 500_000
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -149,42 +149,51 @@ def _likely(pairs: DataFrame, least: float) -> DataFrame:
     return map_batches(pairs.select("a", "b", "sa", "sb"), start, PAIR, "a long, b long")
 
 
-def _between_blocks(members: DataFrame, least: float) -> DataFrame:
-    """Likely pairs of different components among the members (key, node, component, signature, blocks)
-    of each band. A band's members are dealt into blocks of about `BLOCK`; a task has two at a time."""
+def _between_blocks(members: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links that join different components among the members (key, node, component, signature, text,
+    blocks) of each band. A band's members are dealt into blocks of about `BLOCK` shingles; a task compares
+    two blocks and returns no more links than it takes to join what it found linked."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
-        "node", "component", "signature",
+        "node", "component", "signature", "text",
     )
 
     def compare(table: pa.Table) -> pa.Table:
         node = table["node"].to_numpy()
-        component = table["component"].to_numpy()
+        component = np.array(table["component"].to_numpy())
         block = table["block"].to_numpy()
         signature = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint32).reshape(len(node), -1)
+        sets = shingle_sets([lower_words(t) for t in table["text"].to_pylist()])
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out_a, out_b = [], []
+        links: list[tuple[int, int]] = []
         for x in left:
-            # Within one block each pair once; the rest of a task's pairs are of two blocks.
             ys = right[node[right] > node[x]] if i == j else right
             ys = ys[component[ys] != component[x]]
-            if len(ys):
-                ys = ys[(signature[ys] == signature[x]).mean(axis=1) >= least]
-                out_a.append(np.minimum(node[x], node[ys]))
-                out_b.append(np.maximum(node[x], node[ys]))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])}, schema=PAIR)
+            if not len(ys):
+                continue
+            alike = (signature[ys] == signature[x]).mean(axis=1)
+            for y in ys[np.argsort(-alike, kind="stable")][: int((alike >= least).sum())]:
+                if component[y] != component[x] and similar(sets[x], sets[y], percent):
+                    links.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+                    component[component == component[y]] = component[x]
+        return pa.table({"a": [a for a, _ in links], "b": [b for _, b in links]}, schema=PAIR)
 
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least `percent` of their union."""
+    common = len(np.intersect1d(one, two, assume_unique=True))
+    return 100 * common >= percent * (len(one) + len(two) - common)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
+    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
 
     def start():
         last: dict[int, np.ndarray] = {}
@@ -197,8 +206,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     last.clear()  # pairs come sorted by a
                     last[a] = shingle_sets([lower_words(batch.column(2)[k].as_py())])[0]
                 other = shingle_sets([lower_words(batch.column(3)[k].as_py())])[0]
-                common = len(np.intersect1d(last[a], other, assume_unique=True))
-                good.append(100 * common >= percent * (len(last[a]) + len(other) - common))
+                good.append(similar(last[a], other, percent))
             mask = pa.array(good)
             yield {"a": batch.column(0).filter(mask), "b": batch.column(1).filter(mask)}
 
@@ -219,33 +227,35 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     nodes = shared_table(
         with_id.where("n > 0").join(classes, ["f", "g"]).where("doc_id = node")
-        .dropDuplicates(["node", "f", "g"]).select("node", "signature", "bands"), "near-nodes",
+        .dropDuplicates(["node", "f", "g"]).select("node", "n", "signature", "bands"), "near-nodes",
     )
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where("size > 1")
     shared = shared_table(keyed.join(groups, "key"), "near-shared")
 
     def signed_pairs(pairs: DataFrame) -> DataFrame:
         one = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
         two = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-        return pairs.join(two, "b").join(one, "a")
+        return pairs.join(two.hint("merge"), "b").join(one.hint("merge"), "a")
 
     stars = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     stars = shared_table(_likely(signed_pairs(stars), least), "near-stars")
     wanted = shared.select(F.col("node").alias("doc_id")).distinct()
-    texts = shared_table(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "near-texts")
+    texts = shared_table(docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "near-texts")
     links = shared_table(_confirmed(stars, texts, percent), "near-links")
     found = components(links, "near-components")
 
     placed = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
+        F.sum("n").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low <> high")
     members = placed.select("key", "node", "component").join(
-        open_.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key"
-    ).join(nodes.select("node", "signature"), "node")
-    rest = shared_table(_between_blocks(members, least).distinct(), "near-rest")
-    more = _confirmed(rest, texts, percent)
+        open_.select("key", F.ceil(F.col("shingles") / BLOCK).cast("int").alias("blocks")), "key"
+    )
+    members = members.join(nodes.select("node", "signature"), "node").join(
+        texts.withColumnRenamed("doc_id", "node").hint("merge"), "node"
+    )
+    more = shared_table(_between_blocks(members, least, percent), "near-more")
     repeated = with_id.where("n > 0").join(classes, ["f", "g"]).groupBy("doc_id").agg(
         F.min("node").alias("a"), F.max("node").alias("b")
     )
@@ -260,7 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")
     )
     out = shared_table(out.union(none), "near-out")
-    for table in (classes, nodes, shared, stars, texts, links, rest, signed):
+    for table in (classes, nodes, shared, stars, texts, links, more, signed):
         forget(table)
     return out
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import bpe, decontaminate, language, near_dups, quality_model, quality_rules, suffixes, urls
+from tracelode.llm import bpe, decontaminate, language, near_dups, quality_model, quality_rules, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op4_bpe": bpe.op4_bpe,
     "op5_quality": quality_model.op5_quality,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_language": language.op10_language,
     "op8_near_dups": near_dups.op8_near_dups,
 }

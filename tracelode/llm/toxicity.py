@@ -46,11 +46,15 @@ def edits_allowed(term: str) -> int:
 
 @dataclass
 class Lexicon:
+    """`words` are matched with edits, `rare` ones and `stems` only as they are."""
+
     words: list[str]
     stems: list[str]
+    rare: frozenset = frozenset()
     trie: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        self.every = self.rare | set(self.words)
         for word in self.words:
             node = self.trie
             for c in word:
@@ -65,6 +69,8 @@ class Lexicon:
 
     def kind(self, word: str) -> int:
         """0: none, 1: a term, 2: near a term, 3: begins with a stem."""
+        if word in self.every:
+            return 1
         for n in STEMS:
             if word[:n] in self.stem_set and len(word) >= n:
                 return 3
@@ -196,16 +202,16 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, terms: int = TERMS) -> Lex
     ratio = ((F.col("toxic") + 0.1) / toxic) / ((F.col("other") + 0.1) / other)
     score = F.sqrt("toxic") * F.log(ratio)
     good = total.where((F.col("toxic") >= max(4, toxic // 400)) & (ratio >= 30))
-    found = [r["term"] for r in good.orderBy(F.desc(score), "term").limit(terms).collect()]
-    stems = sorted((t[:-1] for t in found if t.endswith("*")), key=len)
+    found = {r["term"]: r["toxic"] for r in good.orderBy(F.desc(score), "term").limit(terms).collect()}
     words = [t for t in found if not t.endswith("*")]
-    # A stem of whole terms only says what they say; a longer stem nothing that a shorter one does not.
+    # A stem of one whole term only says what that says; a longer stem nothing that a shorter one does not.
     kept: list[str] = []
-    for stem in stems:
+    for stem in sorted((t[:-1] for t in found if t.endswith("*")), key=len):
         whole = [w for w in words if w.startswith(stem)]
-        if not any(stem.startswith(s) for s in kept) and not (len(whole) == 1 and len(whole[0]) <= len(stem) + 4):
+        if not any(stem.startswith(s) for s in kept) and len(whole) != 1:
             kept.append(stem)
-    return Lexicon([w for w in words if not any(w.startswith(s) for s in kept)], kept)
+    often = max(4, toxic // 12)
+    return Lexicon([w for w in words if found[w] >= often], kept, frozenset(w for w in words if found[w] < often))
 
 
 def fit_weights(counts: np.ndarray, labels: np.ndarray, share: float, pull: float = 2.0) -> np.ndarray:
