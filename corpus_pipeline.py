@@ -1,25 +1,59 @@
-"""From raw documents to encoded training text, stage by stage."""
+"""From raw documents to encoded training text, stage by stage.
+
+Every stage takes what its predecessor kept. Low-quality documents go; of each group of near-duplicates
+(five words, similarity 0.8 or more) the one with the smallest id stays; strings of 400 bytes that still occur
+twice are cut out; documents that contain a benchmark item go; what is left is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracelode.llm import bpe
+from tracelode.llm import bpe, decontaminate, near_dups, quality_model, suffixes
 from tracelode.llm.common import load, shared_table
 
 
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from all labels."""
+    model = quality_model.fit(docs, load(spark, sf_dir, "labels"), F.lit(True))
+    return quality_model.good_documents(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dups.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the long strings that occur more than once."""
+    return suffixes.without_repeats(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontaminate.clean_documents(docs, load(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left."""
     return bpe.encode_documents(docs, bpe.vocabulary_path())
 
 
-STAGES = [("bpe_encoding", encode)]
+STAGES = [
+    ("quality_classifier", classify_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("bpe_encoding", encode),
+]
 
-#: No stage but the last is expressible in SQL.
+#: SQL expresses neither the trained classifier nor the encoder; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded documents of the folder; what stages return is written in between."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir), name)

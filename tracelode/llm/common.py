@@ -50,6 +50,18 @@ def map_batches(
     return df.mapInArrow(run, ddl)
 
 
+def keep_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
+    """Rows of `df` for which the function that `start()` makes in a task gives true; all columns stay."""
+
+    def run(batches):
+        good = start()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(good(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def pieces(texts: list[bytes], limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     """(from, to) ranges of `texts` of about `limit` bytes, one text at least."""
     at = size = 0

@@ -21,13 +21,14 @@ repeated results.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import load, map_batches, shared_table
+from tracelode.llm.common import keep_rows, load, map_batches, shared_table
 
 RATE = 0.1
 LEAST = 24
@@ -166,19 +167,37 @@ def _hits(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFra
     return map_batches(docs.select("doc_id", "text"), start, HIT, "doc_id long, item_id long, distance long, item_chars long, start long, end long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """Documents that contain an item of `benchmark`(item_id, text), with the item and the passage."""
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The normalised items, a bounded number of characters at a time."""
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_CHARS))
-    found = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        texts = [(r["item_id"], t) for r in block if len(t := normal(r["text"])) >= LEAST]
-        hits = shared_table(_hits(docs, texts, rate), "contaminated")
+        yield sorted((r["item_id"], t) for r in block if len(t := normal(r["text"])) >= LEAST)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """Documents that contain an item of `benchmark`(item_id, text), with the item and the passage."""
+    found = None
+    for items in _blocks(benchmark):
+        hits = shared_table(_hits(docs, items, rate), "contaminated")
         found = hits if found is None else found.union(hits)
     return found
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """Rows of `docs` that contain no item of `benchmark`, with all their columns."""
+    for items in _blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def start(sent=sent):
+            matcher = Matcher(sent.value, rate)
+            return lambda batch: [not matcher.find(normal(t)) for t in batch.column("text").to_pylist()]
+
+        docs = keep_rows(docs, start)
+    return docs
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))

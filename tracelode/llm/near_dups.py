@@ -275,6 +275,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out
 
 
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Rows of `docs`, with all their columns, that are kept; rows without an id stay."""
+    gone = near_duplicates(docs, percent).where("not kept").select("doc_id")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 

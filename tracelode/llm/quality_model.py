@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import U64, ascii_words, crc_mod, load, map_batches, mix, word_hashes, word_pieces
+from tracelode.llm.common import U64, ascii_words, crc_mod, keep_rows, load, map_batches, mix, word_hashes, word_pieces
 from tracelode.llm.quality_rules import repeated_words
 
 BUCKETS = 1 << 17
@@ -159,21 +159,27 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row, from its whole text."""
 
     def start():
-        def work(batch: pa.RecordBatch):
-            texts = [ascii_words(t) for t in batch.column(1).to_pylist()]
-            total, n = np.zeros(len(texts)), np.zeros(len(texts))
-            for a, b in word_pieces(texts):
-                for doc, bucket in subwords(texts[a:b], len(model.weight)):
-                    total[a:b] += np.bincount(doc, weights=model.weight[bucket], minlength=b - a)
-                    n[a:b] += np.bincount(doc, minlength=b - a)
-            out = _sigmoid(total / np.maximum(n, 1) + model.bias)
-            yield {"doc_id": batch.column(0), "score": np.round(out, 9)}
-
-        return work
+        return lambda batch: iter([{"doc_id": batch.column(0), "score": probabilities(batch.column(1), model)}])
 
     return map_batches(docs.select("doc_id", "text"), start, SCORE, "doc_id long, score double")
 
 
+def probabilities(column: pa.Array, model: Model) -> np.ndarray:
+    """Score of every text of a column."""
+    texts = [ascii_words(t) for t in column.to_pylist()]
+    total, n = np.zeros(len(texts)), np.zeros(len(texts))
+    for a, b in word_pieces(texts):
+        for doc, bucket in subwords(texts[a:b], len(model.weight)):
+            total[a:b] += np.bincount(doc, weights=model.weight[bucket], minlength=b - a)
+            n[a:b] += np.bincount(doc, minlength=b - a)
+    return np.round(_sigmoid(total / np.maximum(n, 1) + model.bias), 9)
+
+
+def good_documents(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of `docs` that score `least` or more, with all their columns."""
+    return keep_rows(docs, lambda: lambda batch: probabilities(batch.column("text"), model) >= least)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     held = crc_mod("doc_id", 3) == 1

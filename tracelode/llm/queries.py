@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import bpe, decontaminate, language, near_dups, quality_model, quality_rules, suffixes, toxicity, urls
+from tracelode.llm import bpe, decontaminate, language, near_dups, quality_model, quality_rules, suffixes, token_counts, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_language": language.op10_language,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_near_dups": near_dups.op8_near_dups,
 }
 CHECKS: dict[str, str] = {"op3_urls": urls.OP3_SQL, "op8_near_dups": near_dups.OP8_SQL}

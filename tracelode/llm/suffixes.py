@@ -435,5 +435,53 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return map_batches(rows, start, SPAN, ddl)
 
 
+def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Merged spans, shrunk until they begin and end between characters."""
+    out: list[tuple[int, int]] = []
+    for start, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    shrunk = []
+    for start, end in out:
+        while start < len(data) and data[start] & 0xC0 == 0x80:
+            start += 1
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        if start < end:
+            shrunk.append((start, end))
+    return shrunk
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """`docs` with all its columns, long repeated strings cut out of `text`; a character that is only partly
+    in one stays. `n_chars`, where there is such a column, is that of the new text."""
+    spans = find_spans(docs)
+    columns, schema = docs.columns, docs.schema
+    free = "_" * (1 + max(map(len, columns)))  # longer than any name there is
+    rows = docs.withColumn(free, row_key()).join(spans.withColumnsRenamed({"row": free, "spans": free + "s"}), free, "left")
+    rows = rows.select(*columns, free + "s")
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).to_pylist()
+            for k, found in enumerate(batch.column(len(columns)).to_pylist()):
+                if found:
+                    data = utf8(texts[k])
+                    spans = whole_characters(data, [(s["start"], s["end"]) for s in found])
+                    texts[k] = b"".join(cut(data, spans)[0]).decode("utf-8", "surrogatepass")
+            new = [batch.column(k) for k in range(len(columns))]
+            new[at] = pa.array(texts, batch.schema.field(at).type)
+            if "n_chars" in columns:
+                k = columns.index("n_chars")
+                chars = [None if t is None else len(t) for t in texts]
+                new[k] = pa.array(chars, batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(new, columns)
+
+    return rows.mapInArrow(run, schema)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(load(spark, sf_dir, "documents"))
