@@ -145,6 +145,8 @@ def fit_patterns(
     own kind; nothing is believed about other kinds.
     """
     rules = patterns.shape[1]
+    if not len(patterns):
+        return np.empty(0), np.full((rules, rules + 1, 2), 0.5), np.full(rules + 1, 1 / (rules + 1))
     is_vote = np.stack([patterns == v for v in (0, 1)], axis=2).astype(float)
     weight = believed * counts.sum() + 2
     prior = np.ones((rules, rules + 1, 2))

@@ -36,7 +36,7 @@ from tracelode.llm.common import U64, forget, load, map_batches, mix, pieces, sh
 MATCH, GRAM = 400, 64
 REACH = MATCH - GRAM
 #: Contexts of one gram that are compared together, and into how many ranges of beginnings more are divided.
-LARGE, STRIPES = 20_000, 8
+LARGE, STRIPES = 3_000, 8
 #: Text bytes of a batch, and the number of batches of one build at most.
 BATCH_BYTES, BATCHES = 512 << 20, 16
 
@@ -278,7 +278,7 @@ def _repeating(table: pa.Table) -> dict:
     }
 
 
-def _in_groups(batches, chunk: int = 4_000):
+def _in_groups(batches, chunk: int = 2_000):
     """Tables of whole groups of equal `key`, of about `chunk` rows, from batches sorted by `key`."""
     rest: list[pa.RecordBatch] = []
     n = 0
@@ -318,8 +318,8 @@ def _stripes(rows: DataFrame) -> DataFrame:
     def start():
         def work(batch: pa.RecordBatch):
             table = pa.Table.from_batches([batch])
-            for at in range(0, table.num_rows, 4_000):
-                part = table.slice(at, 4_000)
+            for at in range(0, table.num_rows, 2_000):
+                part = table.slice(at, 2_000)
                 grid, _, _ = _padded(part)
                 up, down = _power(grid.size + 1)
                 sums = np.zeros(grid.size + 1, np.uint64)
@@ -351,7 +351,8 @@ def repeated_ranges(found: DataFrame) -> DataFrame:
     whole = classes.where(f"n > 1 and left + right + {GRAM} >= {MATCH}").select(
         "f", "c", (-F.col("left")).alias("start"), (F.col("right") + GRAM).alias("end")
     )
-    sizes = classes.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # Written, so that the join with a gram of very many contexts can be split.
+    sizes = shared_table(classes.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "suffix-sizes")
     several = classes.select("f", "c", "row").join(sizes, "f")
     several = known.select("f", "c", "row", "left", "right", "bytes").join(several, ["f", "c", "row"])
     several = shared_table(several, "suffix-several")

@@ -37,7 +37,7 @@ REPORTING = frozenset(
 )
 KINDS = ("exact", "near", "stem", "quoted")
 #: Bias and weights that the model starts from and is drawn to.
-PRIOR = np.array([-3.0, 4.0, 3.0, 4.0, 0.5])
+PRIOR = np.array([-3.0, 5.0, 4.5, 5.0, 0.5])
 
 
 def edits_allowed(term: str) -> int:
@@ -199,7 +199,7 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, terms: int = TERMS) -> Lex
     if not toxic or not other:
         return Lexicon([], [])
     total = seen.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    ratio = ((F.col("toxic") + 0.1) / toxic) / ((F.col("other") + 0.1) / other)
+    ratio = ((F.col("toxic") + 0.5) / toxic) / ((F.col("other") + 0.5) / other)
     score = F.sqrt("toxic") * F.log(ratio)
     good = total.where((F.col("toxic") >= max(4, toxic // 400)) & (ratio >= 30))
     found = {r["term"]: r["toxic"] for r in good.orderBy(F.desc(score), "term").limit(terms).collect()}
@@ -216,7 +216,7 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, terms: int = TERMS) -> Lex
 
 def fit_weights(counts: np.ndarray, labels: np.ndarray, share: float, pull: float = 2.0) -> np.ndarray:
     """Logistic weights by Newton's method, rows weighted to the true share of label 1."""
-    x = np.concatenate([np.ones((len(labels), 1)), np.log1p(counts)], axis=1)
+    x = np.concatenate([np.ones((len(labels), 1)), np.log2(1 + counts)], axis=1)
     weights = PRIOR.copy()
     if not len(labels):
         return weights
@@ -244,7 +244,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fits: Column, sample_rows
     weights = fit_weights(counts, rows["label"].to_numpy().astype(float), share)
     linear = F.lit(float(weights[0]))
     for w, kind in zip(weights[1:], KINDS, strict=True):
-        linear = linear + F.log1p(F.col(kind)) * float(w)
+        linear = linear + F.log2(1 + F.col(kind)) * float(w)
     score = F.round(1 / (1 + F.exp(-linear)), 9)
     return count_hits(docs, lexicon).select("doc_id", score.alias("score"), *KINDS)
 
