@@ -37,7 +37,7 @@ def rows_of(names, rows):
 def kinds(rows, names):
     out = {}
     for i, n in enumerate(names):
-        seen = {type(r[i]).__name__ for r in rows[:2000] if r[i] is not None}
+        seen = {type(r[i]).__name__ for r in rows if r[i] is not None}
         out[n] = "/".join(sorted(seen))
     return out
 

@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tracelode import session
+from tracelode.operators import ranges as rg
 from tracelode.sources import readers as rd
 from tracelode.sources import sinks as sk
 
@@ -96,3 +98,50 @@ def test_report_and_key(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(path).collect()] == ['{"n":2,"z":"a"}', '{"n":1,"z":"b"}']
     key = df.limit(1).select(sk.object_key(F.lit("w"), F.lit("x"), F.lit("Scan.v2.PNG")), sk.object_key(F.lit("w"), F.lit("x"), F.lit("noext"))).first()
     assert key == ("workspaces/w/assets/x/original.png", "workspaces/w/assets/x/original.pdf")
+
+
+def test_labels_are_checked_by_type(spark):
+    lines = [
+        '{"id": "a", "query": "q", "relevant": [{"sourceFilename": "f.pdf", "pages": [1, 2]}]}',
+        '{"id": "b", "query": "q", "relevant": [{"sourceFilename": "f.pdf", "pages": ["1"]}]}',
+        '{"id": "c", "query": "q", "relevant": {"sourceFilename": "f.pdf", "pages": [1]}}',
+        '{"id": "d", "query": "q", "relevant": [{"sourceFilename": "f.pdf", "pages": [1.5]}]}',
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")
+    got = {r["case_id"]: r["errors"] for r in rd.check_eval_lines(df).collect()}
+    assert got["a"] == "" and got["b"] == "invalid_pages" and got["c"] == "missing_labels" and got["d"] == "invalid_pages"
+
+
+def test_study_header_may_be_quoted(spark, tmp_path):
+    path = tmp_path / "study.csv"
+    path.write_text(",".join(f'"{c}"' for c in rd.STUDY_COLUMNS) + "\n" + ",".join("x" for _ in rd.STUDY_COLUMNS) + "\n")
+    assert rd.read_study_results(spark, str(path)).count() == 1
+
+
+def test_report_is_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "report")
+    for n in (1, 2):
+        sk.write_report(spark.range(n).withColumn("b", F.lit(n)), path, ["id"])
+    assert sorted((r["id"], r["b"]) for r in spark.read.json(path).collect()) == [(0, 2), (1, 2)]
+    assert [p.name for p in tmp_path.iterdir()] == ["report"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    for master in ("local", "local[8]", "local[*]"):
+        session.require_local(master)
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.require_local(master)
+
+
+def test_excerpt_behind_many_blank_units(spark):
+    box = {"x": 0.1, "y": 0.1, "width": 0.2, "height": 0.2}
+    selected = spark.createDataFrame([(1, 1, *box.values())], "k int, region_id int, x double, y double, width double, height double")
+    units = spark.createDataFrame(
+        [(1, n, n, " " if n < 2400 else f"t{n}", *box.values()) for n in range(2500)],
+        "k int, unit_order int, unit_id int, unit_text string, x double, y double, width double, height double",
+    )
+    captions = spark.createDataFrame([(1, "caption")], "k int, caption string")
+    row = rg.region_excerpt(selected, units, captions, "k").first()
+    want = "\n".join("" if n < 2400 else f"t{n}" for n in range(2500))[:4000]
+    assert row["from_units"] and row["excerpt"] == want

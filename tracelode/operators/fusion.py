@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.functions import text as tx
 from tracelode.scale import top_per
 
 # Fixed values.
@@ -54,7 +55,7 @@ def context(ranked: DataFrame) -> DataFrame:
 def user_prompt(question: Column, context_text: Column, selection: Column | None = None) -> Column:
     picked = F.lit("")
     if selection is not None:
-        trimmed = F.trim(selection)
+        trimmed = tx.strip(selection)
         picked = F.when(
             F.coalesce(trimmed, F.lit("")) != "",
             F.concat(F.lit("\n\nSelected text from the PDF:\n"), F.substring(trimmed, 1, SELECTION_CHARS)),

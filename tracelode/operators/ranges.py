@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelode.functions import text as tx
+
 BIN = 2048
 CELLS = 8
 
@@ -131,9 +133,9 @@ def region_excerpt(
 ) -> DataFrame:
     """Text behind a multi-region selection.
 
-    When every selected rectangle touches a unit, the touched units in region then unit order,
-    each once; otherwise the caption. A unit text takes at least two characters of the limited
-    excerpt, so only the first limit/2 units can matter.
+    When every selected rectangle touches a unit, the touched units in region then unit order, each
+    once; otherwise the caption. Units stay as long as they begin within the first `limit` characters of
+    the joined text; a blank one adds its separator, so at most `limit` units are gathered.
     """
     box = ["x", "y", "width", "height"]
     l = prefixed(selected.select(key, "region_id", *box), "l_", box)
@@ -142,12 +144,14 @@ def region_excerpt(
     hit_regions = pairs.groupBy(key).agg(F.count_distinct("region_id").alias("_hit"))
     wanted = selected.groupBy(key).agg(F.count_distinct("region_id").alias("_wanted"))
     firsts = pairs.groupBy(key, "unit_id", "unit_order", "unit_text").agg(F.min("region_id").alias("_region"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("_region", "unit_order", "unit_id"))
-    kept = firsts.withColumn("_rank", rank).where(F.col("_rank") <= limit // 2)
+    firsts = firsts.withColumn("_text", tx.strip(F.col("unit_text")))
+    order = Window.partitionBy(key).orderBy("_region", "unit_order", "unit_id")
+    before = F.sum(F.length("_text") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    kept = firsts.withColumn("_rank", F.row_number().over(order)).withColumn("_before", before)
+    kept = kept.where(F.coalesce("_before", F.lit(0)) < limit)
     joined = kept.groupBy(key).agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.trim("unit_text").alias("t")))), lambda s: s["t"]),
-            "\n",
+            F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_text"))), lambda s: s["_text"]), "\n"
         ).alias("_joined")
     )
     return (
@@ -155,7 +159,7 @@ def region_excerpt(
         .withColumn("from_units", F.coalesce(F.col("_hit") == F.col("_wanted"), F.lit(False)))
         .withColumn(
             "excerpt",
-            F.substring(F.when(F.col("from_units"), F.col("_joined")).otherwise(F.trim("caption")), 1, limit),
+            F.substring(F.when(F.col("from_units"), F.col("_joined")).otherwise(tx.strip(F.col("caption"))), 1, limit),
         )
         .select(key, "from_units", "excerpt")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelode.functions import text as tx
 from tracelode.scale import hot_ordinal
 
 
@@ -17,7 +18,7 @@ def source_available(rows: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def note_title(title: Column) -> Column:
-    trimmed = F.trim(title)
+    trimmed = tx.strip(title)
     return F.coalesce(F.when(trimmed != "", trimmed), F.lit("Untitled note"))
 
 

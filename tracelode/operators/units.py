@@ -40,7 +40,7 @@ def merge_ranges(ranges: DataFrame, texts: DataFrame, key: str) -> DataFrame:
 
 def line_offsets(lines: DataFrame, key: str) -> DataFrame:
     """Trimmed non-blank lines joined by line breaks: range of each in the joined text."""
-    kept = lines.withColumn("line", F.trim("line")).where(F.col("line") != "")
+    kept = lines.withColumn("line", tx.strip(F.col("line"))).where(F.col("line") != "")
     upto = F.sum(F.length("line") + 1).over(Window.partitionBy(key).orderBy("line_no"))
     return kept.withColumn("char_end", upto - 1).withColumn("char_start", F.col("char_end") - F.length("line"))
 

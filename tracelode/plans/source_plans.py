@@ -168,7 +168,7 @@ def snk_report(t: Tables) -> DataFrame:
 
 @query(
     "snk_replace_generation",
-    """WITH x AS (SELECT asset_id, unit_order, 3 AS g FROM v_unit WHERE doc_id % 2 = 0 AND unit_order < 3 UNION ALL SELECT asset_id, unit_order, CAST(doc_id % 2 + 1 AS INT) FROM v_unit WHERE doc_id % 2 <> 0)
+    """WITH x AS (SELECT asset_id, unit_order, 3 AS g FROM v_unit WHERE doc_id % 2 = 0 UNION ALL SELECT asset_id, unit_order, CAST(doc_id % 2 + 1 AS INT) FROM v_unit WHERE doc_id % 2 <> 0)
     SELECT asset_id, CAST(count(*) AS BIGINT) AS n_units, CAST(max(g) AS BIGINT) AS generation FROM x GROUP BY 1""",
 )
 def snk_replace_generation(t: Tables) -> DataFrame:
@@ -178,7 +178,7 @@ def snk_replace_generation(t: Tables) -> DataFrame:
     units = t("v_unit").withColumn("cell", F.col("doc_id") % 16)
     sk.write_generation(units.withColumn("generation", (F.col("doc_id") % 2 + 1).cast("int")).select(*columns), path, ["cell"])
     old = t.spark.read.parquet(path)
-    fresh = units.where("doc_id % 2 = 0 AND unit_order < 3").withColumn("generation", F.lit(3)).select(*columns)
+    fresh = units.where("doc_id % 2 = 0").withColumn("generation", F.lit(3)).select(*columns)
     # Rows are replaced by asset inside their cell, then only the cells that changed are written.
     cells = fresh.select("cell").distinct()
     changed = sk.replace_generation(old.join(cells, "cell", "left_semi").select(*columns), fresh, ["asset_id"])

@@ -92,20 +92,27 @@ REPLY = """SELECT conv_id * 1000 + turn AS message_id, e.event_order, e.name, e.
     """WITH m AS (SELECT conv_id * 1000 + turn AS message_id, conv_id * 7200 + turn * 60 + 3 AS last, trim(regexp_replace(CASE WHEN (conv_id + turn) % 11 = 3 THEN '' ELSE text END, '^\\s+|\\s+$', '', 'g')) AS body, conv_id + turn AS k
       FROM conversations WHERE role = 'assistant')
     SELECT message_id, CASE WHEN k % 9 = 0 THEN 'failed' WHEN k % 7 = 0 THEN 'interrupted' WHEN body = '' THEN 'failed' ELSE 'completed' END AS status,
-      md5(CASE WHEN k % 9 = 0 THEN 'model unavailable' ELSE body END) AS answer_hash FROM m WHERE last + 300 <= (SELECT max(last) FROM m) - 600""",
+      md5(CASE WHEN k % 9 = 0 THEN 'model unavailable' ELSE body END) AS answer_hash FROM m WHERE k % 9 = 0 OR k % 7 <> 0 OR last + 300 <= (SELECT max(last) FROM m)""",
 )
 def st_answer_assembly(t: Tables) -> DataFrame:
     events = t.spark.sql(REPLY, conversations=stream_of(t, "conversations"))
-    return st.drain_append(st.answers(events), "answers").select("message_id", "status", F.md5("answer").alias("answer_hash"))
+    folded = st.drain_updates(st.answers(events), ["message_id"], "answers")
+    newest = folded.agg(F.max("last_event").alias("newest"))
+    judged = st.judge_answers(folded.join(F.broadcast(newest)), F.col("newest"))
+    return judged.select("message_id", "status", F.md5("answer").alias("answer_hash"))
 
 
 @query(
     "st_incremental_ingest",
-    """SELECT CAST(doc_id AS VARCHAR) AS asset_id, CAST(count(*) AS BIGINT) AS n_units, CAST(sum(char_end - char_start) AS BIGINT) AS n_chars, true AS embedded FROM v_unit_base GROUP BY 1""",
+    """SELECT CAST(doc_id AS VARCHAR) AS asset_id, CAST(count(*) * CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_units,
+      CAST(sum(char_end - char_start) * CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_chars, true AS embedded FROM v_unit_base GROUP BY doc_id""",
 )
 def st_incremental_ingest(t: Tables) -> DataFrame:
+    """Every third asset has a second page with the same text."""
+    pages = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     records = stream_of(t, "documents").select(
-        F.col("doc_id").cast("string").alias("asset_id"), (F.lit(1) + F.col("doc_id") % 2).alias("generation"), "text"
+        F.col("doc_id").cast("string").alias("asset_id"), (F.lit(1) + F.col("doc_id") % 2).alias("generation"),
+        F.explode(pages).alias("page_number"), "text",
     )
     units = st.ingest_stream(records, ub.hashing_embedder(32), 32)
     return units.groupBy("asset_id").agg(

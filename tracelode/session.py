@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,8 +40,9 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    It is the cluster's `spark.checkpoint.dir`. Only where that is unset, as in
-    local tests, a temporary folder is taken and remembered on the session.
+    It is the cluster's `spark.checkpoint.dir`. Only where that is unset and everything runs in one
+    local process, as in tests, a temporary folder is taken and remembered on the session; on a
+    cluster its executors would each write to a disk of their own, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
@@ -48,11 +50,20 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         path = spark.conf.get("tracelode.scratch.dir", None)
     if not path:
+        require_local(spark.sparkContext.master)
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("tracelode.scratch.dir", path)
     return path
 
 
+def require_local(master: str) -> None:
+    """Fail unless driver and executors are one process."""
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(
+            f"spark.checkpoint.dir is not set, and {master} has executors that do not share this machine's folders"
+        )
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage: store `df` in the shared folder and read it back.
 

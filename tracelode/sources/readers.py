@@ -6,6 +6,8 @@ with an `errors` column, so they run on any table.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,10 @@ def check_eval_lines(lines: DataFrame) -> DataFrame:
         "line_no", "line", "_v", "_json", text("id").alias("case_id"), text("query").alias("query"),
         F.from_json(F.get_json_object("line", "$.relevant"), _LABELS).alias("relevant"),
     )
+    # By type, not by text: "1" is no page number and an object is no list.
+    kind = F.coalesce(F.expr("schema_of_variant(try_variant_get(_v, '$.relevant', 'variant'))"), F.lit(""))
+    pages_typed = ~F.rlike(kind, F.lit(r"(?i)pages: (?!ARRAY<(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))>)"))
+    is_list = F.startswith(kind, F.lit("ARRAY<"))
     pages_ok = F.forall(
         F.col("relevant"),
         lambda r: (F.size(r["pages"]) > 0)
@@ -63,7 +69,7 @@ def check_eval_lines(lines: DataFrame) -> DataFrame:
     names = F.transform("relevant", lambda r: F.coalesce(tx.strip(r["sourceFilename"]), F.lit("")))
     firsts = parsed.where(F.coalesce("case_id", F.lit("")) != "").groupBy("case_id").agg(F.min("line_no").alias("_first"))
     known = parsed.join(firsts, "case_id", "left")
-    labelled = F.coalesce(F.size("relevant") > 0, F.lit(False))
+    labelled = F.coalesce(F.size("relevant") > 0, F.lit(False)) & is_list
     code = first_code(
         [
             (F.col("_v").isNull(), "invalid_json"),
@@ -74,7 +80,7 @@ def check_eval_lines(lines: DataFrame) -> DataFrame:
             (~labelled, "missing_labels"),
             (F.exists(names, lambda n: n == ""), "invalid_filename"),
             (F.size(F.array_distinct(names)) < F.size(names), "repeated_filename"),
-            (~F.coalesce(pages_ok, F.lit(False)), "invalid_pages"),
+            (~F.coalesce(pages_ok & pages_typed, F.lit(False)), "invalid_pages"),
         ],
         "",
     )
@@ -84,7 +90,7 @@ def check_eval_lines(lines: DataFrame) -> DataFrame:
 def read_study_results(spark: SparkSession, path: str) -> DataFrame:
     """Study CSV with quoted delimiters and line breaks; the header must be the 18 names in order."""
     header = spark.read.text(path).first()
-    names = (header[0].lstrip("﻿").split(",") if header else [])
+    names = next(csv.reader([header[0].lstrip("﻿")]), []) if header else []
     if names != STUDY_COLUMNS:
         missing = sorted(set(STUDY_COLUMNS) - set(names))
         extra = sorted(set(names) - set(STUDY_COLUMNS))

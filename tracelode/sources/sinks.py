@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +45,19 @@ def check_derived(objects: DataFrame) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, sort_by: list[str]) -> None:
-    """JSON report with sorted keys, replaced as a whole by Spark's commit."""
-    df.select(*sorted(df.columns)).sort(*sort_by).write.mode("overwrite").json(path)
+    """JSON report with sorted keys. It is written beside `path` and takes its place when complete, so a
+    failed run leaves the old report as it was."""
+    spark = df.sparkSession
+    fresh, old = f"{path}-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
+    df.select(*sorted(df.columns)).sort(*sort_by).write.json(fresh)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = files.exists(place(path))
+    if had:
+        files.rename(place(path), place(old))
+    files.rename(place(fresh), place(path))
+    if had:
+        files.delete(place(old), True)
 
 
 def replace_generation(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:

@@ -100,15 +100,21 @@ def expired_leases(jobs: DataFrame, delay: str = DELAY) -> DataFrame:
     """Running jobs whose lease of 15 minutes ran out.
 
     A session with a gap of the lease time, keyed by job, closes exactly when the lease ends; a later
-    event of the same job (a heartbeat) extends it. The job id is the key, so no key grows hot.
+    running event of the same job (a heartbeat) extends it. An event with another status, at `finished_at`
+    where there is such a column, joins the session too, and only sessions whose last event is a running
+    one are expired. The job id is the key, so no key grows hot. Sessions that the watermark has not passed
+    at the end of the input stay open.
     """
-    running = jobs.where(
-        (F.col("status") == "running") & F.col("job_type").isin(RUNNABLE) & F.col("started_at").isNotNull()
-    ).withWatermark("started_at", delay)
-    lease = F.session_window("started_at", LEASE)
-    return running.groupBy("job_id", lease.alias("w")).agg(
-        F.max("asset_id").alias("asset_id"), F.max("attempt").alias("attempt")
-    ).select("job_id", "asset_id", "attempt", F.col("w.end").alias("expired_at"))
+    finished = F.col("finished_at") if "finished_at" in jobs.columns else F.lit(None).cast("timestamp")
+    at = F.when(F.col("status") == "running", F.col("started_at")).otherwise(finished)
+    events = jobs.withColumn("_at", at).where(
+        F.col("job_type").isin(RUNNABLE) & F.col("_at").isNotNull()
+    ).withWatermark("_at", delay)
+    # Of events at one time the final status counts.
+    order = F.struct("_at", F.col("status") != "running")
+    return events.groupBy("job_id", F.session_window("_at", LEASE).alias("w")).agg(
+        F.max("asset_id").alias("asset_id"), F.max("attempt").alias("attempt"), F.max_by("status", order).alias("_last")
+    ).where(F.col("_last") == "running").select("job_id", "asset_id", "attempt", F.col("w.end").alias("expired_at"))
 
 
 def never_started(jobs: DataFrame) -> DataFrame:
@@ -134,42 +140,53 @@ def recover(expired: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
-def answers(events: DataFrame, delay: str = DELAY, idle: str = IDLE) -> DataFrame:
-    """Event rows of an answer (meta, delta, citations, done, error) as one message with its status.
+def answers(events: DataFrame) -> DataFrame:
+    """Event rows of an answer (meta, delta, citations, done, error), folded into one row per message.
 
-    A session per message closes after `idle` without events. Deltas are joined in order; done with text
-    is completed, an error or an empty answer is failed, and no end at all is interrupted. One message
-    has a bounded number of events: it is a single streamed reply.
+    An update-mode aggregate keyed by message, so a pause of any length never splits a message. Deltas are
+    joined in order; one message has a bounded number of events: it is a single streamed reply.
     """
-    window = F.session_window("ts", idle)
     parts = F.array_sort(F.collect_list(F.when(F.col("name") == "delta", F.struct("event_order", "data"))))
-    grouped = events.withWatermark("ts", delay).groupBy("message_id", window.alias("w")).agg(
-        F.array_join(F.transform(parts, lambda p: p["data"]), "").alias("_text"),
-        F.max(F.when(F.col("name") == "done", 1).otherwise(0)).alias("_done"),
-        F.max(F.when(F.col("name") == "error", F.col("data"))).alias("_error"),
-        F.max("ts").alias("last_event"),
+    return events.groupBy("message_id").agg(
+        tx.strip(F.array_join(F.transform(parts, lambda p: p["data"]), "")).alias("text"),
+        F.max(F.when(F.col("name") == "done", 1).otherwise(0)).alias("done"),
+        F.max(F.when(F.col("name") == "error", F.col("data"))).alias("error"), F.max("ts").alias("last_event"),
     )
-    text = tx.strip(F.col("_text"))
+
+
+def judge_answers(folded: DataFrame, newest: Column, idle: str = IDLE) -> DataFrame:
+    """Messages with their status: done with text is completed, an error or an empty answer is failed, and
+    no end within `idle` of the time `newest` is interrupted. Messages that may still go on are left out."""
+    over = F.col("last_event") + F.expr(f"INTERVAL {idle}") <= newest
     status = (
-        F.when(F.col("_error").isNotNull(), "failed").when((F.col("_done") == 1) & (text != ""), "completed")
-        .when(F.col("_done") == 1, "failed").otherwise("interrupted")
+        F.when(F.col("error").isNotNull(), "failed").when((F.col("done") == 1) & (F.col("text") != ""), "completed")
+        .when(F.col("done") == 1, "failed").when(over, "interrupted")
     )
-    answer = F.when(F.col("_error").isNotNull(), F.col("_error")).otherwise(text)
-    return grouped.select("message_id", status.alias("status"), answer.alias("answer"), "last_event")
+    answer = F.when(F.col("error").isNotNull(), F.col("error")).otherwise(F.col("text"))
+    return folded.select("message_id", status.alias("status"), answer.alias("answer"), "last_event").where(
+        F.col("status").isNotNull()
+    )
+
+
+PAGE = ["asset_id", "generation", "page_number"]
 
 
 def ingest_batch(records: DataFrame, embedder: ub.Embedder, dimensions: int, size: int = tx.CHUNK_SIZE) -> DataFrame:
-    """Page records (asset_id, generation, text) to embedded units with stable ids."""
-    newest = records.groupBy("asset_id").agg(F.max_by(F.struct("generation", "text"), "generation").alias("r"))
-    chunks = tx.chunk(newest.select("asset_id", "r.generation", "r.text"), "text", ["asset_id", "generation"], size)
-    units = chunks.withColumn("unit_id", F.concat_ws(":", "asset_id", "generation", "char_start"))
+    """Page records (asset_id, generation, page_number, text) to embedded units with stable ids.
+
+    Without a page number a record is page 1. A page that comes twice in one batch counts once.
+    """
+    if "page_number" not in records.columns:
+        records = records.withColumn("page_number", F.lit(1))
+    pages = records.groupBy(*PAGE).agg(F.max("text").alias("text"))
+    units = tx.chunk(pages, "text", PAGE, size).withColumn("unit_id", F.concat_ws(":", *PAGE, "char_start"))
     return units.join(ub.embed(units, embedder, dimensions), "unit_id")
 
 
 def ingest_stream(
     records: DataFrame, embedder: ub.Embedder, dimensions: int, out: str | None = None, state: str | None = None
 ) -> DataFrame:
-    """Drain page records into units; per asset only the newest generation stays visible.
+    """Drain page records into units; per asset only the pages of the newest generation stay visible.
 
     A batch writes its own folder by overwriting it, so repeating a batch after a lost executor or a
     restart gives the same table.
@@ -189,11 +206,11 @@ def ingest_stream(
 
 
 def published(units: DataFrame) -> DataFrame:
-    """Units of the newest generation (then newest batch) of each asset."""
-    newest = units.groupBy("asset_id").agg(F.max(F.struct("generation", "batch")).alias("_n"))
-    return units.join(newest, "asset_id").where(
-        (F.col("generation") == F.col("_n.generation")) & (F.col("batch") == F.col("_n.batch"))
-    ).drop("_n")
+    """Units of the newest generation of each asset, each page as its newest batch has it."""
+    newest = units.groupBy("asset_id").agg(F.max("generation").alias("_generation"))
+    current = units.join(newest, "asset_id").where(F.col("generation") == F.col("_generation")).drop("_generation")
+    last = current.groupBy(*PAGE).agg(F.max("batch").alias("_batch"))
+    return current.join(last, PAGE).where(F.col("batch") == F.col("_batch")).drop("_batch")
 
 
 def twin_closed(last_event: Column, gap_seconds: int, delay_seconds: int, newest_micros: Column) -> Column:
