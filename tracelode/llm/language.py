@@ -32,6 +32,8 @@ from tracelode.llm.common import U64, Ids, crc_mod, forget, load, map_batches, s
 
 ORDER = 4
 CONTEXTS = 200_000
+#: Words that are taken apart at a time.
+WORDS = 30_000
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -69,15 +71,17 @@ def context_counts(docs: DataFrame) -> DataFrame:
                 for w in utf8(text).split():
                     counts[w] = counts.get(w, 0) + 1
             for lang, counts in words.items():
-                if not counts:
-                    continue
-                word, keys = context_keys(list(counts))
-                weight = np.fromiter(counts.values(), np.int64, len(counts))[word]
-                every = np.concatenate(keys)
-                some = every > 0
-                key, where = np.unique(every[some], return_inverse=True)
-                n = np.bincount(where, weights=np.tile(weight, len(keys))[some]).astype(np.int64)
-                yield {"lang": [lang] * len(key), "key": key.view(np.int64), "n": n}
+                key, n = np.empty(0, np.uint64), np.empty(0)
+                known, times = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+                for at in range(0, len(known), WORDS):
+                    word, keys = context_keys(known[at : at + WORDS])
+                    weight = times[at : at + WORDS][word]
+                    for found in keys:
+                        some = found > 0
+                        key, where = np.unique(np.concatenate([key, found[some]]), return_inverse=True)
+                        n = np.bincount(where, weights=np.concatenate([n, weight[some]]))
+                if len(key):
+                    yield {"lang": [lang] * len(key), "key": key.view(np.int64), "n": n.astype(np.int64)}
 
         return work
 
@@ -98,9 +102,11 @@ class Trees:
 
     def lengths(self, words: list[bytes]) -> np.ndarray:
         """Code length of every word in every language."""
+        parts = [self._lengths(words[at : at + WORDS]) for at in range(0, len(words), WORDS)]
+        return np.concatenate([np.zeros((0, len(self.langs))), *parts])
+
+    def _lengths(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), len(self.langs)))
-        if not words:
-            return out
         word, keys = context_keys(words)
         bits = np.full((len(word), len(self.langs)), np.nan, np.float32)
         paid = np.zeros_like(bits)
