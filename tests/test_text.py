@@ -45,9 +45,9 @@ def test_terms_of_mixed_and_cjk_queries(spark):
     assert one(spark, "Ab 图表", tx.bm25_tokens) == ["ab", "图", "表", "图表"]
 
 
-@pytest.mark.parametrize("direct", [0, 4000])
-def test_simple_scores_with_cjk_and_whole_query(spark, monkeypatch, direct):
-    monkeypatch.setattr(lx, "DIRECT_TERMS", direct)
+@pytest.mark.parametrize("block", [1, 4000])
+def test_simple_scores_with_cjk_and_whole_query(spark, monkeypatch, block):
+    monkeypatch.setattr(lx, "TERM_BLOCK", block)
     queries = spark.createDataFrame([("q1", "w", "检索增强"), ("q2", "w", "big Straße"), ("q3", "w", "a")], "query_id string, workspace_id string, text string")
     units = spark.createDataFrame(
         [("u1", "w", "关于检索增强的说明"), ("u2", "w", "a BIG STRASSE here"), ("u3", "w", "zzz"), ("u4", "v", "检索增强")],
@@ -61,9 +61,9 @@ def test_simple_scores_with_cjk_and_whole_query(spark, monkeypatch, direct):
     assert ("q1", "u4") not in got and not [k for k in got if k[1] == "u3"]
 
 
-@pytest.mark.parametrize("direct", [0, 4000])
-def test_long_terms_match_inside_words(spark, monkeypatch, direct):
-    monkeypatch.setattr(lx, "DIRECT_TERMS", direct)
+@pytest.mark.parametrize("block", [1, 4000])
+def test_long_terms_match_inside_words(spark, monkeypatch, block):
+    monkeypatch.setattr(lx, "TERM_BLOCK", block)
     queries = spark.createDataFrame([("q", "w", "tion station")], "query_id string, workspace_id string, text string")
     units = spark.createDataFrame([("u1", "w", "substations"), ("u2", "w", "notion"), ("u3", "w", "ti on")], "unit_id string, workspace_id string, text string")
     got = {r["unit_id"]: round(r["score"], 6) for r in lx.simple_scores(queries, units).collect()}

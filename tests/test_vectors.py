@@ -49,7 +49,7 @@ def test_salted_path_gives_the_same(spark, monkeypatch):
     rows = [(f"u{i:04d}", "w", "a", f"p{i}", rng.normal(size=4).tolist()) for i in range(300)]
     q = queries(spark, rng.normal(size=(4, 4)))
     wide = dense.top_locations(q, corpus(spark, rows), 4, 5).collect()
-    monkeypatch.setattr(dense, "BROADCAST_QUERIES", 1)
+    monkeypatch.setattr(dense, "BROADCAST_BYTES", 32)
     salted = dense.top_locations(q, corpus(spark, rows), 4, 5).collect()
     assert sorted(wide) == sorted(salted)
 

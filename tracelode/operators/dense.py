@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tracelode.scale import fits, top_per
 
 BLOCK_ROWS = 2048
-BROADCAST_QUERIES = 20_000
+BROADCAST_BYTES = 64 << 20  # of query vectors
 SALTS = 16
 DIGITS = 9  # distances are rounded so that equal vectors tie on every machine
 
@@ -94,9 +94,10 @@ def _salted(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return spread.join(q, ["workspace_id", "_salt"]).drop("_salt")
 
 
-def meet_blocks(queries: DataFrame, query_blocks: DataFrame, corpus_blocks: DataFrame) -> DataFrame:
-    """Query blocks next to the corpus blocks of their workspace."""
-    if fits(queries.select("query_id"), BROADCAST_QUERIES):
+def meet_blocks(queries: DataFrame, query_blocks: DataFrame, corpus_blocks: DataFrame, dims: int) -> DataFrame:
+    """Query blocks next to the corpus blocks of their workspace; query vectors are broadcast up to
+    `BROADCAST_BYTES`, a row having 8 bytes a dimension."""
+    if fits(queries.select("query_id"), BROADCAST_BYTES // (8 * dims)):
         return _meet(F.broadcast(query_blocks), corpus_blocks)
     return _salted(query_blocks, corpus_blocks)
 
@@ -150,7 +151,7 @@ def block_top(met: DataFrame, dims: int, k: int, metric: str, distinct: bool) ->
 def _hits(queries: DataFrame, corpus: DataFrame, item: str, dims: int, k: int, metric: str, distinct: bool) -> DataFrame:
     q = pack(queries, "query_id", "embedding", dims, place=False)
     c = pack(corpus, item, "embedding", dims, place=True)
-    return block_top(meet_blocks(queries, q, c), dims, k, metric, distinct)
+    return block_top(meet_blocks(queries, q, c, dims), dims, k, metric, distinct)
 
 
 def top_locations(queries: DataFrame, corpus: DataFrame, dims: int, k: int) -> DataFrame:
@@ -275,7 +276,7 @@ def rows_upto(queries: DataFrame, corpus: DataFrame, limits: DataFrame, dims: in
                     [pa.array(list(v), type=f.type) for v, f in zip(columns, _COUNTS)], schema=_COUNTS
                 )
 
-    met = meet_blocks(queries, q, c)
+    met = meet_blocks(queries, q, c, dims)
     counted = met.mapInArrow(count, "query_id string, n_rows long, n_upto long")
     return counted.groupBy("query_id").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_upto").alias("n_upto"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,83 +70,48 @@ def bm25_scores(queries: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
-def _grams(run: Column) -> Column:
-    """Keys under which a run can be found: its 3-grams, and for CJK runs also 1- and 2-grams."""
+#: Terms of a workspace that a text is scanned for at a time.
+TERM_BLOCK = 4_000
 
-    def of(size: int) -> Column:
-        return F.when(
-            F.length(run) >= size,
-            F.transform(F.sequence(F.lit(1), F.length(run) - size + 1), lambda i: F.substring(run, i, F.lit(size))),
-        ).otherwise(F.array().cast("array<string>"))
 
-    latin = F.rlike(run, F.lit("^[a-z0-9]"))
-    return F.array_distinct(F.when(latin, of(3)).otherwise(F.concat(of(1), of(2), of(3))))
+def _matches(asked: DataFrame, units: DataFrame) -> DataFrame:
+    """(workspace_id, unit_id, term) where the case-folded text contains the term.
 
-
-def containing_runs(terms: DataFrame, runs: DataFrame) -> DataFrame:
-    """(term, run) pairs where the run contains the term (ASCII terms of 3 characters or more).
-
-    Terms meet runs through the first (up to) three characters of the term, so only runs that
-    share that gram are compared.
+    The terms of a workspace come in blocks of about `TERM_BLOCK`, as many blocks as it takes; a text meets
+    each block once, and an automaton over the block finds all its terms in one pass. Only matches leave
+    the task.
     """
-    keyed_terms = terms.select("term", F.substring("term", 1, 3).alias("_gram"))
-    keyed_runs = runs.select("run", F.explode(_grams(F.col("run"))).alias("_gram"))
-    return (
-        keyed_runs.join(keyed_terms, "_gram").where(F.contains(F.col("run"), F.col("term"))).select("term", "run")
+    sizes = asked.groupBy("workspace_id").agg(F.ceil(F.count(F.lit(1)) / TERM_BLOCK).alias("_blocks"))
+    block = F.pmod(F.xxhash64("term"), F.col("_blocks"))
+    lists = asked.join(sizes, "workspace_id").groupBy("workspace_id", block.alias("_block")).agg(
+        F.sort_array(F.collect_list("term")).alias("_terms")
     )
-
-
-SHORT_TERM = "^[a-z0-9]{1,3}$"
-DIRECT_TERMS = 4_000
-
-
-def _direct_matches(asked: DataFrame, units: DataFrame) -> DataFrame:
-    """Terms compared with the text itself, through one bounded list of terms per workspace.
-
-    The built-in `contains` takes about 20 microseconds per kilobyte, Python's substring search far
-    less, so the comparison runs on Arrow batches; only matches leave the task.
-    """
-    lists = asked.groupBy("workspace_id").agg(F.collect_set("term").alias("_terms"))
     folded = units.select("workspace_id", "unit_id", tx.casefold(F.col("text")).alias("_folded"))
 
     def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automata: dict[tuple[str, int], ahocorasick.Automaton] = {}
         for batch in batches:
-            found = [
-                (space, unit, term)
-                for space, unit, body, terms in batch.itertuples(index=False, name=None)
-                for term in terms
-                if term in body
-            ]
+            found = []
+            for space, unit, body, number, terms in batch.itertuples(index=False, name=None):
+                if (space, number) not in automata:
+                    if len(automata) > 8:
+                        automata.clear()
+                    made = automata[space, number] = ahocorasick.Automaton()
+                    for term in terms:
+                        made.add_word(term, term)
+                    made.make_automaton()
+                if body:
+                    found += [(space, unit, term) for term in {t for _, t in automata[space, number].iter(body)}]
             yield pd.DataFrame(found, columns=["workspace_id", "unit_id", "term"])
 
-    joined = folded.join(lists, "workspace_id").select("workspace_id", "unit_id", "_folded", "_terms")
+    joined = folded.join(lists, "workspace_id").select("workspace_id", "unit_id", "_folded", "_block", "_terms")
     return joined.mapInPandas(matches, "workspace_id string, unit_id string, term string")
 
 
-def _long_matches(asked: DataFrame, units: DataFrame) -> DataFrame:
-    """Terms found through the vocabulary of the texts' runs, whatever their number."""
-    run_rows = units.select("workspace_id", "unit_id", F.explode(tx.text_runs(F.col("text"))).alias("run"))
-    vocabulary = run_rows.select("run").distinct()
-    matched = containing_runs(asked.select("term").distinct(), vocabulary)
-    wanted = asked.join(matched, "term")
-    return run_rows.join(wanted, ["workspace_id", "run"]).select("workspace_id", "unit_id", "term").distinct()
-
-
 def substring_matches(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """(query_id, workspace_id, unit_id, term) where the case-folded unit text contains the term.
-
-    While every workspace asks for few distinct terms, each text is compared with them directly. Beyond
-    that only terms of up to three ASCII characters are (there are at most 36 + 36^2 + 36^3, and they sit
-    in most texts anyway); the others go through an index over the vocabulary.
-    """
+    """(query_id, workspace_id, unit_id, term) where the case-folded unit text contains the term."""
     asked = query_terms(queries, tx.lexical_terms(F.col("text")))
-    terms = asked.select("workspace_id", "term").distinct()
-    largest = terms.groupBy("workspace_id").count().agg(F.max("count")).first()[0] or 0
-    if largest <= DIRECT_TERMS:
-        found = _direct_matches(terms, units)
-    else:
-        short = F.rlike("term", F.lit(SHORT_TERM))
-        found = _direct_matches(terms.where(short), units).unionByName(_long_matches(terms.where(~short), units))
+    found = _matches(asked.select("workspace_id", "term").where("term <> ''").distinct(), units)
     return asked.join(found, ["workspace_id", "term"])
 
 
