@@ -119,3 +119,8 @@ def test_prompt_evidence_numbers_must_run(spark):
 def test_slug(spark):
     assert one(spark, "  My  New\tTag - ", lambda c: tx.slug(c, F.lit("fallback"))) == "my-new-tag"
     assert one(spark, " - ", lambda c: tx.slug(c, F.lit("fallback"))) == "fallback"
+
+
+@pytest.mark.parametrize("text", ["Straße ﬁne ﬃ ŉ ǰ", "ΣΑΣ ς", "ſet ẞ", "plain ASCII", "µ ϐ"])
+def test_casefold_is_full(spark, text):
+    assert one(spark, text, tx.casefold) == text.casefold()

@@ -108,3 +108,10 @@ def test_approximate_recall_on_generated_corpus(spark):
     exact = dense.top_locations(asked, units, 64, 10).select("query_id", "asset_id", "location_key")
     near = dense.top_approximate(asked, units, 64, 10, 10).select("query_id", "asset_id", "location_key")
     assert exact.intersect(near).count() / exact.count() >= 0.95
+
+
+def test_nan_counts_as_zero_everywhere(spark):
+    rows = [("u1", "w", "a", "p1", [1.0, float("nan")]), ("u2", "w", "a", "p2", [0.0, 1.0])]
+    got = {r["unit_id"]: r["distance"] for r in dense.top_locations(queries(spark, np.array([[1.0, 0.0]])), corpus(spark, rows), 2, 2).collect()}
+    df = spark.createDataFrame([(r[0], [1.0, 0.0], r[4]) for r in rows], "unit_id string, a array<double>, b array<double>")
+    assert got == {r["unit_id"]: r["d"] for r in df.select("unit_id", dense.cosine_distance(F.col("a"), F.col("b")).alias("d")).collect()} == {"u1": 0.0, "u2": 1.0}

@@ -17,8 +17,11 @@ MIN_CHUNK_SIZE = 200
 MAX_CHUNK_SIZE = 4000
 CJK = "\\u3400-\\u9fff"
 SPACE = "\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u001c-\\u001f"
-# Casefold differs from lower-casing for these letters of the languages served.
-CASEFOLD = {"ß": "ss", "ẞ": "ss", "ſ": "s", "ﬁ": "fi", "ﬂ": "fl", "ς": "σ"}
+# Lower-case characters that full case folding changes further, to one character or to several.
+_FOLDED = {
+    c: c.casefold() for c in map(chr, range(0x110000)) if c.lower() == c and c.casefold() != c and not "\ud800" <= c <= "\udfff"
+}
+_FOLDED_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
 
 
 def chunk_spans(text: str, size: int) -> Iterator[tuple[int, int]]:
@@ -75,12 +78,14 @@ def chunk(df: DataFrame, text: str, carry: list[str], size: int = CHUNK_SIZE) ->
 
 
 def casefold(column: Column) -> Column:
+    """Full Unicode case folding."""
     low = F.lower(column)
-    out = low
-    for letter, plain in CASEFOLD.items():
-        out = F.replace(out, F.lit(letter), F.lit(plain))
+    out = F.translate(low, "".join(_FOLDED_ONE), "".join(_FOLDED_ONE.values()))
+    for letter, plain in _FOLDED.items():
+        if len(plain) > 1:
+            out = F.replace(out, F.lit(letter), F.lit(plain))
     # Few texts hold such letters; the others skip the replacements.
-    return F.when(F.rlike(low, F.lit(f"[{''.join(CASEFOLD)}]")), out).otherwise(low)
+    return F.when(F.rlike(low, F.lit(f"[{''.join(_FOLDED)}]")), out).otherwise(low)
 
 
 def strip(column: Column) -> Column:

@@ -175,10 +175,11 @@ def top_rows(queries: DataFrame, corpus: DataFrame, item: str, dims: int, k: int
 
 
 def cosine_distance(left: Column, right: Column) -> Column:
-    """1 - cosine; 1 when lengths differ or a vector is all zeros."""
+    """1 - cosine; 1 when lengths differ or a vector is all zeros. NaN counts as 0, as in blocks."""
 
     def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
+        product = lambda x, y: F.nanvl(x.cast("double"), F.lit(0.0)) * F.nanvl(y.cast("double"), F.lit(0.0))
+        return F.aggregate(F.zip_with(a, b, product), F.lit(0.0), lambda s, v: s + v)
 
     similarity = F.try_divide(dot(left, right), F.sqrt(dot(left, left)) * F.sqrt(dot(right, right)))
     return F.when(F.size(left) == F.size(right), F.round(1.0 - F.coalesce(similarity, F.lit(0.0)), DIGITS)).otherwise(1.0)
