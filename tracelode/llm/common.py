@@ -6,12 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Temporary arrays in a task are made for about this many bytes of text at a time.
 PIECE_BYTES = 1 << 20
+#: Of a batch of rows, about this many bytes of text become Python objects at a time.
+SLICE_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,21 +34,38 @@ def ascii_words(text: str | None) -> list[bytes]:
     return utf8(text).split()
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut, without copying, into stretches of about `limit` bytes of their column `text`; rows
+    can be of any length, so a batch of many rows has no bound of its own. Empty batches are left out."""
+    for batch in batches:
+        if "text" not in batch.schema.names:
+            if batch.num_rows:
+                yield batch
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def map_batches(
     df: DataFrame,
     start: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]],
     schema: pa.Schema,
     ddl: str,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
-    """`mapInArrow` with state made once per task: `start()` gives the function for a batch,
-    which yields column dicts."""
+    """`mapInArrow` with state made once per task: `start()` gives the function for a stretch of rows
+    with about `limit` bytes of text, which yields column dicts."""
 
     def run(batches):
         work = start()
-        for batch in batches:
-            if batch.num_rows:
-                for columns in work(batch):
-                    yield pa.RecordBatch.from_pydict(columns, schema=schema)
+        for batch in text_slices(batches, limit):
+            for columns in work(batch):
+                yield pa.RecordBatch.from_pydict(columns, schema=schema)
 
     return df.mapInArrow(run, ddl)
 
@@ -55,9 +75,8 @@ def keep_rows(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], np.n
 
     def run(batches):
         good = start()
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(good(batch), pa.bool_()))
+        for batch in text_slices(batches):
+            yield batch.filter(pa.array(good(batch), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -85,7 +85,7 @@ def context_counts(docs: DataFrame) -> DataFrame:
 
         return work
 
-    counted = map_batches(docs.select("lang", "text"), start, COUNT, "lang string, key long, n long")
+    counted = map_batches(docs.select("lang", "text"), start, COUNT, "lang string, key long, n long", 16 << 20)
     return counted.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 

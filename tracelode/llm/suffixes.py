@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import U64, forget, load, map_batches, mix, pieces, shared_table, utf8
+from tracelode.llm.common import U64, forget, load, map_batches, mix, pieces, shared_table, text_slices, utf8
 
 MATCH, GRAM = 400, 64
 REACH = MATCH - GRAM
@@ -465,7 +465,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.select(*columns, free + "s")
 
     def run(batches):
-        for batch in batches:
+        for batch in text_slices(batches):
             at = batch.schema.get_field_index("text")
             texts = batch.column(at).to_pylist()
             for k, found in enumerate(batch.column(len(columns)).to_pylist()):
