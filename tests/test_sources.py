@@ -145,3 +145,13 @@ def test_excerpt_behind_many_blank_units(spark):
     row = rg.region_excerpt(selected, units, captions, "k").first()
     want = "\n".join("" if n < 2400 else f"t{n}" for n in range(2500))[:4000]
     assert row["from_units"] and row["excerpt"] == want
+
+
+def test_changed_input_is_seen(spark, tmp_path):
+    from tracelode.plans.registry import tables
+
+    folder = str(tmp_path)
+    for text in ("first text", "second text, longer"):
+        spark.createDataFrame([(1, text, "en", "src1", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.mode(
+            "overwrite").parquet(f"{folder}/documents.parquet")
+        assert [r["text"] for r in tables(spark, folder)("v_unit_base").collect()] == [text]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.sources.views import Tables, check_sql
+from tracelode.sources.views import Tables, check_sql, input_version
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,7 @@ _tables: dict[tuple[str, str], Tables] = {}
 
 def tables(spark: SparkSession, folder: str) -> Tables:
     key = (spark.sparkContext.applicationId, folder)
-    if key not in _tables:
+    if key not in _tables or _tables[key].version != input_version(spark, folder):
         _tables[key] = Tables(spark, folder)
     return _tables[key]
 

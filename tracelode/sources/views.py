@@ -7,6 +7,7 @@ rows include stale, foreign and broken ones on purpose, so that scope rules have
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -395,21 +396,34 @@ def check_sql(sql: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
-_STORED = {"v_unit", "v_locator", "v_embedding", "v_visible", "v_dense"}
-_written: dict[tuple[str, str, str], str] = {}
+_STORED = {"v_unit_base", "v_unit", "v_locator", "v_embedding", "v_visible", "v_dense"}
+_written: dict[tuple[str, str, str, str], str] = {}
+
+
+def input_version(spark: SparkSession, folder: str) -> str:
+    """Changes whenever a given table of the folder does: sizes and times of its files, without reading any."""
+    marks = []
+    for name in BASE_TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(path):
+            size = files.getContentSummary(path)
+            marks.append((name, size.getLength(), size.getFileCount(), files.getFileStatus(path).getModificationTime()))
+    return hashlib.md5(repr(marks).encode()).hexdigest()
 
 
 class Tables:
     """Given and derived tables of one data folder, by name.
 
-    Tables an application would keep (units, locators, vectors and their visible join) are
-    written once per session to the shared folder and scanned from there, as a production
-    corpus would be; everything else stays a lazy plan.
+    Tables an application would keep (chunks, units, locators, vectors and their visible join) are
+    written once per session and version of the input to the shared folder and scanned from there,
+    as a production corpus would be; everything else stays a lazy plan.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.version = input_version(spark, folder)
         self._frames: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
@@ -420,14 +434,13 @@ class Tables:
     def _build(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        if name == "v_unit_base":
-            documents = self("documents")
-            return tx.chunk(documents, "text", ["doc_id", "source"])
         if name in _STORED:
             return self._stored(name)
         return self._plan(name)
 
     def _plan(self, name: str) -> DataFrame:
+        if name == "v_unit_base":
+            return tx.chunk(self("documents"), "text", ["doc_id", "source"])
         if name == "v_visible":
             return scope.visible_units(
                 self("v_unit"), self("v_asset"), self("v_representation"), self("v_locator"),
@@ -447,10 +460,10 @@ class Tables:
         return self.sql(VIEW_SQL[name])
 
     def _stored(self, name: str) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = (self.spark.sparkContext.applicationId, self.folder, self.version, name)
         if key not in _written:
             frame = self._plan(name)
-            path = f"{shared_dir(self.spark)}/tables/{key[0]}/{abs(hash(self.folder))}/{name}"
+            path = f"{shared_dir(self.spark)}/tables/{key[0]}/{abs(hash(self.folder))}/{self.version}/{name}"
             frame.write.mode("overwrite").parquet(path)
             _written[key] = path
         return self.spark.read.parquet(_written[key])
