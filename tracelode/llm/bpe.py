@@ -33,7 +33,7 @@ NONE = 1 << 60
 #: Characters whose letter class and lower case no Unicode version has changed.
 STEADY = regex.compile("[\\x00-\u024f\u2010-\u2046\u20a0-\u20bf\u3001-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]*")
 #: Pre-tokens remembered by a task.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def byte_symbols() -> list[str]:
