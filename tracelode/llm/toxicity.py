@@ -35,9 +35,9 @@ OPENING, CLOSING = "\"'«“„‘", "\"'»”’"
 REPORTING = frozenset(
     "said says called quoted quote word term wrote sagte nannte zitat wort dit appelé citation mot dijo llamó cita palabra".split()
 )
-KINDS = ("exact", "near", "stem", "quoted")
+KINDS = ("exact", "near", "stem", "rare", "quoted")
 #: Bias and weights that the model starts from and is drawn to.
-PRIOR = np.array([-3.0, 5.0, 4.5, 5.0, 0.5])
+PRIOR = np.array([-3.0, 5.0, 4.5, 5.0, 2.0, 0.5])
 
 
 def edits_allowed(term: str) -> int:
@@ -54,7 +54,7 @@ class Lexicon:
     trie: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.every = self.rare | set(self.words)
+        self.often = set(self.words)
         for word in self.words:
             node = self.trie
             for c in word:
@@ -68,9 +68,11 @@ class Lexicon:
         self.inner = {w[len(w) // 3 : len(w) // 3 + 3] for w in self.words if edits_allowed(w) == 2}
 
     def kind(self, word: str) -> int:
-        """0: none, 1: a term, 2: near a term, 3: begins with a stem."""
-        if word in self.every:
+        """0: none, 1: a term, 2: near a term, 3: begins with a stem, 4: a rare term."""
+        if word in self.often:
             return 1
+        if word in self.rare:
+            return 4
         for n in STEMS:
             if word[:n] in self.stem_set and len(word) >= n:
                 return 3
