@@ -274,7 +274,7 @@ CONCEPTS = [["the", "der", "le"], ["tion", "ment", "heit"]]
       bool_or(v.locator_kind = 'pdf_page') AS has_target FROM v_hybrid h JOIN v_visible v ON v.unit_id = h.unit_id GROUP BY 1),
     n AS (SELECT *, ' ' || {NORMAL.format(c="ctx")} || ' ' AS body FROM p)
     SELECT query_id, in_scope, has_target, (contains(body, ' the ') OR contains(body, ' der ') OR contains(body, ' le '))
-      AND (contains(body, ' tion ') OR contains(body, ' ment ') OR contains(body, ' heit ')) AS concepts, regexp_matches(body, '\\bund\\b') AS forbidden FROM n""",
+      AND (contains(body, ' tion ') OR contains(body, ' ment ') OR contains(body, ' heit ')) AS concepts, contains(body, ' und ') AS forbidden FROM n""",
 )
 def fn_prompt_contract(t: Tables) -> DataFrame:
     rows = evidence(t).withColumn("allowed", F.expr("CAST(substring(title, 5) AS BIGINT) % 3 <> 1"))
