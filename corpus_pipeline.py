@@ -1,8 +1,8 @@
 """From raw documents to encoded training text, stage by stage.
 
 Every stage takes what its predecessor kept. Low-quality documents go; of each group of near-duplicates
-(five words, similarity 0.8 or more) the one with the smallest id stays; strings of 400 bytes that still occur
-twice are cut out; documents that contain a benchmark item go; what is left is encoded.
+(five words, similarity 0.8 or more) the one with the smallest id stays; passages of over 50 words and strings of
+400 bytes that still occur twice are cut out; documents that contain a benchmark item go; what is left is encoded.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the long strings that occur more than once."""
-    return suffixes.without_repeats(docs)
+    """Documents without the passages of over 50 words, and the strings of 400 bytes, that occur more than once."""
+    return suffixes.without_repeats(docs, (suffixes.BYTES, suffixes.WORDS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,28 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_classifier", "near_duplicates", "suffix_array_dedup", "decontamination", "bpe_encoding"
     ]
+
+
+def test_passages_of_over_fifty_words_are_cut(spark):
+    def short(seed, n):
+        return " ".join(w[:4] for w in prose(seed, n).split())
+
+    docs = []
+    for k, n in enumerate((50, 51, 55, 60)):  # all under 400 bytes
+        passage = short(7000 + k, n)
+        assert len(passage) < 400
+        docs += [(10 * k + j, f"{prose(8000 + 10 * k + j, 30)} {passage} {prose(9000 + 10 * k + j, 20)}") for j in range(3)]
+        docs.append((10 * k + 3, prose(8500 + k, 20) + "\n" + passage.replace(" ", "\n", 9)))
+    docs += [(90, "漢字" * 90 + " a"), (91, "漢字" * 90 + " b"), (92, None), (93, " "), (94, "of " * 49 + "it")]
+    words = {i: (t or "").encode().split() for i, t in docs}
+    seen = collections.Counter(tuple(w[k : k + 51]) for w in words.values() for k in range(len(w) - 50))
+    want = {}
+    for i, w in words.items():
+        gone = {j for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for j in range(k, k + 51)}
+        want[i] = [x.decode() for j, x in enumerate(w) if j not in gone]
+    assert [sum(len(words[10 * k + j]) - len(want[10 * k + j]) for j in range(4)) for k in range(4)] == [0, 204, 220, 240]
+    want |= {90: ["a"], 91: ["b"]}  # 540 bytes of one word
+    for parts in (1, 7):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+        got = {r.doc_id: (r.text or "").split() for r in corpus_pipeline.cut_repeats(spark, df, "").collect()}
+        assert got == want

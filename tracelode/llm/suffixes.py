@@ -18,6 +18,10 @@ around one gram each is kept once, and the hashes of the strings at all places o
 A gram with more than `LARGE` contexts is first divided: strings that begin in one of `STRIPES` ranges share
 all bytes but those of the range, so only contexts that agree in these bytes need to meet.
 
+All this holds for words as it does for bytes: `WORDS` takes a text as the sequence of its words, by their
+64-bit hashes, and finds passages of over 50 of them however many bytes these are and whatever white space is
+between. What is called a byte or a string above is a word or a passage there.
+
 Results: one row per input row; rows with null or short texts remove nothing. Repeated rows are
 documents of their own, so their long texts are removed everywhere. Ids may be null or repeat.
 """
@@ -25,16 +29,17 @@ documents of their own, so their long texts are removed everywhere. Ids may be n
 from __future__ import annotations
 
 import hashlib
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import U64, forget, load, map_batches, mix, pieces, shared_table, text_slices, utf8
+from tracelode.llm.common import U64, forget, load, map_batches, mix, pieces, shared_table, text_slices, utf8, word_hashes
 
 MATCH, GRAM = 400, 64
-REACH = MATCH - GRAM
 #: Contexts of one gram that are compared together, and into how many ranges of beginnings more are divided.
 LARGE, STRIPES = 3_000, 8
 #: Text bytes of a batch, and the number of batches of one build at most.
@@ -56,13 +61,58 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What texts are taken apart into: a string of `match` of them is sought by grams of `gram`."""
+
+    match: int
+    gram: int
+    words: bool = False
+
+    @property
+    def reach(self) -> int:
+        return self.match - self.gram
+
+    @property
+    def width(self) -> int:
+        return 2 * self.reach + self.gram
+
+    @property
+    def least_bytes(self) -> int:
+        """Bytes of the shortest text that can hold a string of `match` units."""
+        return 2 * self.match - 1 if self.words else self.match
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all texts, bytes or hashes of words, and how many each text has."""
+        if not self.words:
+            return np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts))
+        lists = [t.split() for t in texts]
+        return word_hashes([w for t in lists for w in t]), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+BYTES = Unit(MATCH, GRAM)
+#: "Over 50 words"; grams of 8 words keep as many suffixes a byte as those of `BYTES` do.
+WORDS = Unit(51, 8, words=True)
+
+
+def _values(buf: np.ndarray) -> np.ndarray:
+    """A 64-bit value per unit."""
+    return _BYTE[buf] if buf.dtype == np.uint8 else buf
+
+
+def _sums(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums for hashes of any stretch of `buf`, and the powers that take out where it begins."""
+    up, down = _power(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_values(buf) * up[:-1], out=sums[1:])
+    return sums, down
+
+
 def rolling(buf: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the `n` bytes from every place on."""
+    """Hash of the `n` units from every place on."""
     if len(buf) < n:
         return np.empty(0, np.uint64)
-    up, down = _power(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[:-1], out=sums[1:])
+    sums, down = _sums(buf)
     return mix((sums[n:] - sums[:-n]) * down[: len(buf) - n + 1])
 
 
@@ -77,20 +127,20 @@ def _sliding(x: np.ndarray, n: int, best: np.ufunc, rest: int) -> np.ndarray:
     return best(back[: len(x)], ahead[n - 1 : n - 1 + len(x)])
 
 
-def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
     """Places of all anchors in `buf`, which holds documents at [start, end), and their gram hashes."""
-    grams = rolling(buf, GRAM)
-    if len(buf) < MATCH:
+    grams = rolling(buf, unit.gram)
+    if len(buf) < unit.match:
         return np.empty(0, np.int64), grams[:0]
-    least = _sliding(grams, REACH + 1, np.minimum, 2**64 - 1)[: len(buf) - MATCH + 1]
+    least = _sliding(grams, unit.reach + 1, np.minimum, 2**64 - 1)[: len(buf) - unit.match + 1]
     inside = np.zeros(len(buf) + 1, np.int32)
-    long = ends - starts >= MATCH
+    long = ends - starts >= unit.match
     inside[starts[long]] += 1
-    np.add.at(inside, ends[long] - MATCH + 1, -1)
+    np.add.at(inside, ends[long] - unit.match + 1, -1)
     least = np.where(np.cumsum(inside)[: len(least)] > 0, least, U64(0))
-    # A gram is an anchor if it is the least of a string that starts at most REACH before it.
-    before = np.concatenate([np.zeros(REACH, np.uint64), least, np.zeros(len(grams) - len(least), np.uint64)])
-    most = _sliding(before, REACH + 1, np.maximum, 0)[: len(grams)]
+    # A gram is an anchor if it is the least of a string that starts at most `reach` before it.
+    before = np.concatenate([np.zeros(unit.reach, np.uint64), least, np.zeros(len(grams) - len(least), np.uint64)])
+    most = _sliding(before, unit.reach + 1, np.maximum, 0)[: len(grams)]
     at = np.flatnonzero((most == grams) & (grams != 0))
     return at, grams[at]
 
@@ -107,7 +157,7 @@ def row_key():
 SUFFIX = pa.schema([("f", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("batch", pa.int32())])
 
 
-def suffix_arrays(docs: DataFrame, batches: int) -> DataFrame:
+def suffix_arrays(docs: DataFrame, batches: int, unit: Unit) -> DataFrame:
     """Pointers (f, row, at) to all sampled suffixes, in runs sorted by `f`, with the batch they belong to."""
 
     def start():
@@ -119,9 +169,10 @@ def suffix_arrays(docs: DataFrame, batches: int) -> DataFrame:
             rows = batch.column(0).to_numpy()
             texts = [utf8(t) for t in batch.column(1).to_pylist()]
             for a, b in pieces(texts):
-                ends = np.cumsum([len(t) for t in texts[a:b]])
+                buf, sizes = unit.read(texts[a:b])
+                ends = np.cumsum(sizes)
                 starts = np.concatenate([[0], ends[:-1]])
-                at, f = anchors(np.frombuffer(b"".join(texts[a:b]), np.uint8), starts, ends)
+                at, f = anchors(buf, starts, ends, unit)
                 doc = np.searchsorted(ends, at, "right")
                 order = np.argsort(f, kind="stable")
                 yield {
@@ -131,7 +182,7 @@ def suffix_arrays(docs: DataFrame, batches: int) -> DataFrame:
 
         return work
 
-    rows = docs.where(F.octet_length("text") >= MATCH).select(row_key().alias("row"), "text")
+    rows = docs.where(F.octet_length("text") >= unit.least_bytes).select(row_key().alias("row"), "text")
     return map_batches(rows, start, SUFFIX, "f long, row long, at int, batch int")
 
 
@@ -181,10 +232,10 @@ CONTEXT = pa.schema([
 ])
 
 
-def contexts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+def contexts(docs: DataFrame, candidates: DataFrame, unit: Unit) -> DataFrame:
     """Places of candidate suffixes and the contexts around them."""
     of_row = candidates.groupBy("row").agg(F.collect_list(F.struct("at", "f")).alias("found"))
-    rows = docs.where(F.octet_length("text") >= MATCH).select(row_key().alias("row"), "text")
+    rows = docs.where(F.octet_length("text") >= unit.least_bytes).select(row_key().alias("row"), "text")
     joined = rows.join(of_row, "row").select("row", "text", F.col("found.at").alias("at"), F.col("found.f").alias("f"))
 
     def start():
@@ -193,25 +244,23 @@ def contexts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
             texts = [utf8(t) for t in batch.column(1).to_pylist()]
             places, grams = batch.column(2), batch.column(3)
             for a, b in pieces(texts):
-                ends = np.cumsum([len(t) for t in texts[a:b]])
+                buf, sizes = unit.read(texts[a:b])
+                ends = np.cumsum(sizes)
                 starts = np.concatenate([[0], ends[:-1]])
-                raw = b"".join(texts[a:b])
-                buf = np.frombuffer(raw, np.uint8)
+                raw, size_of = buf.tobytes(), buf.itemsize
                 size = [len(places[k]) for k in range(a, b)]
                 at = places.slice(a, b - a).flatten().to_numpy().astype(np.int64)
                 f = grams.slice(a, b - a).flatten().to_numpy()
                 doc = np.repeat(np.arange(b - a), size)
-                fits = at + starts[doc] + GRAM <= len(buf)
+                fits = at + starts[doc] + unit.gram <= len(buf)
                 at, f, doc = at[fits], f[fits], doc[fits]
-                here = rolling(buf, GRAM)[at + starts[doc]].view(np.int64) == f  # else another row with the same key
+                here = rolling(buf, unit.gram)[at + starts[doc]].view(np.int64) == f  # else another row with the same key
                 at, f, doc = at[here], f[here], doc[here]
                 if not len(at):
                     continue
                 place = at + starts[doc]
-                begin, end = np.maximum(starts[doc], place - REACH), np.minimum(ends[doc], place + MATCH)
-                up, down = _power(len(buf) + 1)
-                sums = np.zeros(len(buf) + 1, np.uint64)
-                np.cumsum(_BYTE[buf] * up[:-1], out=sums[1:])
+                begin, end = np.maximum(starts[doc], place - unit.reach), np.minimum(ends[doc], place + unit.match)
+                sums, down = _sums(buf)
                 c = mix(_span_hash(sums, down, begin, end) + U64(7) * (place - begin).astype(np.uint64)).view(np.int64)
                 none = np.zeros(len(at), np.int32)
                 yield {
@@ -224,8 +273,8 @@ def contexts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
                 yield {
                     "kind": np.ones(len(first), np.int32), "f": f[first], "c": c[first], "row": rows[a:b][doc[first]],
                     "at": at[first].astype(np.int32), "n": n.astype(np.int64),
-                    "left": (place - begin)[first].astype(np.int32), "right": (end - place)[first].astype(np.int32) - GRAM,
-                    "bytes": [raw[x:y] for x, y in zip(begin[first].tolist(), end[first].tolist(), strict=True)],
+                    "left": (place - begin)[first].astype(np.int32), "right": (end - place)[first].astype(np.int32) - unit.gram,
+                    "bytes": [raw[x:y] for x, y in zip((begin[first] * size_of).tolist(), (end[first] * size_of).tolist(), strict=True)],
                 }
 
         return work
@@ -234,31 +283,31 @@ def contexts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     return map_batches(joined, start, CONTEXT, ddl)
 
 
-#: What of a context repeats: byte ranges relative to the gram.
+#: What of a context repeats: ranges of units relative to the gram.
 RANGE = pa.schema([("f", pa.int64()), ("c", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-WIDTH = 2 * REACH + GRAM
 
 
-def _padded(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The contexts as rows of WIDTH bytes with the gram in the middle, and their lengths to both sides."""
+def _padded(table: pa.Table, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts as rows of `width` units with the gram in the middle, and their lengths to both sides."""
     left, right = table["left"].to_numpy(), table["right"].to_numpy()
-    out = np.zeros((len(left), WIDTH), np.uint8)
+    out = np.zeros((len(left), unit.width), np.uint64 if unit.words else np.uint8)
     for k, data in enumerate(table["bytes"].to_pylist()):
-        out[k, REACH - left[k] : REACH - left[k] + len(data)] = np.frombuffer(data, np.uint8)
+        found = np.frombuffer(data, out.dtype)
+        out[k, unit.reach - left[k] : unit.reach - left[k] + len(found)] = found
     return out, left, right
 
 
-def _repeating(table: pa.Table) -> dict:
+def _repeating(table: pa.Table, unit: Unit) -> dict:
     """Ranges of the contexts (key, f, c, left, right, bytes, low, high) that another context with the same
     key has too; strings that begin at offsets low to high of the context are looked at."""
-    grid, left, right = _padded(table)
-    n = len(left)
-    hashes = rolling(grid.ravel(), MATCH)
-    where = (np.arange(n) * WIDTH)[:, None] + np.arange(REACH + 1)
+    grid, left, right = _padded(table, unit)
+    n, reach = len(left), unit.reach
+    hashes = rolling(grid.ravel(), unit.match)
+    where = (np.arange(n) * unit.width)[:, None] + np.arange(reach + 1)
     key = mix(table["key"].to_numpy().view(np.uint64))
-    offset = np.arange(REACH + 1)
+    offset = np.arange(reach + 1)
     value = mix(hashes[where] + key[:, None] * U64(3) + offset.astype(np.uint64) * U64(0x2545F4914F6CDD1D))
-    valid = (offset >= REACH - left[:, None]) & (offset <= right[:, None])
+    valid = (offset >= reach - left[:, None]) & (offset <= right[:, None])
     valid &= (offset >= table["low"].to_numpy()[:, None]) & (offset <= table["high"].to_numpy()[:, None])
     flat = np.flatnonzero(valid)
     seen = value.ravel()[flat]
@@ -267,14 +316,14 @@ def _repeating(table: pa.Table) -> dict:
     twice = np.zeros(len(flat), bool)
     twice[order[1:]] |= same
     twice[order[:-1]] |= same
-    hit = np.zeros((n, REACH + 3), np.int8)
+    hit = np.zeros((n, reach + 3), np.int8)
     hit[:, 1:-1].flat[flat[twice]] = 1
     edge = np.diff(hit, axis=1)
     row, first = np.nonzero(edge == 1)
     _, last = np.nonzero(edge == -1)
     f, c = table["f"].to_numpy(), table["c"].to_numpy()
     return {
-        "f": f[row], "c": c[row], "start": (first - REACH).astype(np.int32), "end": (last - 1 - REACH + MATCH).astype(np.int32),
+        "f": f[row], "c": c[row], "start": (first - reach).astype(np.int32), "end": (last - 1 - reach + unit.match).astype(np.int32),
     }
 
 
@@ -302,17 +351,17 @@ def _in_groups(batches, chunk: int = 2_000):
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def _compare(rows: DataFrame) -> DataFrame:
+def _compare(rows: DataFrame, unit: Unit) -> DataFrame:
     def run(batches):
         for table in _in_groups(batches):
-            yield pa.RecordBatch.from_pydict(_repeating(table), schema=RANGE)
+            yield pa.RecordBatch.from_pydict(_repeating(table, unit), schema=RANGE)
 
     return rows.mapInArrow(run, "f long, c long, start int, end int")
 
 
-def _stripes(rows: DataFrame) -> DataFrame:
+def _stripes(rows: DataFrame, unit: Unit) -> DataFrame:
     """Contexts of large groups, once for each range of beginnings, keyed by the bytes all its strings have."""
-    width = -(-(REACH + 1) // STRIPES)
+    width = -(-(unit.reach + 1) // STRIPES)
     schema = pa.schema([("key", pa.int64()), *[f for f in CONTEXT if f.name in ("f", "c", "left", "right", "bytes")], ("low", pa.int32()), ("high", pa.int32())])
 
     def start():
@@ -320,15 +369,13 @@ def _stripes(rows: DataFrame) -> DataFrame:
             table = pa.Table.from_batches([batch])
             for at in range(0, table.num_rows, 2_000):
                 part = table.slice(at, 2_000)
-                grid, _, _ = _padded(part)
-                up, down = _power(grid.size + 1)
-                sums = np.zeros(grid.size + 1, np.uint64)
-                np.cumsum(_BYTE[grid.ravel()] * up[: grid.size], out=sums[1:])
-                base = np.arange(len(grid)) * WIDTH
+                grid, _, _ = _padded(part, unit)
+                sums, down = _sums(grid.ravel())
+                base = np.arange(len(grid)) * unit.width
                 f = mix(part["f"].to_numpy().view(np.uint64))
                 for s in range(STRIPES):
-                    low, high = s * width, min(REACH, (s + 1) * width - 1)
-                    core = _span_hash(sums, down, base + high, base + low + MATCH)
+                    low, high = s * width, min(unit.reach, (s + 1) * width - 1)
+                    core = _span_hash(sums, down, base + high, base + low + unit.match)
                     yield {
                         "key": mix(core + f + U64(s)).view(np.int64), **{c: part[c].combine_chunks() for c in ("f", "c", "left", "right", "bytes")},
                         "low": np.full(len(grid), low, np.int32), "high": np.full(len(grid), high, np.int32),
@@ -340,7 +387,7 @@ def _stripes(rows: DataFrame) -> DataFrame:
     return map_batches(rows.select("f", "c", "left", "right", "bytes"), start, schema, ddl)
 
 
-def repeated_ranges(found: DataFrame) -> DataFrame:
+def repeated_ranges(found: DataFrame, unit: Unit) -> DataFrame:
     """(f, c, start, end): the ranges around a gram that repeat, from the rows of `contexts`."""
     known = found.where("kind = 1")
     classes = known.groupBy("f", "c").agg(
@@ -348,8 +395,8 @@ def repeated_ranges(found: DataFrame) -> DataFrame:
     )
     classes = shared_table(classes, "suffix-classes")
     # A context that occurs twice repeats from end to end.
-    whole = classes.where(f"n > 1 and left + right + {GRAM} >= {MATCH}").select(
-        "f", "c", (-F.col("left")).alias("start"), (F.col("right") + GRAM).alias("end")
+    whole = classes.where(f"n > 1 and left + right + {unit.gram} >= {unit.match}").select(
+        "f", "c", (-F.col("left")).alias("start"), (F.col("right") + unit.gram).alias("end")
     )
     # Written, so that the join with a gram of very many contexts can be split.
     sizes = shared_table(classes.groupBy("f").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "suffix-sizes")
@@ -357,12 +404,12 @@ def repeated_ranges(found: DataFrame) -> DataFrame:
     several = known.select("f", "c", "row", "left", "right", "bytes").join(several, ["f", "c", "row"])
     several = shared_table(several, "suffix-several")
     small = several.where(F.col("m") <= LARGE).select(
-        F.col("f").alias("key"), "f", "c", "left", "right", "bytes", F.lit(0).alias("low"), F.lit(REACH).alias("high")
+        F.col("f").alias("key"), "f", "c", "left", "right", "bytes", F.lit(0).alias("low"), F.lit(unit.reach).alias("high")
     )
-    large = _stripes(several.where(F.col("m") > LARGE))
+    large = _stripes(several.where(F.col("m") > LARGE), unit)
     rows = small.union(large)
     rows = rows.repartition("key").sortWithinPartitions("key", "c", "low")
-    return whole.union(_compare(rows))
+    return whole.union(_compare(rows, unit))
 
 
 SPAN = pa.schema([
@@ -372,28 +419,28 @@ SPAN = pa.schema([
 
 
 def merged_spans(places: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(row, spans): the byte ranges to remove, one array per row."""
+    """(row, spans): the ranges of units to remove, one array per row."""
     spans = places.join(ranges, ["f", "c"]).select(
         "row", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end")
     )
     return spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """(row, spans) for the rows of `docs` that have long repeated strings; row is `row_key`."""
+def find_spans(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
+    """(row, spans) for the rows of `docs` that have long repeated strings of `unit`; row is `row_key`."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = max(1, min(BATCHES, -(-total // BATCH_BYTES)))
-    arrays = shared_table(suffix_arrays(docs, batches), "suffix-arrays")
+    arrays = shared_table(suffix_arrays(docs, batches, unit), "suffix-arrays")
     index = SuffixIndex()
     for k in range(batches):
         batch = arrays.where(F.col("batch") == k).select("f", "row", "at")
         index.insert(batch if batches == 1 else shared_table(batch, "suffix-batch"))
     if batches > 1:
         forget(arrays)
-    found = shared_table(contexts(docs, index.candidates()), "suffix-contexts")
+    found = shared_table(contexts(docs, index.candidates(), unit), "suffix-contexts")
     for table in (*index.levels.values(), *index.repeats):
         forget(table)
-    ranges = repeated_ranges(found)
+    ranges = repeated_ranges(found, unit)
     return merged_spans(found.where("kind = 0").select("f", "c", "row", "at"), ranges)
 
 
@@ -455,10 +502,21 @@ def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return shrunk
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with all its columns, long repeated strings cut out of `text`; a character that is only partly
-    in one stays. `n_chars`, where there is such a column, is that of the new text."""
-    spans = find_spans(docs)
+def byte_spans(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of words as spans of bytes, from the first byte of a word to the last of another."""
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", data)]
+    return [(at[start][0], at[end - 1][1]) for start, end in spans]
+
+
+def without_repeats(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> DataFrame:
+    """`docs` with all its columns, long repeated strings of each unit cut out of `text`; a character that is only
+    partly in one stays. `n_chars`, where there is such a column, is that of the new text."""
+    spans = None
+    for unit in units:
+        found = find_spans(docs, unit).select("row", F.lit(unit.words).alias("words"), "spans")
+        found = found if len(units) == 1 else shared_table(found, "suffix-spans")
+        spans = found if spans is None else spans.union(found)
+    spans = spans.groupBy("row").agg(F.collect_list(F.struct("words", "spans")).alias("spans"))
     columns, schema = docs.columns, docs.schema
     free = "_" * (1 + max(map(len, columns)))  # longer than any name there is
     rows = docs.withColumn(free, row_key()).join(spans.withColumnsRenamed({"row": free, "spans": free + "s"}), free, "left")
@@ -471,7 +529,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             for k, found in enumerate(batch.column(len(columns)).to_pylist()):
                 if found:
                     data = utf8(texts[k])
-                    spans = whole_characters(data, [(s["start"], s["end"]) for s in found])
+                    spans = []
+                    for of_unit in found:
+                        own = [(s["start"], s["end"]) for s in of_unit["spans"]]
+                        spans += byte_spans(data, own) if of_unit["words"] else own
+                    spans = whole_characters(data, sorted(spans))
                     texts[k] = b"".join(cut(data, spans)[0]).decode("utf-8", "surrogatepass")
             new = [batch.column(k) for k in range(len(columns))]
             new[at] = pa.array(texts, batch.schema.field(at).type)
