@@ -327,3 +327,15 @@ def test_token_counts_equal_plain_segmentation(spark, rows):
 
     got = results(token_counts.count_tokens(frame(spark, rows), path))
     assert got == sorted(((i, len((t or "").split()), sum(map(plain, (t or "").split()))) for i, t in rows), key=str)
+
+
+def test_misspelt_rare_terms_are_found(spark):
+    lexicon = toxicity.Lexicon(["idiot"], ["vequ"], frozenset(["schurke", "miststück", "abcd"]))
+    words = ("idiot", "idiott", "schurke", "schurk", "miststuck", "mistztuck", "abcd", "abce", "vequoir", "river")
+    assert [lexicon.kind(w) for w in words] == [1, 2, 4, 5, 5, 5, 4, 0, 3, 0]
+    # One term is in 185 toxic documents, another in 15 of them, under a twelfth.
+    docs = [(k, prose(k, 20) + ((" idiot " if k < 185 else " schurke ") if k < 200 else " ")) for k in range(400)]
+    docs += [(900, "you schurkke " + prose(5, 20)), (901, prose(6, 20))]
+    labels = spark.createDataFrame([(k, int(k < 200)) for k in range(400)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score_toxicity(frame(spark, docs), labels, F.lit(True)).collect()}
+    assert got[900].near_rare == 1 and got[900].score > got[901].score and got[195].rare == 1

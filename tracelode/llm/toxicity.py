@@ -3,7 +3,8 @@
 The lexicon is learned from a bounded sample of labelled rows: words, and beginnings of words (stems),
 that occur in many toxic documents and in next to no others. A trie holds the words. A word of a text is
 matched by running its Levenshtein automaton, a bit-parallel one with up to two edits for long
-terms, along the trie, so all terms near it are found in one walk; stems must begin it exactly. A hit
+terms, along the trie, so all terms near it are found in one walk; stems must begin it exactly. Terms that
+few of the toxic documents hold are in the trie too; hits of them, exact or near, are kinds of their own. A hit
 between quotation marks or near a word of reporting within a window counts as quotation, any other as
 abuse. A logistic model over the logarithms of the counts by kind gives the score. Its weights are drawn
 towards given ones where the sample has little to say, so misspellings and quotations count as they
@@ -35,9 +36,9 @@ OPENING, CLOSING = "\"'«“„‘", "\"'»”’"
 REPORTING = frozenset(
     "said says called quoted quote word term wrote sagte nannte zitat wort dit appelé citation mot dijo llamó cita palabra".split()
 )
-KINDS = ("exact", "near", "stem", "rare", "quoted")
+KINDS = ("exact", "near", "stem", "rare", "near_rare", "quoted")
 #: Bias and weights that the model starts from and is drawn to.
-PRIOR = np.array([-3.0, 5.0, 4.5, 5.0, 2.0, 0.5])
+PRIOR = np.array([-3.0, 5.0, 4.5, 5.0, 2.0, 1.5, 0.5])
 
 
 def edits_allowed(term: str) -> int:
@@ -46,29 +47,32 @@ def edits_allowed(term: str) -> int:
 
 @dataclass
 class Lexicon:
-    """`words` are matched with edits, `rare` ones and `stems` only as they are."""
+    """`words` and `rare` ones are matched with edits, `stems` only as they are."""
 
     words: list[str]
     stems: list[str]
     rare: frozenset = frozenset()
-    trie: dict = field(default_factory=dict)
+    tries: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.often = set(self.words)
-        for word in self.words:
-            node = self.trie
-            for c in word:
-                node = node.setdefault(c, {})
-            node[""] = word
+        # Of a term's allowed edits plus one pieces, one is unchanged: the first begins the word, the last ends
+        # it, another is anywhere. Each piece has a trie of its terms, so few terms are walked for a word.
+        self.sizes: dict[str, set[int]] = {"head": set(), "tail": set(), "inner": set()}
+        for word in [*self.words, *self.rare]:
+            n = edits_allowed(word) + 1
+            cuts = [len(word) * i // n for i in range(n + 1)]
+            for i, (x, y) in enumerate(zip(cuts, cuts[1:])):
+                place = "head" if i == 0 else "tail" if i == n - 1 else "inner"
+                self.sizes[place].add(y - x)
+                node = self.tries.setdefault((place, word[x:y]), {})
+                for c in word:
+                    node = node.setdefault(c, {})
+                node[""] = word
         self.stem_set = set(self.stems)
-        # One of three parts of a term is unchanged by two edits, one of two by one: with the first two
-        # characters, the last two, or for long terms any inside, most words are ruled out at once.
-        self.heads = {w[:2] for w in self.words}
-        self.tails = {w[-2:] for w in self.words}
-        self.inner = {w[len(w) // 3 : len(w) // 3 + 3] for w in self.words if edits_allowed(w) == 2}
 
     def kind(self, word: str) -> int:
-        """0: none, 1: a term, 2: near a term, 3: begins with a stem, 4: a rare term."""
+        """0: none, 1: a term, 2: near a term, 3: begins with a stem, 4: a rare term, 5: near a rare term only."""
         if word in self.often:
             return 1
         if word in self.rare:
@@ -76,34 +80,39 @@ class Lexicon:
         for n in STEMS:
             if word[:n] in self.stem_set and len(word) >= n:
                 return 3
-        if len(word) < 3 or not (
-            word[:2] in self.heads or word[-2:] in self.tails or any(x in word for x in self.inner)
-        ):
-            return 0
-        distance = self.distance(word)
-        return 0 if distance is None else 1 if distance == 0 else 2
+        often, rare = self.distances(word)
+        return (1 if often == 0 else 2) if often is not None else 0 if rare is None else 4 if rare == 0 else 5
 
     def distance(self, word: str) -> int | None:
-        """Edits to the nearest term that allows as many.
+        """Edits to the nearest term that allows as many."""
+        return min((d for d in self.distances(word) if d is not None), default=None)
+
+    def distances(self, word: str) -> tuple[int | None, int | None]:
+        """Edits to the nearest frequent and to the nearest rare term that allow as many.
 
         The state of the automaton after a path of the trie is one bit set per number of edits: bit i says
         that the path matches the first i characters of `word` with that many.
         """
         most = 2 if len(word) >= 7 else 1
+        first = [(1 << (e + 1)) - 1 for e in range(most + 1)]
+        pieces = {("head", word[:n]) for n in self.sizes["head"]} | {("tail", word[-n:]) for n in self.sizes["tail"]}
+        pieces |= {("inner", word[x : x + n]) for n in self.sizes["inner"] for x in range(len(word) - n + 1)}
+        stack = [(self.tries[piece], first) for piece in pieces if piece in self.tries]
+        best: list[int | None] = [None, None]
+        if not stack:
+            return None, None
         at: dict[str, int] = {}
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
         full, end = (1 << (len(word) + 1)) - 1, 1 << len(word)
-        first = [(1 << (e + 1)) - 1 for e in range(most + 1)]
-        best: int | None = None
-        stack = [(self.trie, first)]
         while stack:
             node, state = stack.pop()
             for c, child in node.items():
                 if c == "":
                     for e in range(min(most, edits_allowed(child)) + 1):
                         if state[e] & end:
-                            best = e if best is None else min(best, e)
+                            rare = child not in self.often
+                            best[rare] = e if best[rare] is None else min(best[rare], e)
                             break
                     continue
                 hits, new = at.get(c, 0), []
@@ -114,7 +123,7 @@ class Lexicon:
                     new.append(bits & full)
                 if new[-1]:
                     stack.append((child, new))
-        return best
+        return best[0], best[1]
 
 
 class _Kinds(dict):
