@@ -339,3 +339,16 @@ def test_misspelt_rare_terms_are_found(spark):
     labels = spark.createDataFrame([(k, int(k < 200)) for k in range(400)], "doc_id long, toxic int")
     got = {r.doc_id: r for r in toxicity.score_toxicity(frame(spark, docs), labels, F.lit(True)).collect()}
     assert got[900].near_rare == 1 and got[900].score > got[901].score and got[195].rare == 1
+
+
+def test_language_trees_keep_every_pair(spark):
+    pick = random.Random(8)
+    docs = [(k, " ".join("".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(10_000)), "big") for k in range(6)]
+    docs.append((90, "ἀρχὴ λόγος θεός", "small"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    trees = language.train(df, F.lit(True))
+    words = [w for _, t, _ in docs for w in t.encode().split()]
+    pairs = np.unique(np.concatenate(language.context_keys(words)[1]))
+    pairs = pairs[pairs > 0]
+    assert len(pairs) > 200_000 and trees.langs == ["big", "small"]
+    assert np.array_equal(trees.keys, pairs)

@@ -11,8 +11,8 @@ A word is coded with the blank before it as first context and the blank after it
 do not reach beyond. So code lengths belong to words; they are computed once per distinct word in a task.
 
 Counts come from all training documents: tasks count words, take the words apart into contexts, and
-only summed contexts are shuffled. Trees keep the `CONTEXTS` most frequent (context, byte) pairs over all
-languages, which bounds what executors are sent; a pair left out is coded through the escape like any other.
+only summed contexts are shuffled. Trees keep every (context, byte) pair of every language. They are gathered on the
+driver and sent to executors, so their memory grows with the number of distinct pairs.
 
 Results: null texts and texts without a letter are `und` with score 0, as is everything without training
 documents. Ties go to the first language in order. Ids may be null or repeat.
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from tracelode.llm.common import U64, Ids, crc_mod, forget, load, map_batches, shared_table, utf8, word_pieces
 
 ORDER = 4
-CONTEXTS = 200_000
 #: Words that are taken apart at a time.
 WORDS = 30_000
 _LETTER = regex.compile(r"\p{L}")
@@ -155,21 +154,11 @@ def grow(langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray) ->
     return Trees(langs, keys, cost.astype(np.float32), contexts, escape.astype(np.float32))
 
 
-def train(docs: DataFrame, fits: Column, contexts: int = CONTEXTS) -> Trees | None:
+def train(docs: DataFrame, fits: Column) -> Trees | None:
     """Trees of all languages from the rows of `docs` that `fits`; None without any."""
     usable = docs.where(fits & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counted = shared_table(context_counts(usable), "language-counts")
-    totals = counted.groupBy("key").agg(F.sum("n").alias("total"))
-    # The least count that leaves no more than `contexts` pairs, to an eighth of a power of two.
-    step = F.floor(F.log2("total") * 8).cast("int")
-    left, least = contexts, 0
-    for r in sorted(totals.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        if r["count"] > left:
-            least = r["step"] + 1
-            break
-        left -= r["count"]
-    rows = counted.join(totals.where(step >= least).select("key"), "key", "left_semi")
-    table = rows.select("key", "lang", "n").toArrow()
+    table = counted.select("key", "lang", "n").toArrow()
     forget(counted)
     langs = sorted(set(table["lang"].to_pylist()))
     if not langs:
