@@ -352,3 +352,10 @@ def test_language_trees_keep_every_pair(spark):
     pairs = pairs[pairs > 0]
     assert len(pairs) > 200_000 and trees.langs == ["big", "small"]
     assert np.array_equal(trees.keys, pairs)
+
+
+def test_an_id_with_three_texts_links_all_of_them(spark):
+    texts = [prose(600 + k, 30) for k in range(3)]
+    docs = [(1 + k, t) for k, t in enumerate(texts)] + [(9, t) for t in texts] + [(5, prose(700, 30))]
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(frame(spark, docs)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5}

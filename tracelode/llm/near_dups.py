@@ -256,9 +256,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         texts.withColumnRenamed("doc_id", "node").hint("merge"), "node"
     )
     more = shared_table(_between_blocks(members, least, percent), "near-more")
-    repeated = with_id.where("n > 0").join(classes, ["f", "g"]).groupBy("doc_id").agg(
-        F.min("node").alias("a"), F.max("node").alias("b")
-    )
+    # All nodes of an id with several rows are one document.
+    of_id = with_id.where("n > 0").join(classes, ["f", "g"]).select("doc_id", F.col("node").alias("b")).distinct()
+    repeated = of_id.join(of_id.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id")
     edges = links.union(more).union(repeated.where("a <> b").select("a", "b"))
     final = components(edges, "near-components")
     rows = with_id.join(classes, ["f", "g"], "left").withColumn("node", F.when(F.col("n") > 0, F.col("node")))
