@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import bpe, decontaminate, language, near_dups, quality_model, quality_rules, suffixes, token_counts, toxicity, urls
+from tracelode.llm import bpe, collocations, decontaminate, language, near_dups, quality_model, quality_rules, suffixes, token_counts, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,5 +21,8 @@ QUERIES: dict[str, Query] = {
     "op10_language": language.op10_language,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_near_dups": near_dups.op8_near_dups,
+    "op11_collocations": collocations.op11_collocations,
+}
+CHECKS: dict[str, str] = {
+    "op3_urls": urls.OP3_SQL, "op8_near_dups": near_dups.OP8_SQL, "op11_collocations": collocations.OP11_SQL,
 }
-CHECKS: dict[str, str] = {"op3_urls": urls.OP3_SQL, "op8_near_dups": near_dups.OP8_SQL}
