@@ -21,12 +21,15 @@ of any length. Grams are merged within a task by 64-bit hashes and across tasks
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import _MIX, U64, forget, load, map_batches, mix, shared_table, utf8
+from tracelode.llm.common import _MIX, U64, forget, load, mix, shared_table, text_slices, utf8, word_hashes
 from tracelode.scale import top_per
 
 #: Words of the longest gram, one more than a node has.
@@ -39,11 +42,81 @@ INSIDE = 80
 TOP = 2_000
 #: Bytes of text whose grams are merged at a time.
 SLICE = 8 << 20
+#: Bytes of text per bucket; the grams of a bucket are summed at once.
+BUCKET = 2 << 20
+#: Grams that are held before they are merged.
+HELD = 500_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 2
-_GRAM = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
+_PACKS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("grams", pa.binary()), ("counts", pa.binary())])
+_FLOWS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("words", pa.int32()), ("f", pa.int64())])
+_PACKS_DDL = "bucket long, lang string, grams binary, counts binary"
+_FLOWS_DDL = "lang string, gram string, words int, f long"
+
+
+class Lines:
+    """Strings, each ended by a line feed, with their counts."""
+
+    def __init__(self, data: np.ndarray, counts: np.ndarray, ends: np.ndarray | None = None) -> None:
+        self.data, self.counts = data, counts
+        self.ends = np.flatnonzero(data == 10) + 1 if ends is None else ends
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+
+    @classmethod
+    def cut(cls, data: np.ndarray, start: np.ndarray, end: np.ndarray, counts: np.ndarray) -> Lines:
+        """The stretches start .. end - 1 of `data`."""
+        sizes = end - start + 1
+        ends = np.cumsum(sizes)
+        out = data[np.minimum(np.arange(sizes.sum()) + np.repeat(start - ends + sizes, sizes), max(len(data) - 1, 0))]
+        out[ends - 1] = 10
+        return cls(out, counts, ends)
+
+    @classmethod
+    def joined(cls, parts: list[Lines]) -> Lines:
+        return cls(np.concatenate([p.data for p in parts]), np.concatenate([p.counts for p in parts]))
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def summed(self) -> Lines:
+        """Equal strings once, with the sum of their counts."""
+        offsets = pa.py_buffer(np.concatenate([[0], self.ends]).astype(np.int64))
+        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, offsets, pa.py_buffer(self.data)])
+        table = pa.table({"g": strings, "n": self.counts}).group_by("g").aggregate([("n", "sum")]).combine_chunks()
+        grams = table["g"].chunk(0) if len(table) else pa.array([], pa.large_binary())
+        return Lines(np.frombuffer(b"".join(grams.to_pylist()), np.uint8), table["n_sum"].to_numpy())
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of words of each string; ends of all words, and the place of each string's first among them."""
+        stops = np.flatnonzero((self.data == 32) | (self.data == 10))
+        first = np.searchsorted(stops, self.starts)
+        return np.searchsorted(stops, self.ends) - first, stops, first
+
+    def prefixes(self, n: int) -> Lines:
+        """First `n` words of each string, or all of a shorter one, summed."""
+        size, stops, first = self.words()
+        return Lines.cut(self.data, self.starts, stops[first + np.minimum(size, n) - 1], self.counts).summed()
+
+    def rows(self, lang: str, words: int, least: int) -> dict[str, object]:
+        """Columns of the strings of so many words that occur often enough."""
+        some = np.flatnonzero((self.counts >= least) & (self.words()[0] == words))
+        grams = [self.data[a : z - 1].tobytes().decode() for a, z in zip(self.starts[some], self.ends[some])]
+        return {"lang": [lang] * len(some), "gram": grams, "words": np.full(len(some), words, np.int32), "f": self.counts[some]}
+
+    def packs(self, lang: str, buckets: np.ndarray):
+        """One compressed row for each bucket."""
+        order = np.argsort(buckets, kind="stable")
+        lines = Lines.cut(self.data, self.starts[order], self.ends[order] - 1, self.counts[order])
+        cuts = np.flatnonzero(np.diff(buckets[order], prepend=-1, append=-1))
+        press = zstandard.ZstdCompressor(level=1)
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            yield {
+                "bucket": int(buckets[order[a]]), "lang": lang,
+                "grams": press.compress(lines.data[lines.starts[a] : lines.ends[z - 1]]),
+                "counts": press.compress(lines.counts[a:z].astype(np.int64)),
+            }
 
 
 def _hashes(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -56,92 +129,145 @@ def _hashes(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return mix(np.add.reduceat(term, starts) + sizes.astype(U64))
 
 
-def longest_grams(texts: list[bytes], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, from, to, kind, count) of the distinct longest grams of some texts; `kinds` keeps the grams
-    of different languages apart."""
-    joined = b"\n".join(texts).lower() + b"\n"
-    buf = np.frombuffer(joined, np.uint8)
+def longest_grams(texts: list[bytes]) -> tuple[Lines, np.ndarray]:
+    """The distinct longest grams of some texts with their counts, and a hash of the node each starts from."""
+    buf = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
     kind = _KIND[buf]
     inside = kind == 0
     turn = np.diff(inside.view(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
     n = len(starts)
     if not n:
-        none = np.empty(0, np.int64)
-        return np.empty(0, np.uint8), none, none, none, none
+        return Lines(np.empty(0, np.uint8), np.empty(0, np.int64)), np.empty(0, U64)
     piece = np.cumsum(kind == 2, dtype=np.int32)[starts]
-    sizes_of = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    of = kinds[np.searchsorted(np.cumsum(sizes_of), starts, "right")]
     keep = inside.copy()
     keep[ends] = True
     words = np.where(inside, buf, np.uint8(0x20))[keep]  # one blank after each word
     sizes = ends - starts + 1
     at = np.cumsum(sizes) - sizes
     hashed = _hashes(words, at, sizes)
-    key, last = mix(hashed + of.astype(U64)), np.arange(n)
-    open_ = np.ones(n, bool)
+    key, last = hashed.copy(), np.arange(n)
+    more = np.ones(n, bool)
+    node = key
     for step in range(1, LONGEST):
-        open_[n - step:] = False
-        open_[: n - step] &= piece[step:] == piece[: n - step]
-        i = np.flatnonzero(open_)
+        more[max(n - step, 0):] = False
+        if step < n:
+            more[: n - step] &= piece[step:] == piece[: n - step]
+        if step == LONGEST - 1:
+            node = key.copy()
+        i = np.flatnonzero(more)
         key[i] = mix(key[i] * U64(3) ^ hashed[i + step])
         last[i] += 1
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    order = np.argsort(first)
-    first = first[order]
-    return words, at[first], (at + sizes)[last[first]] - 1, of[first], counts[order]
+    return Lines.cut(words, at[first], (at + sizes)[last[first]] - 1, counts.astype(np.int64)), node[first]
 
 
-def _gather(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """Strings words[start:end]."""
-    sizes = end - start
-    offsets = np.zeros(len(sizes) + 1, np.int32)
-    np.cumsum(sizes, out=offsets[1:])
-    data = words[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], sizes)]
-    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): the longest grams starting at each word, merged within stretches of a task."""
+def _gram_packs(docs: DataFrame, buckets: int) -> DataFrame:
+    """The longest grams of each stretch of a task, packed by language and by a hash of their node."""
 
-    def start():
-        def work(batch):
+    def run(batches):
+        for batch in text_slices(batches, SLICE):
             langs = batch.column("lang").dictionary_encode()
-            texts = [utf8(x) for x in batch.column("text").to_pylist()]
-            words, a, z, kind, count = longest_grams(texts, langs.indices.to_numpy())
-            for i in range(0, len(a), 100_000):
-                part = slice(i, i + 100_000)
-                yield {
-                    "lang": langs.dictionary.take(pa.array(kind[part])), "gram": _gather(words, a[part], z[part]),
-                    "n": pa.array(count[part].astype(np.int64)),
-                }
-
-        return work
+            codes, texts = langs.indices.to_numpy(), batch.column("text")
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                of_lang = texts.filter(pa.array(codes == code))
+                lines, nodes = longest_grams([utf8(x) for x in of_lang.to_pylist()])
+                if len(lines):
+                    own = word_hashes([lang.encode()])[0]
+                    rows = list(lines.packs(lang, (mix(nodes + own) % U64(buckets)).astype(np.int64)))
+                    for i in range(0, len(rows), 100):
+                        yield _batch(rows[i : i + 100], _PACKS)
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").where("text is not null")
-    return map_batches(rows, start, _GRAM, "lang string, gram string, n long", SLICE)
-
-
-def _words(column: str):
-    return F.length(column) - F.length(F.replace(F.col(column), F.lit(" "), F.lit(""))) + 1
+    return rows.mapInArrow(run, _PACKS_DDL)
+
+
+def _buckets(batches):
+    """(lang, summed lines) of each language and bucket; rows come sorted by both."""
+    now, parts, held = None, [], 0
+    press = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            bucket, lang, grams, counts = (batch.column(k)[i].as_py() for k in range(4))
+            if (bucket, lang) != now:
+                if parts:
+                    yield now[1], Lines.joined(parts).summed()
+                now, parts, held = (bucket, lang), [], 0
+            parts.append(Lines(np.frombuffer(press.decompress(grams), np.uint8), np.frombuffer(press.decompress(counts), np.int64)))
+            held += len(parts[-1])
+            if held > HELD and len(parts) > 1:
+                parts = [Lines.joined(parts).summed()]
+                held = len(parts[0]) // 2
+    if parts:
+        yield now[1], Lines.joined(parts).summed()
+
+
+def _edge_flows(least: int, buckets: int):
+    """Frequent edges and nodes of each bucket; sums by two words, packed for the next step."""
+    schema = pa.schema([*_FLOWS, *(f for f in _PACKS if f.name != "lang")])
+
+    def run(batches):
+        held: dict[str, list[Lines]] = {}
+
+        def packs(lang):
+            pairs = Lines.joined(held.pop(lang)).summed()
+            own = word_hashes([lang.encode()])[0]
+            keys = _hashes(pairs.data, pairs.starts, pairs.ends - pairs.starts)
+            rows = list(pairs.packs(lang, (mix(keys + own) % U64(buckets)).astype(np.int64)))
+            for i in range(0, len(rows), 100):
+                yield _batch(rows[i : i + 100], schema)
+
+        for lang, edges in _buckets(batches):
+            nodes = edges.prefixes(LONGEST - 1)
+            for lines, words in ((edges, LONGEST), (nodes, LONGEST - 1)):
+                found = lines.rows(lang, words, least)
+                nothing = {k: [None] * len(found["lang"]) for k in ("bucket", "grams", "counts")}
+                yield pa.RecordBatch.from_pydict(found | nothing, schema=schema)
+            held.setdefault(lang, []).append(nodes.prefixes(LONGEST - 2))
+            if sum(map(len, held[lang])) > HELD:
+                yield from packs(lang)
+        for lang in list(held):
+            yield from packs(lang)
+
+    return run
+
+
+def _pair_flows(least: int):
+    """Frequent grams of two words; sums by one word and over all (words 0) of each bucket."""
+
+    def run(batches):
+        for lang, pairs in _buckets(batches):
+            single = pairs.prefixes(1)
+            yield pa.RecordBatch.from_pydict(pairs.rows(lang, LONGEST - 2, least), schema=_FLOWS)
+            yield pa.RecordBatch.from_pydict(single.rows(lang, 1, 0), schema=_FLOWS)
+            yield _batch([{"lang": lang, "gram": "", "words": 0, "f": int(single.counts.sum())}], _FLOWS)
+
+    return run
 
 
 def frequent_grams(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, gram, words, f): grams of one to four words that occur `least` times; words 0: all words of a language.
 
-    Rows are dealt by node; edges and flows are summed where they lie. Only sums by two words and fewer move again.
+    Grams move packed, a compressed row per stretch of text and bucket; the number of buckets follows the bytes
+    of all texts. They are dealt by their node, so edges and flows are summed where they lie; only sums by two
+    words, packed again, and by one move on.
     """
-    node = F.substring_index("gram", " ", LONGEST - 1)
-    edges = gram_counts(docs).repartition("lang", node)
-    edges = edges.select("lang", node.alias("node"), "gram", "n").groupBy("lang", "node", "gram").agg(F.sum("n").alias("f"))
-    often = F.col("f") >= least
-    out = edges.select("lang", "gram", _words("gram").alias("words"), "f").where(often & (F.col("words") == LONGEST))
-    flow = edges.groupBy("lang", "node").agg(F.sum("f").alias("f")).select("lang", F.col("node").alias("gram"), "f")
-    for n in range(LONGEST - 1, 0, -1):
-        out = out.union(flow.select("lang", "gram", _words("gram").alias("words"), "f").where(often & (F.col("words") == n)))
-        shorter = F.substring_index("gram", " ", n - 1) if n > 1 else F.lit("")
-        flow = flow.groupBy("lang", shorter.alias("gram")).agg(F.sum("f").alias("f"))
-    return out.union(flow.select("lang", "gram", F.lit(0).alias("words"), "f"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = math.ceil((size + 1) / BUCKET)
+    dealt = _gram_packs(docs, buckets).repartition("bucket").sortWithinPartitions("bucket", "lang")
+    flows = shared_table(
+        dealt.mapInArrow(_edge_flows(least, buckets), f"{_FLOWS_DDL}, bucket long, grams binary, counts binary"), "flows"
+    )
+    pairs = flows.where("bucket is not null").select("bucket", "lang", "grams", "counts").repartition("bucket")
+    shorter = pairs.sortWithinPartitions("bucket", "lang").mapInArrow(_pair_flows(least), _FLOWS_DDL)
+    shorter = shorter.groupBy("lang", "gram", "words").agg(F.sum("f").alias("f")).where(f"words = 0 or f >= {least}")
+    grams = shared_table(flows.where("bucket is null").select("lang", "gram", "words", "f").union(shorter), "grams")
+    forget(flows)
+    return grams
 
 
 def compact_paths(grams: DataFrame) -> DataFrame:
@@ -191,7 +317,7 @@ def _cut(first: int, length: int):
 
 def collocations(docs: DataFrame, least: int = LEAST, inside: int = INSIDE, top: int = TOP) -> DataFrame:
     """The `top` phrases of each language by score; see the contract in the module's text."""
-    grams = shared_table(frequent_grams(docs, least), "grams")
+    grams = frequent_grams(docs, least)
     paths = compact_paths(grams)
     within = paths.where("place > 0").select("lang", F.substring_index("gram", " ", LONGEST - 1).alias("gram"))
     phrases = grams.where("words > 1").join(within, ["lang", "gram"], "left_anti")
