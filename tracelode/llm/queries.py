@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import bpe, collocations, decontaminate, language, near_dups, prefix_trie, quality_model, quality_rules, suffixes, token_counts, toxicity, urls
+from tracelode.llm import bpe, collocations, decontaminate, language, near_dups, prefix_trie, quality_model, quality_rules, simhash, suffixes, token_counts, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_near_dups": near_dups.op8_near_dups,
     "op11_collocations": collocations.op11_collocations,
+    "op12_simhash": simhash.op12_simhash,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 CHECKS: dict[str, str] = {
