@@ -158,13 +158,17 @@ def _keyed(batches):
             yield pa.RecordBatch.from_pydict({"key": key, "print": part[row]}, schema=schema)
 
 
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(U64)) <= DISTANCE  # of signed values the bits of the magnitude would be counted
+
+
 def _forest(prints: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect what is connected among some fingerprints."""
     out, left = [], prints
     while len(left) > 1:
         root, left, ahead = left[0], left[1:], [left[0]]
         while ahead and len(left):
-            near = np.bitwise_count(left ^ ahead.pop()) <= DISTANCE
+            near = _near(left, ahead.pop())
             if near.any():
                 found = left[near]
                 out += [(int(root), int(x)) for x in found]
@@ -186,7 +190,7 @@ def _links(batches):
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for step in range(1, SMALL):
             i = np.flatnonzero(room >= step)
-            i = i[np.bitwise_count(prints[i] ^ prints[i + step]) <= DISTANCE]
+            i = i[_near(prints[i], prints[i + step])]
             a.append(prints[i])
             b.append(prints[i + step])
         for at in np.flatnonzero(sizes > SMALL):
