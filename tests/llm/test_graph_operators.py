@@ -159,17 +159,23 @@ def test_refined_groups_lose_no_link(spark, monkeypatch):
         near = np.unique(np.concatenate([near, *(near ^ f for f in flips)]))
     near = pick.permutation(near)[:600]
     links = simhash.near_prints(spark.createDataFrame([(int(x),) for x in near], "print long")).collect()
-    label = {int(x): int(x) for x in near}
-
-    def find(x):
-        while label[x] != x:
-            label[x] = label[label[x]]
-            x = label[x]
-        return x
-
-    for r in links:
-        assert ((r.a ^ r.b) & (2**64 - 1)).bit_count() <= 3
-        label[find(r.a)] = find(r.b)
-    for i, x in enumerate(near):
-        for y in near[i + 1 :][np.bitwise_count((near[i + 1 :] ^ x).view(np.uint64)) <= 3]:
-            assert find(int(x)) == find(int(y))
+
+    def parts(pairs):
+        label = {int(x): int(x) for x in near}
+
+        def find(x):
+            while label[x] != x:
+                label[x] = label[label[x]]
+                x = label[x]
+            return x
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            label[max(a, b)] = min(a, b)
+        return {x: find(x) for x in label}
+
+    direct = [
+        (int(x), int(y)) for i, x in enumerate(near)
+        for y in near[i + 1 :][np.bitwise_count((near[i + 1 :] ^ x).view(np.uint64)) <= 3]
+    ]
+    assert parts(direct) == parts((r.a, r.b) for r in links) and len(direct) > len(links) / 4
