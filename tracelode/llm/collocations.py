@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import _MIX, U64, forget, load, mix, shared_table, text_slices, utf8, word_hashes
+from tracelode.llm.common import U64, forget, load, mix, shared_table, text_slices, utf8, word_hashes
 from tracelode.scale import top_per
 
 #: Words of the longest gram, one more than a node has.
@@ -66,10 +66,13 @@ class Lines:
 
     @classmethod
     def cut(cls, data: np.ndarray, start: np.ndarray, end: np.ndarray, counts: np.ndarray) -> Lines:
-        """The stretches start .. end - 1 of `data`."""
+        """The stretches start .. end - 1 of `data`, which has a byte more at each end."""
         sizes = end - start + 1
         ends = np.cumsum(sizes)
-        out = data[np.minimum(np.arange(sizes.sum()) + np.repeat(start - ends + sizes, sizes), max(len(data) - 1, 0))]
+        kind = np.int32 if max(len(data), len(sizes) and ends[-1]) < 2**31 else np.int64
+        at = np.repeat((start - ends + sizes).astype(kind), sizes)
+        at += np.arange(len(at), dtype=kind)
+        out = data[at]
         out[ends - 1] = 10
         return cls(out, counts, ends)
 
@@ -82,11 +85,17 @@ class Lines:
 
     def summed(self) -> Lines:
         """Equal strings once, with the sum of their counts."""
+        if not len(self):
+            return self
         offsets = pa.py_buffer(np.concatenate([[0], self.ends]).astype(np.int64))
         strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, offsets, pa.py_buffer(self.data)])
-        table = pa.table({"g": strings, "n": self.counts}).group_by("g").aggregate([("n", "sum")]).combine_chunks()
-        grams = table["g"].chunk(0) if len(table) else pa.array([], pa.large_binary())
-        return Lines(np.frombuffer(b"".join(grams.to_pylist()), np.uint8), table["n_sum"].to_numpy())
+        coded = strings.dictionary_encode()
+        codes, once = coded.indices.to_numpy(), len(coded.dictionary)
+        order = np.argsort(codes, kind="stable")
+        counts = np.add.reduceat(self.counts[order], np.searchsorted(codes[order], np.arange(once)))
+        _, ends, data = coded.dictionary.buffers()
+        ends = np.frombuffer(ends, np.int64)[1 : once + 1]
+        return Lines(np.frombuffer(data, np.uint8)[: ends[-1]], counts, ends)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of words of each string; ends of all words, and the place of each string's first among them."""
@@ -97,7 +106,13 @@ class Lines:
     def prefixes(self, n: int) -> Lines:
         """First `n` words of each string, or all of a shorter one, summed."""
         size, stops, first = self.words()
-        return Lines.cut(self.data, self.starts, stops[first + np.minimum(size, n) - 1], self.counts).summed()
+        last = stops[first + np.minimum(size, n) - 1]
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.starts] = 1
+        edge[last + 1] -= 1
+        data = self.data.copy()
+        data[last] = 10
+        return Lines(data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)], self.counts, np.cumsum(last + 1 - self.starts)).summed()
 
     def rows(self, lang: str, words: int, least: int) -> dict[str, object]:
         """Columns of the strings of so many words that occur often enough."""
@@ -120,13 +135,16 @@ class Lines:
 
 
 def _hashes(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; `buf` holds the words one after the other."""
-    place = np.arange(len(buf)) - np.repeat(starts, sizes)
-    term = _MIX[place & 63, buf]
-    if sizes.max() > 64:
-        far = place > 63
-        term[far] = mix(term[far] + (place[far] >> 6).astype(U64) * U64(0xA0761D6478BD642F))
-    return mix(np.add.reduceat(term, starts) + sizes.astype(U64))
+    """A 64-bit hash of each non-empty stretch of `buf`, made of its 8-byte words."""
+    many = (sizes + 7) // 8
+    first = np.cumsum(many) - many
+    j = np.arange(many.sum()) - np.repeat(first, many)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))[np.repeat(starts, many) + 8 * j]
+    left = np.repeat(sizes, many) - 8 * j
+    short = left < 8
+    words[short] &= (U64(1) << (U64(8) * left[short].astype(U64))) - U64(1)
+    return mix(np.add.reduceat(mix(words + (j + 1).astype(U64) * U64(0xA0761D6478BD642F)), first) + sizes.astype(U64))
 
 
 def longest_grams(texts: list[bytes]) -> tuple[Lines, np.ndarray]:
