@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,11 +18,15 @@ MIN_CHUNK_SIZE = 200
 MAX_CHUNK_SIZE = 4000
 CJK = "\\u3400-\\u9fff"
 SPACE = "\\s\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\u001c-\\u001f"
-# Lower-case characters that full case folding changes further, to one character or to several.
-_FOLDED = {
-    c: c.casefold() for c in map(chr, range(0x110000)) if c.lower() == c and c.casefold() != c and not "\ud800" <= c <= "\udfff"
-}
-_FOLDED_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+#: Letters after the sharp s that full case folding may change in a lower-cased text lie in these ranges.
+LATE_FOLDS = "[\u0149-\u1fff\ua640-\uabff\ufb00-\ufb17\U00010400-\U0001e943]"
+
+
+@lru_cache(1)
+def _folded() -> dict[str, str]:
+    """Lower-case characters that full case folding changes further, to one character or to several."""
+    letters = (c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff")
+    return {c: c.casefold() for c in letters if c.lower() == c and c.casefold() != c}
 
 
 def chunk_spans(text: str, size: int) -> Iterator[tuple[int, int]]:
@@ -78,14 +83,19 @@ def chunk(df: DataFrame, text: str, carry: list[str], size: int = CHUNK_SIZE) ->
 
 
 def casefold(column: Column) -> Column:
-    """Full Unicode case folding."""
-    low = F.lower(column)
-    out = F.translate(low, "".join(_FOLDED_ONE), "".join(_FOLDED_ONE.values()))
-    for letter, plain in _FOLDED.items():
+    """Full Unicode case folding.
+
+    Of the letters that lower-casing leaves to be folded, the micro sign and the sharp s are replaced outright; the
+    others lie in a few ranges, and only texts with a character there go through the long list.
+    """
+    low = F.replace(F.translate(F.lower(column), "\u00b5", "\u03bc"), F.lit("\u00df"), F.lit("ss"))
+    late = {c: f for c, f in _folded().items() if c not in "\u00b5\u00df"}
+    one = {c: f for c, f in late.items() if len(f) == 1}
+    out = F.translate(low, "".join(one), "".join(one.values()))
+    for letter, plain in late.items():
         if len(plain) > 1:
             out = F.replace(out, F.lit(letter), F.lit(plain))
-    # Few texts hold such letters; the others skip the replacements.
-    return F.when(F.rlike(low, F.lit(f"[{''.join(_FOLDED)}]")), out).otherwise(low)
+    return F.when(F.rlike(low, F.lit(LATE_FOLDS)), out).otherwise(low)
 
 
 def strip(column: Column) -> Column:

@@ -9,6 +9,7 @@ from tracelode.functions import text as tx
 from tracelode.operators import aggregates as ag
 from tracelode.operators import golden as gd
 from tracelode.operators import scope
+from tracelode.operators import postings as pb
 from tracelode.plans.registry import query
 from tracelode.plans.scope_plans import COHORT_FROM, COHORT_SQL, cohort_rows
 from tracelode.sources.views import Tables
@@ -298,14 +299,9 @@ def agg_metric_histogram(t: Tables) -> DataFrame:
     FROM tf JOIN len ON len.workspace_id = tf.workspace_id GROUP BY 1, 2""",
 )
 def agg_term_stats(t: Tables) -> DataFrame:
-    from tracelode.operators import lexical as lx
-
-    postings = lx.postings(t("v_visible"))
-    stats = lx.corpus_stats(t("v_visible"))
-    per_term = postings.groupBy("workspace_id", "term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")
-    )
-    return per_term.join(stats, "workspace_id").select(
+    rows = t("v_postings").where("field = 'bm25'")
+    per_term = rows.groupBy("workspace_id", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("tf"))
+    return per_term.join(pb.corpus_stats(t("v_postings"), t("v_slots")), "workspace_id").select(
         "workspace_id", "term", "df", "tf", F.round("avg_len", 6).alias("avg_len")
     )
 

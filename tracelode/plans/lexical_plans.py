@@ -10,6 +10,7 @@ from tracelode.operators import aggregates as ag
 from tracelode.operators import dense, fusion, graph
 from tracelode.operators import evaluation as ev
 from tracelode.operators import lexical as lx
+from tracelode.operators import postings as pb
 from tracelode.plans.dense_plans import DIMS, rank_long
 from tracelode.plans.registry import query
 from tracelode.sources.views import Tables
@@ -35,57 +36,123 @@ def top_lexical_terms(t: Tables) -> DataFrame:
     f"SELECT query_id, unit_id, asset_id, location_key, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM v_top_simple WHERE rank <= {fusion.CANDIDATE_K}",
 )
 def top_lexical_simple(t: Tables) -> DataFrame:
-    scores = lx.simple_scores(t("v_query"), t("v_visible"))
-    return rank_long(lx.top_units(scores, t("v_visible"), fusion.CANDIDATE_K)).withColumn("score", F.round("score", 6))
+    hits = pb.simple_hits(t("v_query"), t("v_postings"), t("v_slots"), fusion.CANDIDATE_K)
+    return rank_long(pb.top_units(hits, t("v_slots"), fusion.CANDIDATE_K)).withColumn("score", F.round("score", 6))
+
+
+# Words of a text with their places, as a text search vector keeps them: 256 places a word, none beyond 16383.
+SPOTS = """spots AS (SELECT workspace_id, unit_id, w AS term, i AS place FROM (
+    SELECT workspace_id, unit_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+      SELECT workspace_id, unit_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM v_visible))
+    QUALIFY row_number() OVER (PARTITION BY unit_id, w ORDER BY i) <= 256)"""
+# With alternatives every place of a word is the shortest cover of the question at that place.
+COVERS = f"""{SPOTS}, covers AS (SELECT x.query_id, s.unit_id, 0.1 * count(DISTINCT least(s.place, 16383)) AS density
+    FROM (SELECT query_id, workspace_id, unnest(terms) AS term FROM (SELECT DISTINCT query_id, workspace_id, terms FROM v_lexed)) x
+    JOIN spots s ON s.workspace_id = x.workspace_id AND s.term = x.term GROUP BY 1, 2)"""
+RANKED = """d AS (SELECT *, row_number() OVER (PARTITION BY query_id, asset_id, location_key ORDER BY score DESC, unit_id) AS lr FROM sc)
+    SELECT query_id, unit_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM d WHERE lr = 1) WHERE rank <= """
+SHARE = "CASE WHEN len(terms) = 1 THEN 1.0 ELSE len([x for x in terms if contains(body, x)]) / len(terms) END"
 
 
-HITS = """hits AS (SELECT *, (SELECT count(*) FROM unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) w(x) WHERE list_contains(terms, x)) AS n_hits FROM v_lexed)"""
+def top_ranked(t: Tables, hits: DataFrame, k: int, slots: str = "v_slots") -> DataFrame:
+    return rank_long(pb.top_units(hits, t(slots), k)).select("query_id", "unit_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
     "top_lexical_latin",
-    f"""WITH {HITS}, sc AS (SELECT *, round(CASE WHEN len(terms) = 1 THEN 1.0 ELSE len([x for x in terms if contains(body, x)]) / len(terms) END + 0.1 * n_hits, 9) AS score FROM hits WHERE n_hits > 0),
-    d AS (SELECT *, row_number() OVER (PARTITION BY query_id, asset_id, location_key ORDER BY score DESC, unit_id) AS lr FROM sc)
-    SELECT query_id, unit_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM d WHERE lr = 1) WHERE rank <= {K}""",
+    f"""WITH {COVERS}, sc AS (SELECT l.*, round({SHARE} + density, 9) AS score FROM v_lexed l JOIN covers c ON c.query_id = l.query_id AND c.unit_id = l.unit_id),
+    {RANKED}{K}""",
 )
 def top_lexical_latin(t: Tables) -> DataFrame:
-    scores = lx.latin_scores(t("v_query"), t("v_visible"))
-    return rank_long(lx.top_units(scores, t("v_visible"), K)).select(
-        "query_id", "unit_id", F.round("score", 6).alias("score"), "rank"
-    )
+    return top_ranked(t, pb.latin_hits(t("v_query"), t("v_postings"), t("v_slots"), K), K)
+
+
+# Covers of all words of a question: for every place the latest start that still has them all, each start once.
+EVERY = f"""asked AS (SELECT query_id, workspace_id, list_distinct(regexp_extract_all(text, '[a-z]+')) AS terms FROM (
+      SELECT query_id, workspace_id, lower(regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+', 0)) AS text FROM v_query) WHERE text <> ''),
+    {SPOTS}, merged AS (SELECT a.query_id, len(a.terms) AS n, s.unit_id, s.term, least(s.place, 16383) AS place FROM asked a JOIN spots s
+      ON s.workspace_id = a.workspace_id AND list_contains(a.terms, s.term)),
+    ends AS (SELECT e.query_id, e.unit_id, e.n, e.place AS p, b.term, max(b.place) AS last FROM merged e JOIN merged b
+      ON b.query_id = e.query_id AND b.unit_id = e.unit_id AND b.place <= e.place GROUP BY ALL),
+    starts AS (SELECT query_id, unit_id, p, min(last) AS start FROM ends GROUP BY query_id, unit_id, p, n HAVING count(*) = n),
+    shortest AS (SELECT query_id, unit_id, start, min(p) AS p FROM starts GROUP BY ALL),
+    noise AS (SELECT c.query_id, c.unit_id, c.start, any_value(c.p) - c.start - (count(*) - 1) AS noise FROM shortest c JOIN merged m
+      ON m.query_id = c.query_id AND m.unit_id = c.unit_id AND m.place BETWEEN c.start AND c.p GROUP BY 1, 2, 3),
+    covers AS (SELECT query_id, unit_id, sum(0.1 / (1 + noise)) AS density FROM noise GROUP BY 1, 2)"""
 
 
 @query(
-    "top_lexical_match_count",
-    f"WITH {HITS} SELECT query_id, CAST(count(*) AS BIGINT) AS n_units FROM hits WHERE n_hits > 0 GROUP BY 1",
+    "top_lexical_every",
+    f"""WITH {EVERY}, sc AS (SELECT c.query_id, c.unit_id, v.asset_id, v.location_key, round(1.0 + density, 9) AS score
+      FROM covers c JOIN v_visible v ON v.unit_id = c.unit_id), {RANKED}{K}""",
 )
-def top_lexical_match_count(t: Tables) -> DataFrame:
-    return lx.word_hits(t("v_query"), t("v_visible")).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_units"))
+def top_lexical_every(t: Tables) -> DataFrame:
+    """Two words that must both occur, ranked by how close together they stand."""
+    asked = t("v_query").withColumn("text", F.lower(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0))).where("text <> ''")
+    return top_ranked(t, pb.latin_hits(asked, t("v_postings"), t("v_slots"), K, every=True), K)
 
 
-GRAMS = """list_distinct(flatten([[substr('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)] for w in list_distinct(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'))]))"""
+HITS = """hits AS (SELECT *, (SELECT count(*) FROM unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) w(x) WHERE list_contains(terms, x)) AS n_hits FROM v_lexed)"""
 
 
 @query(
-    "top_lexical_cjk",
-    f"""WITH g AS (SELECT q.query_id, v.unit_id, v.asset_id, v.location_key, len(list_intersect(q.g, v.g)) / len(q.g) AS score
-      FROM (SELECT query_id, workspace_id, {GRAMS.format(c="text")} AS g FROM v_query) q
-      JOIN (SELECT workspace_id, unit_id, asset_id, location_key, {GRAMS.format(c="text")} AS g FROM v_visible) v ON v.workspace_id = q.workspace_id),
-    d AS (SELECT *, row_number() OVER (PARTITION BY query_id, asset_id, location_key ORDER BY score DESC, unit_id) AS lr FROM g)
-    SELECT query_id, unit_id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rank FROM d WHERE lr = 1) WHERE rank <= {K}""",
+    "top_lexical_match_count",
+    f"WITH {HITS} SELECT query_id, CAST(count(*) AS BIGINT) AS n_units FROM hits WHERE n_hits > 0 GROUP BY 1",
 )
+def top_lexical_match_count(t: Tables) -> DataFrame:
+    return pb.match_counts(t("v_query"), t("v_postings"))
+
+
+# Trigrams of the words of a text, in order.
+GRAMS = """flatten([[substr('  ' || w || ' ', i, 3) for i in range(1, length(w) + 2)] for w in regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')])"""
+# Word similarity: the best stretch of the text's trigrams, from one that the question has to another. A trigram counts
+# as a different one in a stretch that starts at i if it stood last before i.
+SIMILAR = f"""cq AS (SELECT query_id, workspace_id, list_distinct({GRAMS.format(c="text")}) AS q FROM v_mixed_query WHERE item_id % 2 = 0 AND length(text) > 1),
+    cu AS (SELECT workspace_id, unit_id, x, i, coalesce(lag(i) OVER (PARTITION BY unit_id, x ORDER BY i), 0) AS before FROM (
+      SELECT workspace_id, unit_id, unnest(g) AS x, generate_subscripts(g, 1) AS i FROM (SELECT workspace_id, unit_id, {GRAMS.format(c="text")} AS g FROM v_mixed_unit))),
+    cl AS (SELECT unit_id, list(before ORDER BY i) AS b FROM cu GROUP BY 1),
+    meets AS (SELECT c.query_id, len(c.q) AS n, u.unit_id, u.i, u.before FROM cu u JOIN (SELECT query_id, workspace_id, q, unnest(q) AS x FROM cq) c
+      ON c.workspace_id = u.workspace_id AND c.x = u.x),
+    ml AS (SELECT query_id, unit_id, n, list(i ORDER BY i) AS spot, list(before ORDER BY i) AS b FROM meets GROUP BY 1, 2, 3),
+    starts AS (SELECT m.query_id, m.unit_id, m.n, m.spot[k] AS i, m.spot[k:] AS ends, m.b[k:] AS mb, c.b AS ub
+      FROM (SELECT *, unnest(range(1, len(spot) + 1)) AS k FROM ml) m JOIN cl c ON c.unit_id = m.unit_id),
+    fresh AS (SELECT query_id, unit_id, n, i, ends, list_filter(ends, lambda e: ub[e] < i) AS shared,
+      list_filter(range(i, list_last(ends) + 1), lambda x: ub[x] < i) AS seen FROM starts),
+    marks AS (SELECT query_id, unit_id, n, i, x, 0 AS kind, row_number() OVER (PARTITION BY query_id, unit_id, i ORDER BY x) AS c FROM (
+      SELECT query_id, unit_id, n, i, unnest(seen) AS x FROM fresh)),
+    best AS (SELECT s.query_id, s.unit_id, max(s.shared / (s.n + m.c - s.shared)) AS similarity FROM (
+        SELECT query_id, unit_id, n, i, unnest(shared) AS x, generate_subscripts(shared, 1) AS shared FROM fresh) s
+      JOIN marks m ON m.query_id = s.query_id AND m.unit_id = s.unit_id AND m.i = s.i AND m.x = s.x GROUP BY 1, 2),
+    alike AS (SELECT c.query_id, v.unit_id, v.asset_id, v.location_key, round(coalesce(b.similarity, 0), 9) AS score
+      FROM cq c JOIN v_mixed_unit v ON v.workspace_id = c.workspace_id LEFT JOIN best b ON b.query_id = c.query_id AND b.unit_id = v.unit_id)"""
+MIXED_SPOTS = SPOTS.replace("v_visible", "v_mixed_unit")
+MIXED = f"""{SIMILAR}, {MIXED_SPOTS},
+    lexed AS (SELECT q.query_id, q.workspace_id, q.terms, v.unit_id, v.asset_id, v.location_key, replace(lower(v.text), 'ß', 'ss') AS body
+      FROM (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS terms FROM v_mixed_query WHERE item_id % 2 = 1) q
+      JOIN v_mixed_unit v ON v.workspace_id = q.workspace_id),
+    covers AS (SELECT x.query_id, s.unit_id, 0.1 * count(DISTINCT least(s.place, 16383)) AS density
+      FROM (SELECT query_id, workspace_id, unnest(terms) AS term FROM (SELECT DISTINCT query_id, workspace_id, terms FROM lexed)) x
+      JOIN spots s ON s.workspace_id = x.workspace_id AND s.term = x.term GROUP BY 1, 2),
+    sc AS (SELECT * FROM alike UNION ALL SELECT l.query_id, l.unit_id, asset_id, location_key, round({SHARE} + density, 9) FROM lexed l
+      JOIN covers c ON c.query_id = l.query_id AND c.unit_id = l.unit_id)"""
+
+
+@query("top_lexical_cjk", f"WITH {SIMILAR}, sc AS (SELECT * FROM alike), {RANKED}{K}")
 def top_lexical_cjk(t: Tables) -> DataFrame:
-    units = t("v_visible")
-    scores = lx.with_fill(lx.trigram_scores(t("v_query"), units), t("v_query"), units, K)
-    return rank_long(lx.top_units(scores, units, K)).select(
-        "query_id", "unit_id", F.round("score", 6).alias("score"), "rank"
-    )
+    asked = t("v_mixed_query").where("item_id % 2 = 0 AND length(text) > 1")
+    return top_ranked(t, pb.similar_hits(asked, t("v_mixed_slots"), K), K, "v_mixed_slots")
+
+
+@query("top_lexical_production", f"WITH {MIXED}, {RANKED}{K}")
+def top_lexical_production(t: Tables) -> DataFrame:
+    """Latin and CJK questions in one plan, each by its rule."""
+    hits = pb.production_hits(t("v_mixed_query"), t("v_mixed_postings"), t("v_mixed_slots"), K)
+    return top_ranked(t, hits, K, "v_mixed_slots")
 
 
 def bm25_pages(t: Tables, k: int) -> DataFrame:
-    return lx.page_best(lx.bm25_scores(t("v_query"), t("v_visible")), t("v_visible"), k)
+    return pb.page_best(pb.bm25_hits(t("v_query"), t("v_postings"), t("v_slots"), k), t("v_slots"), k)
 
 
 @query(
@@ -103,10 +170,9 @@ def top_bm25(t: Tables) -> DataFrame:
     "SELECT query_id, asset_id, CAST(page_number AS BIGINT) AS page_number, round(max(score), 6) AS score FROM v_bm25 GROUP BY 1, 2, 3",
 )
 def win_page_best(t: Tables) -> DataFrame:
-    scores = lx.bm25_scores(t("v_query"), t("v_visible"))
-    keyed = scores.join(t("v_visible").select("unit_id", "asset_id", "page_number"), "unit_id")
-    return keyed.groupBy("query_id", "asset_id", F.col("page_number").cast("long").alias("page_number")).agg(
-        F.round(F.max("score"), 6).alias("score")
+    hits = pb.bm25_hits(t("v_query"), t("v_postings"), t("v_slots"), None)
+    return pb.page_best(hits, t("v_slots"), None).select(
+        "query_id", "asset_id", F.col("page_number").cast("long").alias("page_number"), F.round("score", 6).alias("score")
     )
 
 
@@ -115,8 +181,7 @@ def hybrid_dense(t: Tables, k: int) -> DataFrame:
 
 
 def hybrid_lexical(t: Tables, k: int) -> DataFrame:
-    scores = lx.simple_scores(t("v_hquery"), t("v_visible"))
-    return lx.top_units(scores, t("v_visible"), k)
+    return pb.top_units(pb.simple_hits(t("v_hquery"), t("v_postings"), t("v_slots"), k), t("v_slots"), k)
 
 
 def hybrid(t: Tables, k: int = K, candidates: int = fusion.CANDIDATE_K) -> DataFrame:

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelode.functions import text as tx
-from tracelode.operators import dense, scope
+from tracelode.operators import dense, postings, scope
 from tracelode.session import shared_dir
 
 BASE_TABLES = (
@@ -21,6 +21,9 @@ BASE_TABLES = (
     "benchmark labels conversations"
 ).split()
 
+_PLAIN = "abcdefghijklmnopqrstuvwxyz0123456789"
+_IDEOGRAPHS = "".join(chr(0x4E00 + 97 * i) for i in range(len(_PLAIN)))
+
 VIEW_SQL: dict[str, str] = {
     "v_asset": """
 SELECT CAST(doc_id AS STRING) AS asset_id, source AS workspace_id,
@@ -135,6 +138,15 @@ WHERE e.is_current AND e.embedding_space = 'text' AND e.provider = 'main' AND e.
     "v_query": """
 SELECT CAST(item_id AS STRING) AS query_id, item_id, CONCAT('src', CAST(item_id % 20 AS STRING)) AS workspace_id, text
 FROM benchmark""",
+    # Texts in CJK characters: every letter and digit of every other asset and question becomes one.
+    "v_mixed_unit": f"""
+SELECT unit_id, workspace_id, asset_id, location_key, page_number,
+  CASE WHEN CAST(asset_id AS BIGINT) % 4 < 2 THEN TRANSLATE(LOWER(text), '{_PLAIN}', '{_IDEOGRAPHS}') ELSE text END AS text
+FROM v_visible""",
+    "v_mixed_query": f"""
+SELECT query_id, item_id, workspace_id, CASE WHEN item_id % 2 = 0
+  THEN TRANSLATE(LOWER(regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+', 0)), '{_PLAIN}', '{_IDEOGRAPHS}') ELSE text END AS text
+FROM v_query""",
     "v_hquery": """
 SELECT q.query_id, q.item_id, q.workspace_id, q.text, p.label, p.embedding FROM v_query q
 JOIN v_probe p ON p.workspace_id = q.workspace_id AND p.label = q.item_id % 10""",
@@ -396,7 +408,10 @@ def check_sql(sql: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
-_STORED = {"v_unit_base", "v_unit", "v_locator", "v_embedding", "v_visible", "v_dense"}
+_STORED = {
+    "v_unit_base", "v_unit", "v_locator", "v_embedding", "v_visible", "v_dense", "v_slots", "v_postings", "v_mixed_slots",
+    "v_mixed_postings",
+}
 _written: dict[tuple[str, str, str, str], str] = {}
 
 
@@ -451,6 +466,10 @@ class Tables:
                 self("documents").selectExpr("doc_id AS vec_id", "source AS workspace_id"), "vec_id"
             )
             return dense.label_probes(vectors, 64)
+        if name in ("v_slots", "v_mixed_slots"):
+            return postings.slots(self("v_visible" if name == "v_slots" else "v_mixed_unit"))
+        if name in ("v_postings", "v_mixed_postings"):
+            return postings.index(self(name.replace("postings", "slots")))
         if name == "v_dense":
             vectors = scope.embedding_scope(
                 self("v_embedding"), space="text", provider="main", model="base", version="v1",
