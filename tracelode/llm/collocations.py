@@ -41,11 +41,11 @@ INSIDE = 80
 #: Phrases reported per language.
 TOP = 2_000
 #: Bytes of text whose grams are merged at a time.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Bytes of text per bucket; the grams of a bucket are summed at once.
 BUCKET = 2 << 20
 #: Grams that are held before they are merged.
-HELD = 500_000
+HELD = 250_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
