@@ -1,9 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracelode.functions import records as rc
 from tracelode.functions import text as tx
-from tracelode.operators import lexical as lx
 
 
 def one(spark, value, expression):
@@ -45,49 +46,6 @@ def test_terms_of_mixed_and_cjk_queries(spark):
     assert one(spark, "Ab 图表", tx.bm25_tokens) == ["ab", "图", "表", "图表"]
 
 
-@pytest.mark.parametrize("block", [1, 4000])
-def test_simple_scores_with_cjk_and_whole_query(spark, monkeypatch, block):
-    monkeypatch.setattr(lx, "TERM_BLOCK", block)
-    queries = spark.createDataFrame([("q1", "w", "检索增强"), ("q2", "w", "big Straße"), ("q3", "w", "a")], "query_id string, workspace_id string, text string")
-    units = spark.createDataFrame(
-        [("u1", "w", "关于检索增强的说明"), ("u2", "w", "a BIG STRASSE here"), ("u3", "w", "zzz"), ("u4", "v", "检索增强")],
-        "unit_id string, workspace_id string, text string",
-    )
-    got = {(r["query_id"], r["unit_id"]): round(r["score"], 6) for r in lx.simple_scores(queries, units).collect()}
-    # ASCII words only: the query splits at its non-ASCII letter.
-    assert got[("q1", "u1")] == 2.0
-    assert got[("q2", "u2")] == 1.0 + 1.0
-    assert got[("q3", "u2")] == 2.0
-    assert ("q1", "u4") not in got and not [k for k in got if k[1] == "u3"]
-
-
-@pytest.mark.parametrize("block", [1, 4000])
-def test_long_terms_match_inside_words(spark, monkeypatch, block):
-    monkeypatch.setattr(lx, "TERM_BLOCK", block)
-    queries = spark.createDataFrame([("q", "w", "tion station")], "query_id string, workspace_id string, text string")
-    units = spark.createDataFrame([("u1", "w", "substations"), ("u2", "w", "notion"), ("u3", "w", "ti on")], "unit_id string, workspace_id string, text string")
-    got = {r["unit_id"]: round(r["score"], 6) for r in lx.simple_scores(queries, units).collect()}
-    assert got == {"u1": 1.0, "u2": 0.5}
-
-
-def test_bm25_counts_each_query_term_once(spark):
-    units = spark.createDataFrame([("u1", "w", "apple apple pear"), ("u2", "w", "pear")], "unit_id string, workspace_id string, text string")
-    a = spark.createDataFrame([("q", "w", "apple apple")], "query_id string, workspace_id string, text string")
-    b = spark.createDataFrame([("q", "w", "apple")], "query_id string, workspace_id string, text string")
-    assert lx.bm25_scores(a, units).collect() == lx.bm25_scores(b, units).collect()
-
-
-def test_trigram_fill_gives_k_locations(spark):
-    queries = spark.createDataFrame([("q", "w", "检索")], "query_id string, workspace_id string, text string")
-    units = spark.createDataFrame(
-        [(f"u{i}", "w", t, f"a{i}", f"l{i}") for i, t in enumerate(["其他", "检索", "无关", "more"])],
-        "unit_id string, workspace_id string, text string, asset_id string, location_key string",
-    )
-    scores = lx.with_fill(lx.trigram_scores(queries, units), queries, units, 3)
-    top = lx.top_units(scores, units, 3).orderBy("rank").collect()
-    assert [r["unit_id"] for r in top] == ["u1", "u0", "u2"] and top[0]["score"] == 1.0
-
-
 def test_normal_answer_and_phrases(spark):
     assert one(spark, "Ｒｅｓｕｌｔ： ﬁne [1], Straße!", tx.normal_output) == "result fine strasse"
     df = spark.createDataFrame([("the red fox",)], "t string")
@@ -121,6 +79,11 @@ def test_slug(spark):
     assert one(spark, " - ", lambda c: tx.slug(c, F.lit("fallback"))) == "fallback"
 
 
-@pytest.mark.parametrize("text", ["Straße ﬁne ﬃ ŉ ǰ", "ΣΑΣ ς", "ſet ẞ", "plain ASCII", "µ ϐ"])
+@pytest.mark.parametrize("text", ["Straße ﬁne ﬃ ŉ ǰ", "ΣΑΣ ς", "ſet ẞ", "plain ASCII", "µ ϐ", "Ꭰ ꭰ ᏸ և ᾳ µß", "été Größe"])
 def test_casefold_is_full(spark, text):
     assert one(spark, text, tx.casefold) == text.casefold()
+
+
+def test_late_folds_lie_in_the_ranges():
+    late = re.compile(tx.LATE_FOLDS)
+    assert all(late.match(c) for c in tx._folded() if c not in "µß")

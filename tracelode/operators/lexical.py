@@ -1,230 +1,10 @@
-"""Lexical search over postings: BM25, substring share, token-or with density, trigram similarity."""
+"""Ranks of ordered lists."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tracelode.functions import text as tx
-from tracelode.scale import top_per
-from tracelode.session import checkpoint
-
-# Fixed values.
-K1 = 1.2
-B = 0.75
-OCCURRENCE_WEIGHT = 0.1
-
-
-def postings(units: DataFrame) -> DataFrame:
-    """(workspace_id, unit_id, term, tf)."""
-    return (
-        units.select("workspace_id", "unit_id", F.explode(tx.bm25_tokens(F.col("text"))).alias("term"))
-        .groupBy("workspace_id", "unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-
-
-def lengths(units: DataFrame) -> DataFrame:
-    return units.select("workspace_id", "unit_id", F.size(tx.bm25_tokens(F.col("text"))).alias("n_tokens"))
-
-
-def corpus_stats(units: DataFrame) -> DataFrame:
-    """Units and mean token count per workspace."""
-    return lengths(units).groupBy("workspace_id").agg(
-        F.count(F.lit(1)).alias("n_units"), F.avg("n_tokens").alias("avg_len")
-    )
-
-
-def query_terms(queries: DataFrame, terms: Column) -> DataFrame:
-    return queries.select("query_id", "workspace_id", F.explode(F.array_distinct(terms)).alias("term"))
-
-
-def bm25_scores(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """(query_id, unit_id, score) for every unit sharing a term with the query.
-
-    Only terms some query asks for are kept before anything is shuffled by term.
-    """
-    asked = query_terms(queries, tx.bm25_tokens(F.col("text")))
-    wanted = asked.select("workspace_id", "term").distinct()
-    tokens = units.select("workspace_id", "unit_id", tx.bm25_tokens(F.col("text")).alias("_tokens"))
-    sized = tokens.withColumn("n_tokens", F.size("_tokens"))
-    hits = (
-        sized.select("workspace_id", "unit_id", "n_tokens", F.explode("_tokens").alias("term"))
-        .join(wanted, ["workspace_id", "term"], "left_semi")
-        .groupBy("workspace_id", "unit_id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    stats = corpus_stats(units)
-    df = hits.groupBy("workspace_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    n, d, tf = F.col("n_units"), F.col("df"), F.col("tf")
-    idf = F.log(1.0 + (n - d + 0.5) / (d + 0.5))
-    norm = tf + K1 * (1.0 - B + B * F.col("n_tokens") / F.col("avg_len"))
-    weights = asked.join(df, ["workspace_id", "term"]).join(stats, "workspace_id")
-    return (
-        weights.join(hits, ["workspace_id", "term"])
-        .groupBy("query_id", "workspace_id", "unit_id")
-        .agg(F.round(F.sum(idf * tf * (K1 + 1.0) / norm), 9).alias("score"))
-        .where(F.col("score") > 0)
-    )
-
-
-#: Terms of a workspace that a text is scanned for at a time.
-TERM_BLOCK = 4_000
-
-
-def _matches(asked: DataFrame, units: DataFrame) -> DataFrame:
-    """(workspace_id, unit_id, term) where the case-folded text contains the term.
-
-    The terms of a workspace come in blocks of about `TERM_BLOCK`, as many blocks as it takes; a text meets
-    each block once, and an automaton over the block finds all its terms in one pass. Only matches leave
-    the task.
-    """
-    sizes = asked.groupBy("workspace_id").agg(F.ceil(F.count(F.lit(1)) / TERM_BLOCK).alias("_blocks"))
-    block = F.pmod(F.xxhash64("term"), F.col("_blocks"))
-    lists = asked.join(sizes, "workspace_id").groupBy("workspace_id", block.alias("_block")).agg(
-        F.sort_array(F.collect_list("term")).alias("_terms")
-    )
-    folded = units.select("workspace_id", "unit_id", tx.casefold(F.col("text")).alias("_folded"))
-
-    def matches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automata: dict[tuple[str, int], ahocorasick.Automaton] = {}
-        for batch in batches:
-            found = []
-            for space, unit, body, number, terms in batch.itertuples(index=False, name=None):
-                if (space, number) not in automata:
-                    if len(automata) > 8:
-                        automata.clear()
-                    made = automata[space, number] = ahocorasick.Automaton()
-                    for term in terms:
-                        made.add_word(term, term)
-                    made.make_automaton()
-                if body:
-                    found += [(space, unit, term) for term in {t for _, t in automata[space, number].iter(body)}]
-            yield pd.DataFrame(found, columns=["workspace_id", "unit_id", "term"])
-
-    joined = folded.join(lists, "workspace_id").select("workspace_id", "unit_id", "_folded", "_block", "_terms")
-    return joined.mapInPandas(matches, "workspace_id string, unit_id string, term string")
-
-
-def substring_matches(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """(query_id, workspace_id, unit_id, term) where the case-folded unit text contains the term."""
-    asked = query_terms(queries, tx.lexical_terms(F.col("text")))
-    found = _matches(asked.select("workspace_id", "term").where("term <> ''").distinct(), units)
-    return asked.join(found, ["workspace_id", "term"])
-
-
-def term_counts(queries: DataFrame) -> DataFrame:
-    return queries.select(
-        "query_id", F.size(tx.lexical_terms(F.col("text"))).alias("n_terms"),
-        tx.casefold(F.col("text")).alias("folded"),
-    )
-
-
-def simple_scores(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """Share of matched terms, plus 1 when the whole query occurs in the text.
-
-    The whole query can only occur where every term does, so the text is joined in for those alone.
-    The counts are needed twice and are therefore stored in between.
-    """
-    matched = substring_matches(queries, units).groupBy("query_id", "workspace_id", "unit_id").agg(
-        F.count(F.lit(1)).alias("_matched")
-    )
-    sized = checkpoint(matched.join(term_counts(queries), "query_id"))
-    full = sized.where(F.col("_matched") == F.col("n_terms"))
-    texts = full.join(units.select("unit_id", "text"), "unit_id").where(
-        F.contains(tx.casefold(F.col("text")), F.col("folded"))
-    ).select("query_id", "unit_id", F.lit(1.0).alias("_bonus"))
-    return (
-        sized.join(texts, ["query_id", "unit_id"], "left")
-        .select(
-            "query_id", "workspace_id", "unit_id",
-            (F.col("_matched") / F.col("n_terms") + F.coalesce("_bonus", F.lit(0.0))).alias("score"),
-        )
-    )
-
-
-def word_hits(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """(query_id, workspace_id, unit_id, n_hits): occurrences of query words as whole tokens."""
-    asked = queries.select(
-        "query_id", "workspace_id", F.explode(F.array_distinct(tx.latin_words(F.col("text")))).alias("term")
-    )
-    wanted = asked.select("workspace_id", "term").distinct()
-    words = units.select(
-        "workspace_id", "unit_id",
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}]+)"), 1)).alias("term"),
-    ).join(wanted, ["workspace_id", "term"], "left_semi")
-    counted = words.groupBy("workspace_id", "unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return asked.join(counted, ["workspace_id", "term"]).groupBy("query_id", "workspace_id", "unit_id").agg(
-        F.sum("tf").alias("n_hits")
-    )
-
-
-def latin_scores(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """Units holding any query word as a token; score = substring share + weighted occurrences."""
-    hits = word_hits(queries, units)
-    shares = substring_matches(queries, units).groupBy("query_id", "workspace_id", "unit_id").agg(
-        F.count(F.lit(1)).alias("_matched")
-    )
-    coverage = F.when(F.col("n_terms") == 1, 1.0).otherwise(F.coalesce("_matched", F.lit(0)) / F.col("n_terms"))
-    return (
-        hits.join(shares, ["query_id", "workspace_id", "unit_id"], "left")
-        .join(term_counts(queries), "query_id")
-        .select(
-            "query_id", "workspace_id", "unit_id",
-            F.round(coverage + OCCURRENCE_WEIGHT * F.col("n_hits"), 9).alias("score"),
-        )
-    )
-
-
-def trigram_scores(queries: DataFrame, units: DataFrame) -> DataFrame:
-    """Share of the query's word trigrams found among the unit's (set containment)."""
-    asked = queries.select(
-        "query_id", "workspace_id", tx.word_trigrams(F.col("text")).alias("_g")
-    ).withColumn("n_grams", F.size("_g"))
-    asked = asked.select("query_id", "workspace_id", "n_grams", F.explode("_g").alias("gram"))
-    wanted = asked.select("workspace_id", "gram").distinct()
-    grams = units.select(
-        "workspace_id", "unit_id", F.explode(tx.word_trigrams(F.col("text"))).alias("gram")
-    ).join(wanted, ["workspace_id", "gram"], "left_semi")
-    return (
-        asked.join(grams, ["workspace_id", "gram"])
-        .groupBy("query_id", "workspace_id", "unit_id", "n_grams").agg(F.count(F.lit(1)).alias("_shared"))
-        .select("query_id", "workspace_id", "unit_id", (F.col("_shared") / F.col("n_grams")).alias("score"))
-    )
-
-
-def top_units(scores: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """Best item per location, then the first k by (-score, unit id)."""
-    keyed = scores.join(units.select("unit_id", "asset_id", "location_key"), "unit_id")
-    best = keyed.groupBy("query_id", "asset_id", "location_key").agg(
-        F.min(F.struct((-F.col("score")).alias("neg"), "unit_id")).alias("b")
-    ).select(
-        "query_id", "asset_id", "location_key", F.col("b.unit_id").alias("unit_id"), (-F.col("b.neg")).alias("score")
-    )
-    return top_per(best, ["query_id"], [F.desc("score"), F.col("unit_id")], k)
-
-
-def with_fill(scores: DataFrame, queries: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """Add score-0 units in id order, so that k locations exist whenever the scope has them.
-
-    A query short of k locations has fewer than k scored ones, so the first 2k locations of its
-    workspace hold at least k without a score.
-    """
-    first = units.groupBy("workspace_id", "asset_id", "location_key").agg(F.min("unit_id").alias("unit_id"))
-    lowest = top_per(first, ["workspace_id"], [F.col("unit_id")], 2 * k).select("workspace_id", "unit_id")
-    zero = queries.select("query_id", "workspace_id").join(lowest, "workspace_id")
-    missing = zero.join(scores.select("query_id", "unit_id"), ["query_id", "unit_id"], "left_anti")
-    return scores.unionByName(missing.select("query_id", "workspace_id", "unit_id", F.lit(0.0).alias("score")))
-
-
-def page_best(scores: DataFrame, units: DataFrame, k: int) -> DataFrame:
-    """Best score per page, ordered (-score, asset, page), first k."""
-    keyed = scores.join(units.select("unit_id", "asset_id", "page_number"), "unit_id")
-    best = keyed.groupBy("query_id", "asset_id", "page_number").agg(F.max("score").alias("score"))
-    return top_per(best, ["query_id"], [F.desc("score"), F.col("asset_id"), F.col("page_number")], k)
-
 
 def rank_of(keys: list[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
