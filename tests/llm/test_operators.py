@@ -49,6 +49,23 @@ def results(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
+def test_common_passage_of_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "LARGE", 20)
+    monkeypatch.setattr(suffixes._compare, "__defaults__", (7,))
+    passage = prose(11, 90)
+    rows = [(k, f"{prose(1000 + k, 40)} {passage[k % 5 :]} {prose(3000 + k, 40)}") for k in range(150)]
+    seen = collections.Counter(t.encode()[k : k + 400] for _, t in rows for k in range(len(t.encode()) - 399))
+    want = {}
+    for i, t in rows:
+        mark = bytearray(len(t.encode()))
+        for k in range(len(mark) - 399):
+            if seen[t.encode()[k : k + 400]] > 1:
+                mark[k : k + 400] = b"\1" * 400
+        want[i] = sum(mark)
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(frame(spark, rows)).collect()}
+    assert got == want and min(want.values()) > 400
+
+
 def test_suffix_dedup_equals_brute_force(spark, rows, monkeypatch):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = collections.Counter(t[k : k + 400] for _, t in texts for k in range(len(t) - 399))

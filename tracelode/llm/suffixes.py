@@ -297,64 +297,76 @@ def _padded(table: pa.Table, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.nda
     return out, left, right
 
 
-def _repeating(table: pa.Table, unit: Unit) -> dict:
-    """Ranges of the contexts (key, f, c, left, right, bytes, low, high) that another context with the same
-    key has too; strings that begin at offsets low to high of the context are looked at."""
-    grid, left, right = _padded(table, unit)
-    n, reach = len(left), unit.reach
-    hashes = rolling(grid.ravel(), unit.match)
-    where = (np.arange(n) * unit.width)[:, None] + np.arange(reach + 1)
-    key = mix(table["key"].to_numpy().view(np.uint64))
-    offset = np.arange(reach + 1)
-    value = mix(hashes[where] + key[:, None] * U64(3) + offset.astype(np.uint64) * U64(0x2545F4914F6CDD1D))
-    valid = (offset >= reach - left[:, None]) & (offset <= right[:, None])
-    valid &= (offset >= table["low"].to_numpy()[:, None]) & (offset <= table["high"].to_numpy()[:, None])
-    flat = np.flatnonzero(valid)
-    seen = value.ravel()[flat]
-    order = np.argsort(seen)
-    same = seen[order[1:]] == seen[order[:-1]]
-    twice = np.zeros(len(flat), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    hit = np.zeros((n, reach + 3), np.int8)
-    hit[:, 1:-1].flat[flat[twice]] = 1
-    edge = np.diff(hit, axis=1)
-    row, first = np.nonzero(edge == 1)
-    _, last = np.nonzero(edge == -1)
-    f, c = table["f"].to_numpy(), table["c"].to_numpy()
-    return {
-        "f": f[row], "c": c[row], "start": (first - reach).astype(np.int32), "end": (last - 1 - reach + unit.match).astype(np.int32),
-    }
-
-
-def _in_groups(batches, chunk: int = 2_000):
-    """Tables of whole groups of equal `key`, of about `chunk` rows, from batches sorted by `key`."""
-    rest: list[pa.RecordBatch] = []
-    n = 0
-    for batch in batches:
-        rest.append(batch)
-        n += batch.num_rows
-        if n < chunk:
-            continue
-        table = pa.Table.from_batches(rest).combine_chunks()
-        key = table["key"].to_numpy()
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        at = 0
-        while len(cuts) and cuts[-1] > at:
-            k = np.searchsorted(cuts, at + chunk, "right") - 1
-            to = int(cuts[k]) if k >= 0 and cuts[k] > at else int(cuts[np.searchsorted(cuts, at, "right")])
-            yield table.slice(at, to - at)
-            at = to
-        rest = table.slice(at).to_batches()
-        n = table.num_rows - at
-    if n:
-        yield pa.Table.from_batches(rest).combine_chunks()
-
-
-def _compare(rows: DataFrame, unit: Unit) -> DataFrame:
+class _Compared:
+    """Contexts of whole groups of one key, kept as 8-byte hashes of the strings looked at, one column per offset."""
+
+    def __init__(self, unit: Unit) -> None:
+        self.unit, self.parts, self.rows = unit, [], 0
+
+    def add(self, table: pa.Table) -> None:
+        """Contexts (key, f, c, left, right, bytes, low, high); strings that begin at offsets low to high count."""
+        unit = self.unit
+        grid, left, right = _padded(table, unit)
+        low, high = table["low"].to_numpy(), table["high"].to_numpy()
+        hashes = rolling(grid.ravel(), unit.match)
+        offset = low[:, None] + np.arange(int((high - low).max()) + 1)
+        valid = (offset >= unit.reach - left[:, None]) & (offset <= right[:, None]) & (offset <= high[:, None])
+        where = (np.arange(len(left)) * unit.width)[:, None] + np.minimum(offset, unit.reach)
+        key = mix(table["key"].to_numpy().view(np.uint64))
+        value = mix(hashes[where] + key[:, None] * U64(3) + offset.astype(np.uint64) * U64(0x2545F4914F6CDD1D))
+        self.parts.append((table["f"].to_numpy(), table["c"].to_numpy(), low, valid, value))
+        self.rows += len(left)
+
+    def ranges(self) -> dict:
+        """Ranges of the contexts that another context with the same key has too; empties this."""
+        f, c, low, valid, value = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.rows = [], 0
+        hit = np.zeros((len(f), value.shape[1] + 2), np.int8)
+        for k in range(value.shape[1]):
+            some = np.flatnonzero(valid[:, k])
+            seen = value[some, k]
+            order = np.argsort(seen)
+            same = seen[order[1:]] == seen[order[:-1]]
+            hit[some[order[1:][same]], k + 1] = 1
+            hit[some[order[:-1][same]], k + 1] = 1
+        edge = np.diff(hit, axis=1)
+        row, first = np.nonzero(edge == 1)
+        _, last = np.nonzero(edge == -1)
+        start = first + low[row] - self.unit.reach
+        return {
+            "f": f[row], "c": c[row], "start": start.astype(np.int32),
+            "end": (start + last - first - 1 + self.unit.match).astype(np.int32),
+        }
+
+
+def _compare(rows: DataFrame, unit: Unit, chunk: int = 2_000) -> DataFrame:
+    """Ranges of contexts that come sorted by key. Bytes are looked at `chunk` contexts at a time; of a group
+    only hashes are held until its last context has come."""
+
     def run(batches):
-        for table in _in_groups(batches):
-            yield pa.RecordBatch.from_pydict(_repeating(table, unit), schema=RANGE)
+        held, last = _Compared(unit), None
+        for batch in batches:
+            for at in range(0, batch.num_rows, chunk):
+                table = pa.Table.from_batches([batch.slice(at, chunk)]).combine_chunks()
+                key = table["key"].to_numpy()
+                size = table["high"].to_numpy() - table["low"].to_numpy()
+                cuts = np.flatnonzero((key[1:] != key[:-1])) + 1
+                # groups of different widths, and what is enough for one go, are kept apart
+                turns = [int(x) for x in cuts if size[x] != size[x - 1]]
+                if len(cuts) and held.rows + cuts[-1] >= chunk:
+                    turns.append(int(cuts[-1]))
+                new = last is not None and key[0] != last[0]
+                if held.rows and new and (size[0] != last[1] or held.rows >= chunk):
+                    yield pa.RecordBatch.from_pydict(held.ranges(), schema=RANGE)
+                begin = 0
+                for to in [*sorted(set(turns)), len(key)]:
+                    held.add(table.slice(begin, to - begin))
+                    begin = to
+                    if to < len(key):
+                        yield pa.RecordBatch.from_pydict(held.ranges(), schema=RANGE)
+                last = (key[-1], size[-1])
+        if held.rows:
+            yield pa.RecordBatch.from_pydict(held.ranges(), schema=RANGE)
 
     return rows.mapInArrow(run, "f long, c long, start int, end int")
 
