@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import U64, ascii_words, crc_mod, keep_rows, load, map_batches, mix, word_hashes, word_pieces
+from tracelode.llm.common import U64, ascii_words, crc_mod, forget, keep_rows, load, map_batches, mix, shared_table, word_hashes, word_pieces
 from tracelode.llm.quality_rules import repeated_words
 
 BUCKETS = 1 << 17
 NGRAMS = (3, 4, 5)
 SAMPLE_ROWS = 6_000
+#: Features of the sample that are held at once, 8 bytes each.
+SAMPLE_FEATURES = 30_000_000
 #: Bucket numbers of the pseudo-words.
 SAME, OTHER, AGAIN, ONCE = 11, 12, 13, 14
 
@@ -120,36 +122,59 @@ def labelled_sample(labels: DataFrame, label: str, fits: Column, rows: int) -> t
     return taken[0].union(taken[1]), share
 
 
-BAG = pa.schema([("label", pa.int32()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.float32()))])
+BAG = pa.schema([("label", pa.int32()), ("turn", pa.int64()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.float32()))])
+WEIGHTS = pa.schema([("weight", pa.binary()), ("bias", pa.float64())])
 
 
-def bags(docs: DataFrame, sample: DataFrame, buckets: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """Features of the sampled rows; at most `buckets` per row come to the driver."""
+def bags(docs: DataFrame, sample: DataFrame, buckets: int) -> DataFrame:
+    """(label, turn, ids, counts): features of the sampled rows; `turn` is a hash of the id."""
 
     def start():
         def work(batch: pa.RecordBatch):
             texts = [ascii_words(t) for t in batch.column(0).to_pylist()]
-            for text, label in zip(texts, batch.column(1).to_pylist(), strict=True):
+            for text, label, turn in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = [b for _, b in subwords([text], buckets)]
                 ids, counts = np.unique(np.concatenate(found or [np.empty(0, np.int64)]), return_counts=True)
-                yield {"label": [label], "ids": [ids.astype(np.int32)], "counts": [counts.astype(np.float32)]}
+                yield {"label": [label], "turn": [turn], "ids": [ids.astype(np.int32)], "counts": [counts.astype(np.float32)]}
 
         return work
 
     # The sample is bounded by its row count, so every task may have it.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
-    got = map_batches(rows, start, BAG, "label int, ids array<int>, counts array<float>").toArrow()
-    ids, counts = ([x.values.to_numpy() for x in got[name]] for name in ("ids", "counts"))
-    found = list(zip(ids, counts, got["label"].to_pylist(), strict=True))
-    return sorted(found, key=lambda r: (r[2], len(r[0]), float(r[1].sum()), r[0].tobytes()))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label", F.xxhash64("doc_id").alias("turn"))
+    return map_batches(rows, start, BAG, "label int, turn long, ids array<int>, counts array<float>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, fits: Column, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, fits: Column, sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS,
+    features: int = SAMPLE_FEATURES,
+) -> Model:
+    """Train on a sample of at most `sample_rows` labelled rows and `features` features, taken in the order of a hash.
+
+    Training is one executor task over the bags in the shared folder; only the weights come to the driver.
+    """
     sample, share = labelled_sample(labels, "quality", fits, sample_rows)
-    rows = bags(docs, sample, buckets)
-    if len({y for _, _, y in rows}) < 2:
+    stored = shared_table(bags(docs, sample, buckets), "quality-bags")
+
+    def learn(batches):
+        rows, held = [], 0
+        for batch in batches:
+            for k, label in enumerate(batch.column(0).to_pylist()):
+                ids, counts = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
+                if held <= features:
+                    rows.append((ids.copy(), counts.copy(), label))
+                    held += len(ids)
+        rows.sort(key=lambda r: (r[2], len(r[0]), float(r[1].sum()), r[0].tobytes()))
+        if len({y for _, _, y in rows}) < 2:
+            model = Model(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))))
+        else:
+            model = train(rows, share, buckets)
+        yield pa.RecordBatch.from_pydict({"weight": [model.weight.tobytes()], "bias": [model.bias]}, schema=WEIGHTS)
+
+    one = stored.coalesce(1).sortWithinPartitions("turn", "label").mapInArrow(learn, "weight binary, bias double").collect()
+    forget(stored)
+    if not one:
         return Model(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))))
-    return train(rows, share, buckets)
+    return Model(np.frombuffer(one[0]["weight"], np.float32), one[0]["bias"])
 
 
 SCORE = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
@@ -176,7 +201,11 @@ def probabilities(column: pa.Array, model: Model) -> np.ndarray:
 
 
 def good_documents(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows of `docs` that score `least` or more, with all their columns."""
+    """Rows of `docs` that score `least` or more, with all their columns.
+
+    A null or empty text has no features and scores by the share of good documents alone; texts of any length are scored
+    whole, repeated rows each for itself, rows without an id like others. An empty table gives no rows.
+    """
     return keep_rows(docs, lambda: lambda batch: probabilities(batch.column("text"), model) >= least)
 
 
