@@ -82,3 +82,24 @@ def test_passages_of_over_fifty_words_are_cut(spark):
         df = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
         got = {r.doc_id: (r.text or "").split() for r in corpus_pipeline.cut_repeats(spark, df, "").collect()}
         assert got == want
+
+
+def run_on(spark, folder, docs, labels, items):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, _ string, spans string, label int"
+    rows = [(i, t, "en", "src1", None if t is None else len(t), "x", "y", 5) for i, t in docs]
+    spark.createDataFrame(rows, kinds).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return corpus_pipeline.run(spark, folder).collect()
+
+
+def test_repeated_rows_keep_their_text(spark, tmp_path):
+    docs = [(1, prose(1, 200)), (1, prose(1, 200)), (2, prose(2, 200)), (None, prose(3, 80)), (4, "x" * 70_000), (5, None), (6, "")]
+    found = run_on(spark, str(tmp_path), docs, [(1, 1, 0)], [(1, None)])
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in found) == [(False, k) for k in (1, 2, 4, 5, 6)] + [(True, 0)]
+    want = bpe.encode_documents(spark.createDataFrame([(1, prose(1, 200))], "doc_id long, text string"), bpe.vocabulary_path()).first()
+    assert next(r for r in found if r["doc_id"] == 1)["ids_sha256"] == want["ids_sha256"]
+
+
+def test_empty_tables(spark, tmp_path):
+    assert run_on(spark, str(tmp_path), [], [], []) == []

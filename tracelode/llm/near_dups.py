@@ -23,7 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelode.llm.common import U64, forget, load, map_batches, mix, shared_table, utf8, word_hashes, word_pieces
@@ -276,9 +276,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Rows of `docs`, with all their columns, that are kept; rows without an id stay."""
+    """Rows of `docs`, with all their columns, that are kept: one row of each id and text.
+
+    A row that repeats another's id and text goes, so that later stages do not take the two for copies of each other;
+    rows of one id with different texts stay or go together. Null and empty texts are linked with nothing. Rows
+    without an id stay, repeated ones too. Texts may be of any length; an empty table gives no rows.
+    """
     gone = near_duplicates(docs, percent).where("not kept").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    free = "_" * (1 + max(map(len, docs.columns)))  # longer than any name there is
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(1)))
+    return left.withColumn(free, F.when(F.col("doc_id").isNull(), 1).otherwise(nth)).where(F.col(free) == 1).drop(free)
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
