@@ -1,8 +1,13 @@
 """From raw documents to encoded training text, stage by stage.
 
 Every stage takes what its predecessor kept. Low-quality documents go; of each group of near-duplicates
-(five words, similarity 0.8 or more) the one with the smallest id stays; passages of over 50 words and strings of
+(five words, similarity 0.8 or more) the one with the smallest id stays, once; passages of over 50 words and strings of
 400 bytes that still occur twice are cut out; documents that contain a benchmark item go; what is left is encoded.
+
+Every stage takes null, empty and very long texts, repeated rows, rows without an id, further columns of any name and
+empty tables. A null text stays null and counts as empty. Repeated rows of one id and text are reduced to one by the
+second stage; rows without an id are never merged. Ties: equal texts keep the smallest id. What the third
+stage cuts goes from every document that has it, the first one included, as operator 2 defines it.
 """
 
 from __future__ import annotations
