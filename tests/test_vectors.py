@@ -44,6 +44,37 @@ def test_exact_search_equals_brute_force_with_one_hot_location(spark):
         assert [r["unit_id"] for r in got if r["query_id"] == f"q{i}"] == brute(q, mine, 12)
 
 
+@pytest.mark.parametrize("size", [16, 4096])
+def test_restricted_queries_see_their_assets(spark, monkeypatch, size):
+    monkeypatch.setattr(dense, "BLOCK_VECTORS", size)
+    rng = np.random.default_rng(5)
+    rows = [(f"u{i:03d}", "w", f"a{i // 3}", f"p{i}", rng.normal(size=8).tolist()) for i in range(150)]
+    asked = spark.createDataFrame(
+        [(q, "w", rng.normal(size=8).tolist(), closed) for q, closed in (("all", None), ("some", True), ("none", True))],
+        "query_id string, workspace_id string, embedding array<double>, restricted boolean",
+    )
+    chosen = spark.createDataFrame([("some", f"a{k}") for k in (2, 7, 31)] + [("all", "a1")], "query_id string, asset_id string")
+    got = dense.top_locations(asked, corpus(spark, rows), 8, 5, chosen).orderBy("query_id", "rank").collect()
+    vectors = {r["query_id"]: r["embedding"] for r in asked.collect()}
+    assert [r["unit_id"] for r in got if r["query_id"] == "all"] == brute(vectors["all"], rows, 5)
+    own = [r for r in rows if r[2] in ("a2", "a7", "a31")]
+    assert [r["unit_id"] for r in got if r["query_id"] == "some"] == brute(vectors["some"], own, 5)
+    assert not [r for r in got if r["query_id"] == "none"]
+
+
+def test_blocks_do_not_depend_on_arrival(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"u{i:03d}", "w", f"a{i // 3}", f"p{i}", rng.normal(size=70).tolist()) for i in range(90)]
+    one, two = (dense.vector_blocks(dense.place(corpus(spark, r).repartition(n)), 70).collect() for r, n in ((rows, 1), (rows[::-1], 7)))
+    assert one == two and len(one) == 1 and len(one[0]["words"]) == 90 * 2 * 8
+
+
+def test_hamming_counts_words():
+    rng = np.random.default_rng(7)
+    q, c = rng.normal(size=(3, 130)), rng.normal(size=(9, 130))
+    assert (dense._hamming_words(q, dense._sign_words(c)) == ((q > 0)[:, None] != (c > 0)[None]).sum(-1)).all()
+
+
 def test_salted_path_gives_the_same(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(f"u{i:04d}", "w", "a", f"p{i}", rng.normal(size=4).tolist()) for i in range(300)]

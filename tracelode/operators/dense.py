@@ -1,10 +1,12 @@
 """Vector search for a table of queries: exact, sign-bit prefilter, and both combined.
 
-Vectors are packed, inside the scan tasks and without a shuffle, into blocks of one workspace.
-Query blocks meet corpus blocks of their workspace; a task multiplies two blocks as matrices and
-keeps only k rows per query, so pairs of single rows are never emitted. The query side is broadcast
-while it is small; otherwise both sides are spread over (workspace, salt) so that a workspace with
-most of the corpus is still worked on by many tasks.
+The vectors of a workspace are dealt into blocks by asset, so an evidence location never spans two blocks and the
+blocks do not depend on the order in which rows arrive. A block is one row: float vectors, their sign bits as 64-bit
+words, and numbers of location and asset. Query blocks meet the blocks of their workspace; a task multiplies two blocks
+as matrices, or counts the differing bits of two blocks of words, and keeps only k rows per query, so pairs of single
+rows are never emitted. The query side is broadcast while it is small; otherwise both sides are joined on workspace and
+salt, so that a workspace with most of the corpus is still worked on by many tasks. A query restricted to assets
+brings a bitmap of asset numbers for each block; no vector is copied.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelode.scale import fits, top_per
@@ -25,11 +27,6 @@ SALTS = 16
 DIGITS = 9  # distances are rounded so that equal vectors tie on every machine
 
 _BLOCK = "workspace_id string, ids array<string>, assets array<string>, places array<string>, vectors binary"
-_HITS = "query_id string, unit_id string, asset_id string, location_key string, distance double"
-_HITS_ARROW = pa.schema(
-    [("query_id", pa.string()), ("unit_id", pa.string()), ("asset_id", pa.string()),
-     ("location_key", pa.string()), ("distance", pa.float64())]
-)
 
 
 def pack(df: DataFrame, item: str, vector: str, dims: int, place: bool) -> DataFrame:
@@ -110,66 +107,233 @@ def _cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.round(1.0 - similarity, DIGITS)
 
 
-def _hamming(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    a, b = np.where(q > 0, 1.0, -1.0), np.where(c > 0, 1.0, -1.0)
-    return np.round((q.shape[1] - a @ b.T) / 2)
+BLOCK_VECTORS = 4_096
+BLOCK_QUERIES = 256
+
+_VECTORS_DDL = "workspace_id string, block long, wide boolean, places binary, assets binary, vectors binary, words binary"
+_VECTORS = pa.schema([
+    ("workspace_id", pa.string()), ("block", pa.int64()), ("wide", pa.bool_()), ("places", pa.binary()), ("assets", pa.binary()),
+    ("vectors", pa.binary()), ("words", pa.binary()),
+])
+_ASKED_DDL = "workspace_id string, part long, ids array<string>, closed binary, asked binary"
+_ASKED = pa.schema([
+    ("workspace_id", pa.string()), ("part", pa.int64()), ("ids", pa.list_(pa.string())), ("closed", pa.binary()), ("asked", pa.binary()),
+])
+_FOUND_DDL = "query_id string, workspace_id string, block long, slot int, distance double"
+_FOUND = pa.schema([
+    ("query_id", pa.string()), ("workspace_id", pa.string()), ("block", pa.int64()), ("slot", pa.int32()), ("distance", pa.float64()),
+])
+
+
+def place(corpus: DataFrame, item: str = "unit_id") -> DataFrame:
+    """`corpus` with the block and slot of each row; slots follow the item, so ties are broken by them."""
+    sizes = corpus.groupBy("workspace_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).alias("_blocks"))
+    rows = corpus.select("workspace_id", F.col(item).alias("item"), "asset_id", "location_key", "embedding").join(sizes, "workspace_id")
+    space = Window.partitionBy("workspace_id", "block")
+    numbers = {
+        "slot": F.row_number().over(space.orderBy("item")), "place_no": F.dense_rank().over(space.orderBy("asset_id", "location_key")),
+        "asset_no": F.dense_rank().over(space.orderBy("asset_id")),
+    }
+    return rows.withColumn("block", F.pmod(F.xxhash64("asset_id"), F.col("_blocks"))).drop("_blocks").withColumns(
+        {name: (number - 1).cast("int") for name, number in numbers.items()}
+    )
 
 
-_METRICS = {"cosine": _cosine, "hamming": _hamming}
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Vectors of a list column as rows; one of another length, or null, is all zeros, which is at distance 1."""
+    good = pc.fill_null(pc.equal(pc.list_value_length(column), dims), False)
+    flat = pc.list_flatten(column.filter(good)).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), dims), flat.dtype if flat.dtype == np.float32 else np.float64)
+    out[good.to_numpy(zero_copy_only=False)] = np.nan_to_num(flat).reshape(-1, dims)
+    return out
 
 
-def block_top(met: DataFrame, dims: int, k: int, metric: str, distinct: bool) -> DataFrame:
-    """k best rows (or locations) per query and corpus block, by (distance, item)."""
-    distance = _METRICS[metric]
+def _sign_words(matrix: np.ndarray) -> np.ndarray:
+    bits = np.packbits(matrix > 0, axis=1, bitorder="little")
+    out = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), np.uint8)
+    out[:, : bits.shape[1]] = bits
+    return out.view(np.uint64)
+
+
+def vector_blocks(placed: DataFrame, dims: int) -> DataFrame:
+    """One row per block of placed vectors."""
+    rows = placed.select("workspace_id", "block", "slot", "place_no", "asset_no", "embedding")
+    rows = rows.repartition("workspace_id", "block").sortWithinPartitions("workspace_id", "block", "slot")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            matrix = _matrix(table["embedding"].combine_chunks(), dims)
+            return pa.RecordBatch.from_pydict({
+                "workspace_id": table["workspace_id"][:1].combine_chunks(), "block": table["block"][:1].combine_chunks(),
+                "wide": [matrix.dtype == np.float64], "places": [table["place_no"].to_numpy().tobytes()],
+                "assets": [table["asset_no"].to_numpy().tobytes()], "vectors": [matrix.tobytes()], "words": [_sign_words(matrix).tobytes()],
+            }, schema=_VECTORS)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                c = np.frombuffer(row["vectors"]).reshape(-1, dims)
-                q = np.frombuffer(row["q_vectors"]).reshape(-1, dims)
-                table = distance(q, c)
-                ids, assets, places = row["ids"], row["assets"], row["places"]
-                codes = None
-                if distinct:
-                    seen: dict[tuple[str, str], int] = {}
-                    codes = np.array([seen.setdefault(p, len(seen)) for p in zip(assets, places)])
-                picked: list[tuple] = []
-                for query, line in zip(row["q_ids"], table):
-                    order = np.argsort(line, kind="stable")
-                    if codes is not None:
-                        _, first = np.unique(codes[order], return_index=True)
-                        order = order[np.sort(first)]
-                    picked.extend((query, ids[i], assets[i], places[i], float(line[i])) for i in order[:k])
-                columns = list(zip(*picked)) if picked else [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(v), type=f.type) for v, f in zip(columns, _HITS_ARROW)], schema=_HITS_ARROW
-                )
+            slot = batch.column("slot").to_numpy()
+            cuts = [0, *np.flatnonzero(slot == 0).tolist(), len(slot)]
+            for at, to in zip(cuts, cuts[1:]):
+                if at < to:
+                    if held and slot[at] == 0:  # every block begins with slot 0
+                        yield done()
+                        held.clear()
+                    held.append(batch.slice(at, to - at))
+        if held:
+            yield done()
+
+    return rows.mapInArrow(build, _VECTORS_DDL)
+
+
+def _question_blocks(queries: DataFrame, dims: int) -> DataFrame:
+    """Vectors of up to about `BLOCK_QUERIES` questions of a workspace in a row."""
+    closed = F.coalesce("restricted", F.lit(False)) if "restricted" in queries.columns else F.lit(False)
+    rows = _with_part(queries).groupBy("workspace_id", "part").agg(
+        F.sort_array(F.collect_list(F.struct(
+            "query_id", closed.alias("closed"), F.col("embedding").cast("array<double>").alias("embedding")
+        ))).alias("_q")
+    ).select("workspace_id", "part", "_q.query_id", "_q.closed", "_q.embedding")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                vectors = batch.column(4)[k].values
+                shut = batch.column(3)[k].values.to_numpy(zero_copy_only=False).astype(np.uint8)
+                yield pa.RecordBatch.from_pydict({
+                    "workspace_id": batch.column(0).slice(k, 1), "part": batch.column(1).slice(k, 1), "ids": batch.column(2).slice(k, 1),
+                    "closed": [shut.tobytes()], "asked": [_matrix(vectors, dims).tobytes()],
+                }, schema=_ASKED)
+
+    return rows.mapInArrow(build, _ASKED_DDL)
+
+
+def _with_part(queries: DataFrame) -> DataFrame:
+    sizes = queries.groupBy("workspace_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("_n"))
+    return queries.join(sizes, "workspace_id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("_n"))).drop("_n")
+
+
+def _scopes(queries: DataFrame, placed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Per question block and block of vectors: a bitmap of the asset numbers that each restricted question may see."""
+    number = F.col("asset_no") + 1
+    assets = placed.select("workspace_id", "asset_id", "block", "asset_no").distinct()
+    closed = _with_part(queries.where("restricted")).select("query_id")
+    asked = _with_part(queries).select("query_id", "workspace_id", "part").join(closed, "query_id", "left_semi")
+    bits = (
+        chosen.select("query_id", "asset_id").distinct().join(asked, "query_id").join(assets, ["workspace_id", "asset_id"])
+        .groupBy("workspace_id", "part", "block", "query_id", F.bitmap_bucket_number(number).alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"))
+    )
+    return bits.groupBy("workspace_id", "part", "block").agg(
+        F.collect_list(F.struct("query_id", ((F.col("_bucket") - 1) * 32_768).alias("base"), "bits")).alias("scopes")
+    )
 
-    return met.mapInArrow(best, _HITS)
 
+def _hamming_words(q: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Differing sign bits of every question and vector, one word at a time."""
+    asked = _sign_words(q)
+    out = np.zeros((len(asked), len(words)), np.int32)
+    for k in range(words.shape[1]):
+        out += np.bitwise_count(asked[:, k, None] ^ words[None, :, k])
+    return out
 
-def _hits(queries: DataFrame, corpus: DataFrame, item: str, dims: int, k: int, metric: str, distinct: bool) -> DataFrame:
-    q = pack(queries, "query_id", "embedding", dims, place=False)
-    c = pack(corpus, item, "embedding", dims, place=True)
-    return block_top(meet_blocks(queries, q, c, dims), dims, k, metric, distinct)
 
+def _search(
+    queries: DataFrame, placed: DataFrame, blocks: DataFrame, dims: int, k: int, metric: str, distinct: bool, chosen: DataFrame | None
+) -> DataFrame:
+    """k best rows (or locations) per question and block, by (distance, item)."""
+    data = ["workspace_id", "block", "places", "assets", *(["words"] if metric == "hamming" else ["wide", "vectors"])]
+    asked = _question_blocks(queries, dims)
+    if fits(queries.select("query_id"), BROADCAST_BYTES // (8 * dims)):
+        met = blocks.select(*data).join(F.broadcast(asked), "workspace_id")
+    else:
+        salt = F.pmod(F.xxhash64("block"), F.lit(SALTS)).cast("long")
+        spread = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = blocks.select(*data, salt.alias("_salt")).join(spread, ["workspace_id", "_salt"]).drop("_salt")
+    if chosen is not None:
+        met = met.join(_scopes(queries, placed, chosen), ["workspace_id", "part", "block"], "left")
 
-def top_locations(queries: DataFrame, corpus: DataFrame, dims: int, k: int) -> DataFrame:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                places = np.frombuffer(row["places"].as_buffer(), np.int32)
+                q = np.frombuffer(row["asked"].as_buffer(), np.float64).reshape(-1, dims)
+                if metric == "hamming":
+                    table = _hamming_words(q, np.frombuffer(row["words"].as_buffer(), np.uint64).reshape(len(places), -1))
+                else:
+                    kind = np.float64 if row["wide"].as_py() else np.float32
+                    c = np.frombuffer(row["vectors"].as_buffer(), kind).reshape(-1, dims).astype(np.float64)
+                    table = _cosine(q, c)
+                ids = row["ids"].as_py()
+                closed = np.frombuffer(row["closed"].as_buffer(), np.uint8)
+                seen: dict[str, np.ndarray] = {}
+                if closed.any():
+                    assets = np.frombuffer(row["assets"].as_buffer(), np.int32)
+                    for one in (row["scopes"].as_py() or []) if "scopes" in row else []:
+                        bits = np.flatnonzero(np.unpackbits(np.frombuffer(one["bits"], np.uint8), bitorder="little")) + one["base"]
+                        seen[one["query_id"]] = np.isin(assets, bits) | seen.get(one["query_id"], False)
+                slots, owners, distances = [], [], []
+                for n, (query, line) in enumerate(zip(ids, table)):
+                    rows = np.arange(len(line))
+                    if closed[n]:
+                        rows = np.flatnonzero(seen.get(query, np.zeros(len(line), bool)))
+                    if not distinct and len(rows) > k:
+                        least = np.partition(line[rows], k - 1)[k - 1]
+                        rows = rows[line[rows] <= least]
+                    order = rows[np.argsort(line[rows], kind="stable")]
+                    if distinct:
+                        _, first = np.unique(places[order], return_index=True)
+                        order = order[np.sort(first)]
+                    order = order[:k]
+                    slots.append(order)
+                    distances.append(line[order])
+                    owners += [query] * len(order)
+                n = len(owners)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(owners, pa.string()), pa.array([row["workspace_id"].as_py()] * n, pa.string()),
+                    pa.array(np.full(n, row["block"].as_py(), np.int64)), pa.array(np.concatenate(slots).astype(np.int32)),
+                    pa.array(np.concatenate(distances).astype(np.float64)),
+                ], schema=_FOUND)
+
+    found = met.mapInArrow(best, _FOUND_DDL)
+    where = placed.select("workspace_id", "block", "slot", F.col("item").alias("unit_id"), "asset_id", "location_key")
+    return found.join(where, ["workspace_id", "block", "slot"]).drop("workspace_id", "block", "slot")
+
+
+def _hits(
+    queries: DataFrame, corpus: DataFrame, item: str, dims: int, k: int, metric: str, distinct: bool, chosen: DataFrame | None = None,
+    stored: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    placed, blocks = stored or (None, None)
+    if placed is None:
+        placed = place(corpus, item)
+        blocks = vector_blocks(placed, dims)
+    return _search(queries, placed, blocks, dims, k, metric, distinct, chosen)
+
+
+def top_locations(
+    queries: DataFrame, corpus: DataFrame, dims: int, k: int, chosen: DataFrame | None = None,
+    stored: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """First k evidence locations per query by (cosine distance, unit id), one unit per location.
 
-    queries: query_id, workspace_id, embedding. corpus: unit_id, workspace_id, asset_id,
-    location_key, embedding.
+    queries: query_id, workspace_id, embedding; with `chosen` (query_id, asset_id) also restricted. corpus: unit_id,
+    workspace_id, asset_id, location_key, embedding. `stored`: `place` and `vector_blocks` of the corpus, where kept.
     """
-    hits = _hits(queries, corpus, "unit_id", dims, k, "cosine", distinct=True)
+    hits = _hits(queries, corpus, "unit_id", dims, k, "cosine", True, chosen, stored)
     best = hits.groupBy("query_id", "asset_id", "location_key").agg(
         F.min(F.struct("distance", "unit_id")).alias("b")
     ).select("query_id", "asset_id", "location_key", "b.unit_id", "b.distance")
     return top_per(best, ["query_id"], [F.col("distance"), F.col("unit_id")], k)
 
 
-def top_rows(queries: DataFrame, corpus: DataFrame, item: str, dims: int, k: int, metric: str) -> DataFrame:
+def top_rows(
+    queries: DataFrame, corpus: DataFrame, item: str, dims: int, k: int, metric: str, stored: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """First k rows per query by (distance, item), locations not merged."""
-    hits = _hits(queries, corpus, item, dims, k, metric, distinct=False)
+    hits = _hits(queries, corpus, item, dims, k, metric, False, None, stored)
     ranked = top_per(hits, ["query_id"], [F.col("distance"), F.col("unit_id")], k)
     return ranked.withColumnRenamed("unit_id", item) if item != "unit_id" else ranked
 
@@ -208,29 +372,40 @@ def sign_words(vector: Column) -> Column:
     )
 
 
-def candidate_locations(queries: DataFrame, corpus: DataFrame, dims: int, n: int, metric: str) -> DataFrame:
+def candidate_locations(
+    queries: DataFrame, corpus: DataFrame, dims: int, n: int, metric: str, stored: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """(query_id, unit_id): the best unit of each of the first n locations under `metric`.
 
     Counting locations instead of rows means that copies of one passage cannot fill the window, so no
     window has to be widened afterwards.
     """
-    hits = _hits(queries, corpus, "unit_id", dims, n, metric, distinct=True)
+    hits = _hits(queries, corpus, "unit_id", dims, n, metric, True, None, stored)
     best = hits.groupBy("query_id", "asset_id", "location_key").agg(
         F.min(F.struct("distance", "unit_id")).alias("b")
     ).select("query_id", "b.unit_id", "b.distance")
     return top_per(best, ["query_id"], [F.col("distance"), F.col("unit_id")], n).select("query_id", "unit_id")
 
 
-def top_approximate(queries: DataFrame, corpus: DataFrame, dims: int, n: int, k: int, multiplier: int = 3) -> DataFrame:
+def top_approximate(
+    queries: DataFrame, corpus: DataFrame, dims: int, n: int, k: int, multiplier: int = 3,
+    stored: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """Cosine-n and sign-bit multiplier*n candidates, distinct, re-ranked exactly, first k locations."""
-    near = candidate_locations(queries, corpus, dims, n, "cosine")
-    bits = candidate_locations(queries, corpus, dims, multiplier * n, "hamming")
+    near = candidate_locations(queries, corpus, dims, n, "cosine", stored)
+    bits = candidate_locations(queries, corpus, dims, multiplier * n, "hamming", stored)
     return rerank(queries, corpus, near.union(bits).distinct(), k)
 
 
-def top_prefiltered(queries: DataFrame, corpus: DataFrame, dims: int, n: int, k: int, multiplier: int = 3) -> DataFrame:
-    """Sign-bit candidates only, re-ranked exactly: the approximate side on its own."""
-    return rerank(queries, corpus, candidate_locations(queries, corpus, dims, multiplier * n, "hamming"), k)
+def top_prefiltered(
+    queries: DataFrame, corpus: DataFrame, dims: int, n: int, k: int, multiplier: int = 3,
+    stored: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """multiplier * n candidates by their sign words, re-ranked exactly: only they have their vectors looked at.
+
+    Where sign bits say little, `top_approximate` adds the candidates of an exact search, which then is the answer.
+    """
+    return rerank(queries, corpus, candidate_locations(queries, corpus, dims, multiplier * n, "hamming", stored), k)
 
 
 def rerank(queries: DataFrame, corpus: DataFrame, candidates: DataFrame, k: int) -> DataFrame:

@@ -26,24 +26,6 @@ def selected_assets(queries: DataFrame, assets: DataFrame, scopes: DataFrame) ->
     return asked.join(assets, ["asset_id", "workspace_id"])
 
 
-def restrict(queries: DataFrame, units: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queries and units for any search, so that restricted queries only see the assets they selected.
-
-    queries: query_id, workspace_id, restricted (null: false) and more; scope: (query_id, asset_id). A
-    query that is not restricted searches its workspace; a restricted one without assets in `scope` finds
-    nothing. Every restricted query gets a workspace of its own with the units of its assets, so the
-    searches stay as they are and units outside a scope are never scored.
-    """
-    own = F.concat("workspace_id", F.lit("\x1f"), F.col("query_id").cast("string"))
-    closed = F.coalesce("restricted", F.lit(False))
-    chosen = scope.select("query_id", "asset_id").distinct().join(
-        queries.where(closed).select("query_id", "workspace_id"), "query_id"
-    )
-    mine = units.join(chosen, ["workspace_id", "asset_id"]).withColumn("workspace_id", own)
-    asked = queries.withColumn("workspace_id", F.when(closed, own).otherwise(F.col("workspace_id")))
-    return asked.drop("restricted"), units.unionByName(mine.select(units.columns))
-
-
 def embedding_scope(
     df: DataFrame, *, space: str, provider: str, model: str, version: str, dimensions: int
 ) -> DataFrame:

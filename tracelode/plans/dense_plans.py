@@ -18,8 +18,13 @@ def rank_long(df: DataFrame) -> DataFrame:
     return df.withColumn("rank", F.col("rank").cast("long"))
 
 
+def stored(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The blocks of vectors that are kept with the corpus."""
+    return t("v_vector_slots"), t("v_vector_blocks")
+
+
 def top_dense(t: Tables, k: int) -> DataFrame:
-    return dense.top_locations(t("v_probe"), t("v_dense"), DIMS, k)
+    return dense.top_locations(t("v_probe"), t("v_dense"), DIMS, k, stored=stored(t))
 
 
 @query(
@@ -77,11 +82,11 @@ def ann_sql(cosine: bool) -> str:
 
 @query(
     "top_dense_ann",
-    f"""WITH {ann_sql(True)}
+    f"""WITH {ann_sql(False)}
     SELECT query_id, asset_id, location_key, unit_id, round(distance, 6) AS distance, CAST(rank AS BIGINT) AS rank FROM ann WHERE rank <= {K}""",
 )
 def top_dense_ann(t: Tables) -> DataFrame:
-    found = dense.top_approximate(t("v_probe"), t("v_dense"), DIMS, 10, K)
+    found = dense.top_prefiltered(t("v_probe"), t("v_dense"), DIMS, 10, K, stored=stored(t))
     return rank_long(found).withColumn("distance", F.round("distance", 6))
 
 
@@ -127,7 +132,7 @@ def top_window_rounds(t: Tables) -> DataFrame:
 )
 def top_ann_recall(t: Tables) -> DataFrame:
     exact = top_dense(t, 10)
-    near = dense.top_prefiltered(t("v_probe"), t("v_dense"), DIMS, 10, 10)
+    near = dense.top_prefiltered(t("v_probe"), t("v_dense"), DIMS, 10, 10, stored=stored(t))
     shared = exact.join(
         near.select("query_id", "asset_id", "location_key", F.lit(1).alias("_in")), ["query_id", "asset_id", "location_key"], "left"
     )
@@ -143,8 +148,8 @@ def top_ann_recall(t: Tables) -> DataFrame:
       row_number() OVER (PARTITION BY query_id ORDER BY hamming, unit_id) AS b FROM v_scored) WHERE a <= 10 OR b <= 30""",
 )
 def set_union_candidates(t: Tables) -> DataFrame:
-    near = dense.top_rows(t("v_probe"), t("v_dense"), "unit_id", DIMS, 10, "cosine").select("query_id", "unit_id")
-    bits = dense.top_rows(t("v_probe"), t("v_dense"), "unit_id", DIMS, 30, "hamming").select("query_id", "unit_id")
+    near = dense.top_rows(t("v_probe"), t("v_dense"), "unit_id", DIMS, 10, "cosine", stored(t)).select("query_id", "unit_id")
+    bits = dense.top_rows(t("v_probe"), t("v_dense"), "unit_id", DIMS, 30, "hamming", stored(t)).select("query_id", "unit_id")
     return near.union(bits).distinct()
 
 

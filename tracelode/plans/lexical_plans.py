@@ -11,7 +11,7 @@ from tracelode.operators import dense, fusion, graph
 from tracelode.operators import evaluation as ev
 from tracelode.operators import lexical as lx
 from tracelode.operators import postings as pb
-from tracelode.plans.dense_plans import DIMS, rank_long
+from tracelode.plans.dense_plans import DIMS, rank_long, stored
 from tracelode.plans.registry import query
 from tracelode.sources.views import Tables
 
@@ -177,7 +177,7 @@ def win_page_best(t: Tables) -> DataFrame:
 
 
 def hybrid_dense(t: Tables, k: int) -> DataFrame:
-    return dense.top_locations(t("v_hquery"), t("v_dense"), DIMS, k)
+    return dense.top_locations(t("v_hquery"), t("v_dense"), DIMS, k, stored=stored(t))
 
 
 def hybrid_lexical(t: Tables, k: int) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelode.operators import dense, fusion, scope
+from tracelode.operators import dense, fusion
 from tracelode.operators import postings as pb
-from tracelode.plans.dense_plans import DIMS, K, rank_long
+from tracelode.plans.dense_plans import DIMS, K, rank_long, stored
 from tracelode.plans.lexical_plans import COVERS, SHARE, top_ranked
 from tracelode.plans.registry import query
 from tracelode.sources.views import Tables
@@ -41,7 +41,7 @@ def ranked(source: str, order: str, k: int, columns: str) -> str:
 )
 def top_dense_scoped(t: Tables) -> DataFrame:
     probes, chosen = chosen_assets(t("v_probe"), t("v_dense"), "label")
-    top = dense.top_locations(*scope.restrict(probes, t("v_dense"), chosen), DIMS, K)
+    top = dense.top_locations(probes, t("v_dense"), DIMS, K, chosen, stored(t))
     return rank_long(top).withColumn("distance", F.round("distance", 6))
 
 
@@ -120,7 +120,7 @@ def top_hybrid_scoped(t: Tables) -> DataFrame:
     probes, chosen = chosen_assets(t("v_hquery"), t("v_dense"), "item_id")
     columns = ["query_id", "asset_id", "location_key", "unit_id", "rank"]
     merged = fusion.rrf(
-        dense.top_locations(*scope.restrict(probes, t("v_dense"), chosen), DIMS, n).select(*columns),
+        dense.top_locations(probes, t("v_dense"), DIMS, n, chosen, stored(t)).select(*columns),
         scoped_lexical(t, t("v_hquery"), "item_id", n).select(*columns), ["asset_id", "location_key"], K,
     )
     return rank_long(merged).select("query_id", "unit_id", F.round("score", 9).alias("score"), "rank")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracelode.operators import aggregates as ag
 from tracelode.operators import dense
 from tracelode.operators import evaluation as ev
-from tracelode.plans.dense_plans import DIMS, ann_sql, top_dense
+from tracelode.plans.dense_plans import DIMS, ann_sql, stored, top_dense
 from tracelode.plans.lexical_plans import hybrid, stability
 from tracelode.plans.registry import query
 from tracelode.session import shared_dir
@@ -230,7 +230,7 @@ def src_snapshot(t: Tables) -> DataFrame:
 
 @query(
     "agg_capacity_gates",
-    f"""WITH {ann_sql(True)}, rc AS (SELECT count(*) FILTER (WHERE s.unit_id IS NOT NULL) / count(*) AS recall FROM (SELECT * FROM v_top_dense WHERE rank <= 10) e
+    f"""WITH {ann_sql(False)}, rc AS (SELECT count(*) FILTER (WHERE s.unit_id IS NOT NULL) / count(*) AS recall FROM (SELECT * FROM v_top_dense WHERE rank <= 10) e
       LEFT JOIN (SELECT * FROM ann WHERE rank <= 10) s ON s.query_id = e.query_id AND s.asset_id = e.asset_id AND s.location_key = e.location_key),
     pl AS (SELECT strategy, max(v) FILTER (WHERE rn = ceil(0.95 * c)) AS p95 FROM (SELECT strategy, duration_ms AS v, row_number() OVER (PARTITION BY strategy ORDER BY duration_ms) AS rn, count(*) OVER (PARTITION BY strategy) AS c FROM v_metric) GROUP BY 1),
     st AS (SELECT min(x) AS throughput, sum(e) + sum(d) AS unstable FROM (SELECT strategy, count(*) FILTER (WHERE error_type IS NULL) / (epoch_us(max(ts)) - epoch_us(min(ts))) * 1e6 AS x, count(error_type) AS e,
@@ -243,7 +243,7 @@ def src_snapshot(t: Tables) -> DataFrame:
 )
 def agg_capacity_gates(t: Tables) -> DataFrame:
     exact = top_dense(t, 10)
-    near = dense.top_approximate(t("v_probe"), t("v_dense"), DIMS, 10, 10)
+    near = dense.top_prefiltered(t("v_probe"), t("v_dense"), DIMS, 10, 10, stored=stored(t))
     shared = exact.join(near.select("query_id", "asset_id", "location_key", F.lit(1).alias("_in")), ["query_id", "asset_id", "location_key"], "left")
     recall = shared.agg((F.count("_in") / F.count(F.lit(1))).alias("recall"))
     latency = ag.distribution(t("v_metric"), "duration_ms", {"p95": 0.95}, ["strategy"])

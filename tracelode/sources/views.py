@@ -410,7 +410,7 @@ def check_sql(sql: str) -> str:
 
 _STORED = {
     "v_unit_base", "v_unit", "v_locator", "v_embedding", "v_visible", "v_dense", "v_slots", "v_postings", "v_mixed_slots",
-    "v_mixed_postings",
+    "v_mixed_postings", "v_vector_slots", "v_vector_blocks",
 }
 _written: dict[tuple[str, str, str, str], str] = {}
 
@@ -470,6 +470,10 @@ class Tables:
             return postings.slots(self("v_visible" if name == "v_slots" else "v_mixed_unit"))
         if name in ("v_postings", "v_mixed_postings"):
             return postings.index(self(name.replace("postings", "slots")))
+        if name == "v_vector_slots":
+            return dense.place(self("v_dense"))
+        if name == "v_vector_blocks":
+            return dense.vector_blocks(self("v_vector_slots"), 64)
         if name == "v_dense":
             vectors = scope.embedding_scope(
                 self("v_embedding"), space="text", provider="main", model="base", version="v1",
