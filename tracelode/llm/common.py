@@ -66,6 +66,8 @@ def map_batches(
         for batch in text_slices(batches, limit):
             for columns in work(batch):
                 yield pa.RecordBatch.from_pydict(columns, schema=schema)
+        work = batch = columns = None
+        give_back()
 
     return df.mapInArrow(run, ddl)
 
@@ -166,6 +168,18 @@ def crc_mod(column: str, n: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker process outlives its task and would keep it beside the next ones."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the folder all executors share and read it back."""
     from tracelode.session import write_table

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import U64, forget, load, map_batches, mix, pieces, shared_table, text_slices, utf8, word_hashes
+from tracelode.llm.common import U64, forget, give_back, load, map_batches, mix, pieces, shared_table, text_slices, utf8, word_hashes
 
 MATCH, GRAM = 400, 64
 #: Contexts of one gram that are compared together, and into how many ranges of beginnings more are divided.
@@ -45,6 +45,9 @@ LARGE, STRIPES = 3_000, 8
 #: Text bytes of a batch, and the number of batches of one build at most.
 BATCH_BYTES, BATCHES = 512 << 20, 16
 
+#: Hashes of strings that are sorted in one go.
+FLAT = 2 << 20
+
 _BASE = pow(0x9E3779B97F4A7C15, 1, 2**64)
 _BYTE = np.random.default_rng(400).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
@@ -300,16 +303,17 @@ def _padded(table: pa.Table, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.nda
 class _Compared:
     """Contexts of whole groups of one key, kept as 8-byte hashes of the strings looked at, one column per offset."""
 
-    def __init__(self, unit: Unit) -> None:
-        self.unit, self.parts, self.rows = unit, [], 0
+    def __init__(self, unit: Unit, width: int) -> None:
+        self.unit, self.width, self.parts, self.rows = unit, width, [], 0
 
     def add(self, table: pa.Table) -> None:
-        """Contexts (key, f, c, left, right, bytes, low, high); strings that begin at offsets low to high count."""
+        """Contexts (key, f, c, left, right, bytes, low, high); strings that begin at offsets low to high, `width`
+        of them at most, count."""
         unit = self.unit
         grid, left, right = _padded(table, unit)
         low, high = table["low"].to_numpy(), table["high"].to_numpy()
+        offset = low[:, None] + np.arange(self.width)
         hashes = rolling(grid.ravel(), unit.match)
-        offset = low[:, None] + np.arange(int((high - low).max()) + 1)
         valid = (offset >= unit.reach - left[:, None]) & (offset <= right[:, None]) & (offset <= high[:, None])
         where = (np.arange(len(left)) * unit.width)[:, None] + np.minimum(offset, unit.reach)
         key = mix(table["key"].to_numpy().view(np.uint64))
@@ -322,13 +326,19 @@ class _Compared:
         f, c, low, valid, value = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.rows = [], 0
         hit = np.zeros((len(f), value.shape[1] + 2), np.int8)
-        for k in range(value.shape[1]):
-            some = np.flatnonzero(valid[:, k])
-            seen = value[some, k]
+        # usual groups in one go; of a very large one, one offset after the other, so that little is sorted at a time
+        if value.size <= FLAT:
+            steps = [(np.flatnonzero(valid), value.ravel())]
+        else:
+            steps = ((np.flatnonzero(valid[:, k]) * value.shape[1] + k, value.ravel()) for k in range(value.shape[1]))
+        inner = np.zeros(value.size, bool)
+        for some, flat in steps:
+            seen = flat[some]
             order = np.argsort(seen)
             same = seen[order[1:]] == seen[order[:-1]]
-            hit[some[order[1:][same]], k + 1] = 1
-            hit[some[order[:-1][same]], k + 1] = 1
+            inner[some[order[1:][same]]] = True
+            inner[some[order[:-1][same]]] = True
+        hit[:, 1:-1] = inner.reshape(value.shape)
         edge = np.diff(hit, axis=1)
         row, first = np.nonzero(edge == 1)
         _, last = np.nonzero(edge == -1)
@@ -339,41 +349,43 @@ class _Compared:
         }
 
 
-def _compare(rows: DataFrame, unit: Unit, chunk: int = 2_000) -> DataFrame:
-    """Ranges of contexts that come sorted by key. Bytes are looked at `chunk` contexts at a time; of a group
-    only hashes are held until its last context has come."""
+def _compare(rows: DataFrame, unit: Unit, width: int, chunk: int = 2_000) -> DataFrame:
+    """Ranges of contexts of equal `key`. Bytes are looked at `chunk` contexts at a time; of a group only hashes
+    are held until its last context has come."""
 
     def run(batches):
-        held, last = _Compared(unit), None
+        held, last = _Compared(unit, width), None
         for batch in batches:
             for at in range(0, batch.num_rows, chunk):
                 table = pa.Table.from_batches([batch.slice(at, chunk)]).combine_chunks()
                 key = table["key"].to_numpy()
-                size = table["high"].to_numpy() - table["low"].to_numpy()
-                cuts = np.flatnonzero((key[1:] != key[:-1])) + 1
-                # groups of different widths, and what is enough for one go, are kept apart
-                turns = [int(x) for x in cuts if size[x] != size[x - 1]]
-                if len(cuts) and held.rows + cuts[-1] >= chunk:
-                    turns.append(int(cuts[-1]))
-                new = last is not None and key[0] != last[0]
-                if held.rows and new and (size[0] != last[1] or held.rows >= chunk):
+                if held.rows >= chunk and key[0] != last:
+                    yield pa.RecordBatch.from_pydict(held.ranges(), schema=RANGE)
+                cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
+                to = int(cuts[-1]) if len(cuts) else 0
+                if held.rows + to >= chunk and to:
+                    held.add(table.slice(0, to))
                     yield pa.RecordBatch.from_pydict(held.ranges(), schema=RANGE)
-                begin = 0
-                for to in [*sorted(set(turns)), len(key)]:
-                    held.add(table.slice(begin, to - begin))
-                    begin = to
-                    if to < len(key):
-                        yield pa.RecordBatch.from_pydict(held.ranges(), schema=RANGE)
-                last = (key[-1], size[-1])
+                    table = table.slice(to)
+                held.add(table)
+                last = key[-1]
         if held.rows:
             yield pa.RecordBatch.from_pydict(held.ranges(), schema=RANGE)
+        held = batch = table = None
+        give_back()
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", "c", "low")
+    return dealt.mapInArrow(run, "f long, c long, start int, end int")
+
 
-    return rows.mapInArrow(run, "f long, c long, start int, end int")
+def _stripe(unit: Unit) -> int:
+    """Beginnings of strings in a stripe."""
+    return -(-(unit.reach + 1) // STRIPES)
 
 
 def _stripes(rows: DataFrame, unit: Unit) -> DataFrame:
     """Contexts of large groups, once for each range of beginnings, keyed by the bytes all its strings have."""
-    width = -(-(unit.reach + 1) // STRIPES)
+    width = _stripe(unit)
     schema = pa.schema([("key", pa.int64()), *[f for f in CONTEXT if f.name in ("f", "c", "left", "right", "bytes")], ("low", pa.int32()), ("high", pa.int32())])
 
     def start():
@@ -419,9 +431,8 @@ def repeated_ranges(found: DataFrame, unit: Unit) -> DataFrame:
         F.col("f").alias("key"), "f", "c", "left", "right", "bytes", F.lit(0).alias("low"), F.lit(unit.reach).alias("high")
     )
     large = _stripes(several.where(F.col("m") > LARGE), unit)
-    rows = small.union(large)
-    rows = rows.repartition("key").sortWithinPartitions("key", "c", "low")
-    return whole.union(_compare(rows, unit))
+    compared = _compare(small, unit, unit.reach + 1).union(_compare(large, unit, _stripe(unit)))
+    return whole.union(compared)
 
 
 SPAN = pa.schema([
