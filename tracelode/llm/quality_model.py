@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm.common import U64, ascii_words, crc_mod, forget, keep_rows, load, map_batches, mix, shared_table, word_hashes, word_pieces
+from tracelode.llm.common import U64, ascii_words, crc_mod, forget, give_back, keep_rows, load, map_batches, mix, shared_table, word_hashes, word_pieces
 from tracelode.llm.quality_rules import repeated_words
 
 BUCKETS = 1 << 17
@@ -158,16 +158,21 @@ def fit(
     def learn(batches):
         rows, held = [], 0
         for batch in batches:
+            if held > features:
+                continue  # the rest is read, but not held
             for k, label in enumerate(batch.column(0).to_pylist()):
-                ids, counts = (batch.column(c)[k].values.to_numpy() for c in (2, 3))
+                ids, counts = (batch.column(c)[k].values.to_numpy() for c in (2, 3))  # views of the batch
                 if held <= features:
-                    rows.append((ids.copy(), counts.copy(), label))
+                    rows.append((ids, counts, label))
                     held += len(ids)
-        rows.sort(key=lambda r: (r[2], len(r[0]), float(r[1].sum()), r[0].tobytes()))
+        rows.sort(key=lambda r: (r[2], len(r[0]), float(r[1].sum()), r[0][:64].tobytes()))
         if len({y for _, _, y in rows}) < 2:
             model = Model(np.zeros(buckets, np.float32), float(np.log(share / (1 - share))))
         else:
             model = train(rows, share, buckets)
+        rows.clear()
+        batch = None
+        give_back()
         yield pa.RecordBatch.from_pydict({"weight": [model.weight.tobytes()], "bias": [model.bias]}, schema=WEIGHTS)
 
     one = stored.coalesce(1).sortWithinPartitions("turn", "label").mapInArrow(learn, "weight binary, bias double").collect()
