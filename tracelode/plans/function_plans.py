@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import geometry as geo
 from tracelode.functions import records as rc
+from tracelode.functions import tables as tf
 from tracelode.functions import text as tx
 from tracelode.operators import fusion
 from tracelode.operators import ranges as rg
@@ -31,6 +32,22 @@ def fn_chunk(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "fn_chunk_table",
+    """SELECT doc_id, source, CAST(unit_order AS BIGINT) AS unit_order, CAST(char_start AS BIGINT) AS char_start, CAST(char_end AS BIGINT) AS char_end, md5(text) AS text_hash
+    FROM v_unit_base""",
+)
+def fn_chunk_table(t: Tables) -> DataFrame:
+    """The chunker as a table function over the documents."""
+    tf.register(t.spark)
+    return t.spark.sql(
+        """SELECT doc_id, source, CAST(unit_order AS BIGINT) AS unit_order, CAST(char_start AS BIGINT) AS char_start,
+          CAST(char_end AS BIGINT) AS char_end, md5(text) AS text_hash
+        FROM chunk_text(TABLE(SELECT doc_id, source, text FROM {documents}) PARTITION BY doc_id ORDER BY source)""",
+        documents=t("documents"),
+    )
+
+
 @query(
     "fn_token_estimate",
     """SELECT doc_id, CAST(greatest(1, len(regexp_extract_all(text, '[\\x{3400}-\\x{9fff}]|[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]'))) AS BIGINT) AS n_tokens FROM documents""",

@@ -14,6 +14,7 @@ from tracelode.plans.dense_plans import DIMS, ann_sql, stored, top_dense
 from tracelode.plans.lexical_plans import hybrid, stability
 from tracelode.plans.registry import query
 from tracelode.session import shared_dir
+from tracelode.sources import page_records as pr
 from tracelode.sources import readers as rd
 from tracelode.sources import sinks as sk
 from tracelode.sources.views import Tables
@@ -115,6 +116,15 @@ def src_binary_assets(t: Tables) -> DataFrame:
     return rd.inspect_binary(sized).select("page_id", "detected", "size", "sha256", "outcome")
 
 
+def extracted(t: Tables, sql: str, name: str) -> DataFrame:
+    """Page records as an extractor leaves them in a folder, read back through the data source."""
+    folder = f"{shared_dir(t.spark)}/extracted-{name}-{uuid.uuid4().hex}"
+    t.sql(sql).write.json(folder)
+    pr.register(t.spark)
+    records = t.spark.read.format("extracted_assets").option("kind", "pdf").load(folder)
+    return records.select(F.col("asset_id").cast("long").alias("asset_id"), F.col("page_number").cast("long").alias("page_number"), "text")
+
+
 NATIVE = "SELECT conv_id AS asset_id, turn + CASE WHEN conv_id % 17 = 3 THEN 2 ELSE 1 END AS page_number, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 1 OR conv_id % 13 = 4 THEN '  ' ELSE text END AS text FROM conversations"
 OCR = "SELECT conv_id AS asset_id, turn + CASE WHEN conv_id % 17 = 3 THEN 2 ELSE 1 END AS page_number, CASE WHEN conv_id % 26 = 4 THEN ' ' ELSE CONCAT('read ', role) END AS text FROM conversations WHERE NOT (conv_id % 5 = 3 AND turn = 1)"
 
@@ -129,7 +139,7 @@ OCR = "SELECT conv_id AS asset_id, turn + CASE WHEN conv_id % 17 = 3 THEN 2 ELSE
       CASE WHEN v.outcome = 'ok' THEN (SELECT CAST(sum(length(merged)) AS BIGINT) FROM b WHERE b.asset_id = v.asset_id) END AS n_chars FROM v""",
 )
 def src_page_records(t: Tables) -> DataFrame:
-    pages, verdict = rd.merge_pages(t.sql(NATIVE), t.sql(OCR))
+    pages, verdict = rd.merge_pages(extracted(t, NATIVE, "native"), extracted(t, OCR, "ocr"))
     chars = pages.groupBy("asset_id").agg(F.sum(F.length("text")).alias("n_chars"))
     return verdict.join(chars, "asset_id", "left")
 
