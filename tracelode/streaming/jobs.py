@@ -7,20 +7,22 @@ available into the shared folder; the same transformation on a static table is i
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracelode.operators import units as ub
 from tracelode.functions import text as tx
 from tracelode.session import shared_dir
 
 # Fixed values.
-LEASE = "15 minutes"
+LEASE_MILLIS = 15 * 60 * 1000
 DELAY = "10 minutes"
-IDLE = "5 minutes"
+FINAL = ["succeeded", "failed", "cancelled"]
 RUNNABLE = ["ingest", "embed_chunks", "delete_cleanup"]
 
 
@@ -96,25 +98,97 @@ def metric_windows(metrics: DataFrame, length: str, slide: str | None = None, de
              "total_hundredths", "n_within_10")
 
 
+class Leases(StatefulProcessor):
+    """Per job: the end of its lease as an event-time timer, unless a final status came first.
+
+    State: asset, attempt, end of its lease (0: not running), the attempt a final status belongs to and its time (0: none
+    given), and whether to wait once more, as no watermark was known when such a status came.
+    """
+
+    COLUMNS = ["job_id", "asset_id", "attempt", "expired_at"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("lease", "asset_id string, attempt long, lease long, ended long, ended_at long, again boolean")
+
+    def _wake(self, at: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        asset, attempt, lease, ended, ended_at, again = self.state.get() if self.state.exists() else (None, 0, 0, -1, 0, False)
+        now = timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            for row in batch.itertuples(index=False):
+                asset = row.asset_id if row.asset_id is not None else asset
+                number = 0 if pd.isna(row.attempt) else int(row.attempt)
+                if row.status == "running":
+                    if number > attempt:
+                        attempt, lease = number, 0
+                    if number == attempt:
+                        lease = max(lease, int(row.millis) + LEASE_MILLIS)
+                elif number >= ended:
+                    at = 0 if pd.isna(row.millis) else int(row.millis)
+                    ended_at = at if number > ended else min(ended_at, at)
+                    ended, again = number, at == 0 and now <= 0
+        self.state.update((asset, attempt, lease, ended, ended_at, again))
+        in_time = ended >= attempt and ended_at <= lease
+        # What ended is remembered for as long as a lease, so that a late start of it is known as such.
+        self._wake(lease if lease and not in_time else max(lease, ended_at, now) + LEASE_MILLIS)
+        yield pd.DataFrame(columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = []
+        if self.state.exists():
+            asset, attempt, lease, ended, ended_at, again = self.state.get()
+            if lease and not (ended >= attempt and ended_at <= lease):
+                rows.append((key[0], asset, attempt, pd.Timestamp(lease, unit="ms")))
+            if again:
+                self.state.update((asset, attempt, lease, ended, ended_at, False))
+                self._wake(timerValues.getCurrentWatermarkInMs() + LEASE_MILLIS)
+            else:
+                self.state.clear()
+        yield pd.DataFrame(rows, columns=self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def with_keyed_state(spark: SparkSession) -> None:
+    """Keyed state with timers lives in the embedded key-value store of the executors."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
+def _millis(time: Column) -> Column:
+    """Milliseconds, rounded up, so that a timer never fires early."""
+    return F.ceil(F.unix_micros(time) / 1000).cast("long")
+
+
 def expired_leases(jobs: DataFrame, delay: str = DELAY) -> DataFrame:
     """Running jobs whose lease of 15 minutes ran out.
 
-    A session with a gap of the lease time, keyed by job, closes exactly when the lease ends; a later
-    running event of the same job (a heartbeat) extends it. An event with another status, at `finished_at`
-    where there is such a column, joins the session too, and only sessions whose last event is a running
-    one are expired. The job id is the key, so no key grows hot. Sessions that the watermark has not passed
-    at the end of the input stay open.
+    Every job has a value state and one timer at the end of its lease; a later running event of the attempt (a
+    heartbeat) moves it. A final status of the attempt, or of a later one, ends the lease unless its `finished_at` lies behind
+    the end of the lease; without that time it always does, and cannot come too late. State goes when its timer fires, so it holds only what was active
+    within a lease of the watermark. Leases that the watermark has not passed at the end of the input stay open.
     """
+    with_keyed_state(jobs.sparkSession)
     finished = F.col("finished_at") if "finished_at" in jobs.columns else F.lit(None).cast("timestamp")
     at = F.when(F.col("status") == "running", F.col("started_at")).otherwise(finished)
-    events = jobs.withColumn("_at", at).where(
-        F.col("job_type").isin(RUNNABLE) & F.col("_at").isNotNull()
-    ).withWatermark("_at", delay)
-    # Of events at one time the final status counts.
-    order = F.struct("_at", F.col("status") != "running")
-    return events.groupBy("job_id", F.session_window("_at", LEASE).alias("w")).agg(
-        F.max("asset_id").alias("asset_id"), F.max("attempt").alias("attempt"), F.max_by("status", order).alias("_last")
-    ).where(F.col("_last") == "running").select("job_id", "asset_id", "attempt", F.col("w.end").alias("expired_at"))
+    wanted = F.col("status").isin(FINAL) | (F.col("status") == "running") & F.col("_at").isNotNull()
+    events = jobs.withColumn("_at", at).where(F.col("job_type").isin(RUNNABLE) & wanted).withWatermark("_at", delay).select(
+        "job_id", F.col("asset_id").cast("string").alias("asset_id"), F.col("attempt").cast("long").alias("attempt"), "status", "_at",
+        _millis(F.col("_at")).alias("millis"),
+    )
+    kind = events.schema["job_id"].dataType.simpleString()
+    found = events.groupBy("job_id").transformWithStateInPandas(
+        Leases(), f"job_id {kind}, asset_id string, attempt long, expired_at timestamp", "Append", "EventTime"
+    )
+    return found.withColumn("asset_id", F.col("asset_id").cast(jobs.schema["asset_id"].dataType))
 
 
 def never_started(jobs: DataFrame) -> DataFrame:
@@ -140,31 +214,78 @@ def recover(expired: DataFrame, assets: DataFrame) -> DataFrame:
     )
 
 
-def answers(events: DataFrame) -> DataFrame:
-    """Event rows of an answer (meta, delta, citations, done, error), folded into one row per message.
-
-    An update-mode aggregate keyed by message, so a pause of any length never splits a message. Deltas are
-    joined in order; one message has a bounded number of events: it is a single streamed reply.
+class Answers(StatefulProcessor):
+    """Per message: its deltas as list state, its end as value state, and a timer that closes it when it falls idle."""
+
+    COLUMNS = ["message_id", "status", "answer", "last_event"]
+
+    def __init__(self, idle: int) -> None:
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getListState("parts", "event_order long, data string")
+        self.head = handle.getValueState("head", "events long, last_order long, error string, last long, closed boolean")
+
+    def _closed(self, key, error: str | None, done: bool, last: int) -> pd.DataFrame:
+        text = "".join(data for _, data in sorted((o, d or "") for o, d in self.parts.get())).strip() if self.parts.exists() else ""
+        self.parts.clear()
+        status = "failed" if error is not None or done and not text else "completed" if done else "interrupted"
+        return pd.DataFrame([(key[0], status, text if error is None else error, pd.Timestamp(last, unit="us"))], columns=self.COLUMNS)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events, last_order, error, last, closed = self.head.get() if self.head.exists() else (0, -1, None, 0, False)
+        for batch in rows:
+            parts = []
+            for row in batch.itertuples(index=False):
+                events += 1
+                last = max(last, int(row.micros))
+                if row.name == "delta":
+                    parts.append((int(row.event_order), row.data))
+                elif row.name == "done":
+                    last_order = int(row.event_order)
+                elif row.name == "error" and error is None:
+                    error = row.data or ""
+            if parts and not closed:
+                self.parts.appendList(parts)
+        out = pd.DataFrame(columns=self.COLUMNS)
+        # An end counts when all events before it have come; else the timer waits for them.
+        if not closed and (error is not None or 0 <= last_order < events):
+            out, closed = self._closed(key, error, last_order >= 0, last), True
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(-(-last // 1000) + self.idle)
+        self.head.update((events, last_order, error, last, closed))
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = pd.DataFrame(columns=self.COLUMNS)
+        if self.head.exists():
+            _, last_order, error, last, closed = self.head.get()
+            if not closed:
+                out = self._closed(key, error, last_order >= 0, last)
+            self.head.clear()
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def answers(events: DataFrame, delay: str = DELAY, idle_seconds: int = 300) -> DataFrame:
+    """Event rows of an answer (meta, delta, citations, done, error), as one row per message when it ends.
+
+    Keyed by message: deltas wait in list state. An error ends the message at once, `done` when as many events have come as its
+    place says: completed, or failed without text. A message without an end is interrupted once the watermark is
+    `idle_seconds` past its last event; a pause of up to `delay` more never splits one. With that its state goes, so state
+    is bounded by the messages of the last minutes. Messages that may still go on at the end of the input are left out.
     """
-    parts = F.array_sort(F.collect_list(F.when(F.col("name") == "delta", F.struct("event_order", "data"))))
-    return events.groupBy("message_id").agg(
-        tx.strip(F.array_join(F.transform(parts, lambda p: p["data"]), "")).alias("text"),
-        F.max(F.when(F.col("name") == "done", 1).otherwise(0)).alias("done"),
-        F.max(F.when(F.col("name") == "error", F.col("data"))).alias("error"), F.max("ts").alias("last_event"),
-    )
-
-
-def judge_answers(folded: DataFrame, newest: Column, idle: str = IDLE) -> DataFrame:
-    """Messages with their status: done with text is completed, an error or an empty answer is failed, and
-    no end within `idle` of the time `newest` is interrupted. Messages that may still go on are left out."""
-    over = F.col("last_event") + F.expr(f"INTERVAL {idle}") <= newest
-    status = (
-        F.when(F.col("error").isNotNull(), "failed").when((F.col("done") == 1) & (F.col("text") != ""), "completed")
-        .when(F.col("done") == 1, "failed").when(over, "interrupted")
+    with_keyed_state(events.sparkSession)
+    rows = events.withWatermark("ts", delay).select(
+        "message_id", F.col("event_order").cast("long").alias("event_order"), "name", "data", "ts", F.unix_micros("ts").alias("micros")
     )
-    answer = F.when(F.col("error").isNotNull(), F.col("error")).otherwise(F.col("text"))
-    return folded.select("message_id", status.alias("status"), answer.alias("answer"), "last_event").where(
-        F.col("status").isNotNull()
+    kind = events.schema["message_id"].dataType.simpleString()
+    return rows.groupBy("message_id").transformWithStateInPandas(
+        Answers(idle_seconds * 1000), f"message_id {kind}, status string, answer string, last_event timestamp", "Append", "EventTime"
     )
 
 
