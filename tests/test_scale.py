@@ -29,7 +29,7 @@ def test_ordinal_and_lag(spark):
 
 def test_percentiles(spark):
     data, df = rows(spark)
-    got = {r["k"]: r for r in hot_percentiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95, "m": "median"}, cells=16).collect()}
+    got = {r["k"]: r for r in hot_percentiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95, "m": "median"}, accuracy=16).collect()}
     for k in {d[0] for d in data}:
         values = sorted(d[3] for d in data if d[0] == k)
         nearest = lambda q: values[max(0, -(-int(q * 100) * len(values) // 100) - 1)]
@@ -42,6 +42,20 @@ def test_percentiles_of_constant_values(spark):
     assert hot_percentiles(df, ["k"], "v", {"p": 0.95, "m": "median"}).first()[1:] == (3.0, 3.0)
 
 
+def test_percentiles_with_an_outlier_look_at_few_rows(spark):
+    n = 20_000
+    df = spark.range(n).select((F.col("id") % 2).alias("k"), F.when(F.col("id") == 7, 1e12).otherwise((F.col("id") * 7919) % 10_007 / 7.0).alias("v"))
+    wanted = {"p50": 0.5, "p99": 0.99, "m": "median"}
+    got = {r["k"]: r for r in hot_percentiles(df, ["k"], "v", wanted, accuracy=1_000).collect()}
+    for k in (0, 1):
+        values = sorted(1e12 if i == 7 else i * 7919 % 10_007 / 7.0 for i in range(k, n, 2))
+        assert (got[k]["p50"], got[k]["p99"]) == (values[4999], values[9899]) and abs(got[k]["m"] - statistics.median(values)) < 1e-9
+    # what is ordered lies between two bounds of the sketch: a small share, though one value spans the whole width
+    sketch = df.groupBy("k").agg(F.percentile_approx("v", [0.497, 0.503], 1_000).alias("b"))
+    between = df.join(sketch, "k").where((F.col("v") >= F.col("b")[0]) & (F.col("v") <= F.col("b")[1])).count()
+    assert between < n / 50
+
+
 def test_interval_join(spark):
     rng = random.Random(6)
     left = [(rng.randrange(2), s, s + rng.randrange(1, 400)) for s in (rng.randrange(3000) for _ in range(120))]

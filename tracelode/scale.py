@@ -75,75 +75,67 @@ def hot_percentiles(
     keys: Sequence[str],
     value: str,
     wanted: dict[str, float | str],
-    cells: int = 2048,
+    accuracy: int = 10_000,
 ) -> DataFrame:
-    """Exact order statistics per key without gathering a group in one task.
+    """Exact order statistics per key without gathering a group, or most of it, in one task.
 
-    `wanted` maps an output name to a fraction (nearest rank) or to "median"
-    (mean of the two middle values). Values are first counted, then spread over
-    `cells` equal-width cells between the group's minimum and maximum; the running
-    count over cells tells which cell holds each wanted rank and only those cells
-    are ordered.
+    `wanted` maps an output name to a fraction (nearest rank) or to "median" (mean of the two middle values).
+    A mergeable sketch gives two bounds around each wanted rank, few of the group's rows apart whatever the values
+    are. The rows below the bounds are only counted; those between them, about 6 / `accuracy` of the group, are
+    counted by value, and the wanted rank is selected there. Should a rank lie outside its bounds, the group's least
+    and greatest value take their place, so the result is exact in any case.
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    spans = counted.groupBy(*keys).agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("_n").alias("_total")
-    )
-    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    celled = counted.join(spans, keys).withColumn(
-        "_cell",
-        F.least(
-            F.lit(cells - 1),
-            F.floor((F.col(value) - F.col("_lo")) / width * cells),
-        ).cast("int"),
-    )
-    per_cell = celled.groupBy(*keys, "_cell").agg(
-        F.sum("_n").alias("_size"), F.first("_total").alias("_total")
-    )
-    running = Window.partitionBy(*keys).orderBy("_cell")
-    per_cell = per_cell.withColumn("_upto", F.sum("_size").over(running)).withColumn(
-        "_before", F.col("_upto") - F.col("_size")
-    )
-    ranks = []
+    ranks: list[tuple[str, Column, float]] = []
+    total = F.col("_total")
     for name, rule in wanted.items():
         if rule == "median":
-            ranks.append((name, F.floor((F.col("_total") + 1) / 2)))
-            ranks.append((name, F.floor((F.col("_total") + 2) / 2)))
+            ranks += [(name, F.floor((total + 1) / 2), 0.5), (name, F.floor((total + 2) / 2), 0.5)]
         else:
-            rank = F.ceil(F.lit(float(rule)) * F.col("_total"))
-            ranks.append((name, F.greatest(F.lit(1), F.least(F.col("_total"), rank))))
-    targets = per_cell.select(
-        *keys,
-        "_cell",
-        "_before",
-        "_upto",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("name"), r.cast("long").alias("rank"))
-                    for n, r in ranks
-                ]
-            )
-        ).alias("_want"),
-    ).where((F.col("_want.rank") > F.col("_before")) & (F.col("_want.rank") <= F.col("_upto")))
-    inside = Window.partitionBy(*keys, "_cell").orderBy(value)
-    needed = celled.join(targets.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi")
-    ordered = needed.withColumn("_high", F.sum("_n").over(inside)).withColumn(
-        "_low", F.col("_high") - F.col("_n")
+            ranks.append((name, F.greatest(F.lit(1), F.least(total, F.ceil(F.lit(float(rule)) * total))), float(rule)))
+    steps = range(len(ranks))
+    near = [max(0.0, q - 3 / accuracy) for *_, q in ranks] + [min(1.0, q + 3 / accuracy) for *_, q in ranks]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    sketch = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_total"), F.min("_v").alias("_least"), F.max("_v").alias("_most"),
+        F.percentile_approx("_v", near, accuracy).alias("_near"),
     )
-    hits = ordered.select(*keys, "_cell", value, "_low", "_high").join(
-        targets.select(
-            *keys, "_cell", F.col("_want.name").alias("_name"),
-            (F.col("_want.rank") - F.col("_before")).alias("_rank"),
-        ),
-        [*keys, "_cell"],
-    ).where((F.col("_rank") > F.col("_low")) & (F.col("_rank") <= F.col("_high")))
-    return hits.groupBy(*keys).agg(
-        *[F.avg(F.when(F.col("_name") == n, F.col(value))).alias(n) for n in wanted]
+
+    def beside(other: DataFrame, columns: Sequence[str]) -> DataFrame:
+        renamed = other.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *columns)
+        condition = F.lit(True)
+        for k in keys:
+            condition = condition & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        return rows.join(renamed, condition).drop(*[f"_k_{k}" for k in keys])
+
+    low, high = [F.col("_near")[i] for i in steps], [F.col("_near")[len(ranks) + i] for i in steps]
+    counted = beside(sketch, ["_total", "_least", "_most", "_near"]).groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("_total", "_least", "_most", "_near")],
+        *[F.count_if(F.col("_v") < low[i]).alias(f"_below{i}") for i in steps],
+        *[F.count_if(F.col("_v") <= high[i]).alias(f"_upto{i}") for i in steps],
     )
+    held = [(F.col(f"_below{i}") < r) & (r <= F.col(f"_upto{i}")) for i, (_, r, _) in enumerate(ranks)]
+    bounds = counted.select(*keys, *[
+        F.struct(
+            r.cast("long").alias("rank"), F.when(held[i], low[i]).otherwise(F.col("_least")).alias("low"),
+            F.when(held[i], high[i]).otherwise(F.col("_most")).alias("high"),
+            F.when(held[i], F.col(f"_below{i}")).otherwise(0).alias("below"),
+        ).alias(f"_b{i}")
+        for i, (_, r, _) in enumerate(ranks)
+    ])
+    inside = [(F.col("_v") >= F.col(f"_b{i}.low")) & (F.col("_v") <= F.col(f"_b{i}.high")) for i in steps]
+    between = beside(bounds, [f"_b{i}" for i in steps]).withColumn(
+        "_i", F.filter(F.array(*[F.when(inside[i], i) for i in steps]), lambda x: x.isNotNull())
+    ).where(F.size("_i") > 0)
+    # one count per value and wanted rank; few rows are left here
+    values = between.select(*keys, "_v", F.explode("_i").alias("_i"), F.array(*[F.col(f"_b{i}") for i in steps]).alias("_b")).select(
+        *keys, "_v", "_i", F.col("_b")[F.col("_i")].alias("_b")
+    ).groupBy(*keys, "_i", "_b.rank", "_b.below", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    running = F.sum("_n").over(Window.partitionBy(*keys, "_i").orderBy("_v")) + F.col("below")
+    hits = values.withColumn("_upto", running).where((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n")))
+    return hits.groupBy(*keys).agg(*[
+        F.avg(F.when(F.col("_i").isin([i for i in steps if ranks[i][0] == n]), F.col("_v"))).alias(n) for n in wanted
+    ])
 
 
 def fits(df: DataFrame, max_rows: int) -> bool:
