@@ -75,17 +75,58 @@ def distribution(df: DataFrame, value: str, fractions: dict[str, float | str], k
     return base.join(hot_percentiles(keyed, by, value, fractions), by).drop("_all")
 
 
-def row_digest(columns: Sequence[str]) -> Column:
-    """32-bit number from the md5 of a row's text form."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+#: 2 to the 52nd: what is behind the point of a double, taken apart exactly.
+_FINE = 4_503_599_627_370_496
 
 
-def fingerprint(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
-    """Order-independent content digest: row count and sum of row digests."""
+def cell_text(name: str, kind: str) -> str:
+    """SQL for a column as text that differs whenever the value does; kinds as in Spark's type names.
+
+    A double is its floor and two times 52 bits behind the point, so no engine's way to print it matters.
+    """
+    if kind in ("double", "float"):
+        x = f"CAST({name} AS DOUBLE)"
+        rest = f"({x} - floor({x}))"
+        parts = [f"floor({x})", f"floor({rest} * {_FINE})", f"floor(({rest} * {_FINE} - floor({rest} * {_FINE})) * {_FINE})"]
+        whole = "CONCAT(" + ", '.', ".join(f"CAST(CAST({p} AS BIGINT) AS STRING)" for p in parts) + ")"
+        return f"CASE WHEN isnan({x}) THEN 'nan' WHEN abs({x}) >= 9e18 THEN CAST({x} AS STRING) ELSE {whole} END"
+    if kind == "string":
+        return f"CONCAT(CAST(LENGTH({name}) AS STRING), ':', {name})"
+    if kind.startswith("timestamp"):
+        return f"CAST(unix_micros(CAST({name} AS TIMESTAMP)) AS STRING)"
+    if kind.startswith("array<"):
+        return f"array_join(transform({name}, x -> COALESCE({cell_text('x', kind[6:-1])}, '~')), ',')"
+    return f"CAST({name} AS STRING)"
+
+
+def row_halves(df: DataFrame) -> list[Column]:
+    """The 128-bit digest of a row over all its columns, as two unsigned halves."""
+    cells = ", ".join(f"COALESCE({cell_text(f'`{f.name}`', f.dataType.simpleString())}, '~')" for f in df.schema)
+    digest = F.md5(F.expr(f"CONCAT_WS('|', {cells})"))
+    return [F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17)]
+
+
+def fingerprint(df: DataFrame, name: str) -> DataFrame:
+    """Order-free content digest of all columns: row count, and the sums of both halves of the row digests.
+
+    Sums of parts add up to that of the whole, and what is taken away can be subtracted.
+    """
+    high, low = row_halves(df)
     return df.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(row_digest(columns)).alias("digest")
-    ).select(F.lit(name).alias("table_name"), "n_rows", "digest")
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(high), F.lit(0)).cast("decimal(38,0)").alias("high"),
+        F.coalesce(F.sum(low), F.lit(0)).cast("decimal(38,0)").alias("low"),
+    ).select(F.lit(name).alias("table_name"), "n_rows", "high", "low")
+
+
+def updated_fingerprint(known: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:
+    """The fingerprint after some rows of a table were replaced, from its old one and those rows alone."""
+    name = known.first()["table_name"]
+    parts = known.unionByName(fingerprint(added, name)).unionByName(
+        fingerprint(removed, name).select("table_name", *[(-F.col(c)).alias(c) for c in ("n_rows", "high", "low")])
+    )
+    return parts.groupBy("table_name").agg(*[F.sum(c).alias(c) for c in ("n_rows", "high", "low")]).select(
+        "table_name", "n_rows", *[F.col(c).cast("decimal(38,0)").alias(c) for c in ("high", "low")]
+    )
 
 
 def histogram(df: DataFrame, labels: Sequence[str], value: Column, bounds: Sequence[float]) -> DataFrame:

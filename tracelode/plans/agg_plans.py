@@ -195,27 +195,56 @@ def agg_seed_contract(t: Tables) -> DataFrame:
     return gd.seed_contract(cohort_rows(t), t("v_signature"), "tion")
 
 
-FINGER = {
-    "v_asset": ["asset_id", "workspace_id", "status", "current_generation", "byte_size"],
-    "v_locator": ["locator_id", "locator_kind", "generation", "page_number"],
-    "v_message": ["message_id", "parent_id", "role", "status"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"],
+# All columns of all given tables, with their types.
+KEY, NUMBER, REAL, TEXT, TIME, VECTOR = "bigint", "int", "double", "string", "timestamp", "array<float>"
+COLUMNS = {
+    "region": {"r_regionkey": NUMBER, "r_name": TEXT},
+    "nation": {"n_nationkey": NUMBER, "n_name": TEXT, "n_regionkey": NUMBER},
+    "customer": {"c_custkey": KEY, "c_name": TEXT, "c_nationkey": NUMBER, "c_acctbal": REAL, "c_mktsegment": TEXT},
+    "supplier": {"s_suppkey": KEY, "s_name": TEXT, "s_nationkey": NUMBER, "s_acctbal": REAL},
+    "part": {"p_partkey": KEY, "p_name": TEXT, "p_brand": TEXT, "p_type": TEXT, "p_size": NUMBER, "p_retailprice": REAL},
+    "orders": {
+        "o_orderkey": KEY, "o_custkey": KEY, "o_orderstatus": TEXT, "o_totalprice": REAL, "o_orderdate": TIME, "o_orderpriority": TEXT,
+    },
+    "lineitem": {
+        "l_orderkey": KEY, "l_partkey": KEY, "l_suppkey": KEY, "l_linenumber": NUMBER, "l_quantity": REAL, "l_extendedprice": REAL,
+        "l_discount": REAL, "l_tax": REAL, "l_returnflag": TEXT, "l_linestatus": TEXT, "l_shipdate": TIME,
+    },
+    "events": {"event_id": KEY, "ts": TIME, "user_id": KEY, "event_type": TEXT, "value": REAL, "props": TEXT},
+    "documents": {"doc_id": KEY, "text": TEXT, "lang": TEXT, "source": TEXT, "n_chars": KEY},
+    "embeddings": {"vec_id": KEY, "embedding": VECTOR, "label": NUMBER},
+    "pages": {"page_id": KEY, "url": TEXT, "html": TEXT},
+    "benchmark": {"item_id": KEY, "text": TEXT},
+    "labels": {"doc_id": KEY, "quality": NUMBER, "toxic": NUMBER},
+    "conversations": {"conv_id": KEY, "turn": KEY, "role": TEXT, "text": TEXT},
 }
 
 
+def cell_sql(name: str, kind: str) -> str:
+    """`cell_text` in the words of the checking engine."""
+    if kind == VECTOR:
+        return f"array_to_string(list_transform({name}, lambda x: COALESCE({ag.cell_text('x', 'float')}, '~')), ',')"
+    return f"CAST(epoch_us({name}) AS STRING)" if kind == TIME else ag.cell_text(name, kind)
+
+
+def half_sql(at: int) -> str:
+    return f"CAST(sum(CAST(CAST('0x' || substr(h, {at}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)"
+
+
 @query(
     "agg_fingerprint",
     "\nUNION ALL\n".join(
-        f"""SELECT '{n}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(CAST('0x' || substr(md5({" || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cs)}), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM {n}"""
-        for n, cs in FINGER.items()
+        f"""SELECT '{name}' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, {half_sql(1)} AS high, {half_sql(17)} AS low FROM (
+          SELECT md5(CONCAT_WS('|', {", ".join(f"COALESCE({cell_sql(c, kind)}, '~')" for c, kind in columns.items())})) AS h FROM {name})"""
+        for name, columns in COLUMNS.items()
     ),
 )
 def agg_fingerprint(t: Tables) -> DataFrame:
     out = None
-    for name, columns in FINGER.items():
-        one = ag.fingerprint(t(name), name, columns)
+    for name, columns in COLUMNS.items():
+        one = ag.fingerprint(t(name).select(*columns), name)
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.select("table_name", "n_rows", F.col("high").cast("string").alias("high"), F.col("low").cast("string").alias("low"))
 
 
 @query(

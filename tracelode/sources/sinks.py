@@ -53,9 +53,14 @@ def write_report(df: DataFrame, path: str, sort_by: list[str]) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path
     files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
     had = files.exists(place(path))
-    if had:
-        files.rename(place(path), place(old))
-    files.rename(place(fresh), place(path))
+    if had and not files.rename(place(path), place(old)):
+        files.delete(place(fresh), True)
+        raise OSError(f"{path} cannot be moved aside; it is as it was")
+    if not files.rename(place(fresh), place(path)):
+        if had and not files.rename(place(old), place(path)):
+            raise OSError(f"{path} cannot be replaced; the old report is {old}, the new one {fresh}")
+        files.delete(place(fresh), True)
+        raise OSError(f"{path} cannot be replaced; it is as it was")
     if had:
         files.delete(place(old), True)
 
