@@ -49,6 +49,28 @@ def test_claims_equal_the_sequential_walk(spark):
     assert got == want
 
 
+def test_claims_of_several_ranges(spark):
+    rng = random.Random(8)
+    rows = []
+    for n in range(400):
+        spans = [(s, s + rng.randrange(0, 9)) for s in (rng.randrange(2000) for _ in range(rng.randrange(0, 5)))]
+        rows.append((rng.randrange(3), f"i{n:03}", rng.randrange(5), spans))
+    df = spark.createDataFrame(rows, "page int, item string, gap int, ranges array<struct<s:int,e:int>>").withColumn("priority", F.struct("gap", "item"))
+    want, claimed = set(), {}
+    for page, item, _, spans in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        if not any(a < e and b > s and s < e for s, e in spans for a, b in claimed.get(page, [])):
+            claimed.setdefault(page, []).extend(x for x in spans if x[0] < x[1])
+            want.add(item)
+    assert {r["item"] for r in ly.claim_ranges(df.repartition(5), "page").collect()} == want and len(want) < 400
+
+
+def test_many_claims_on_one_page(spark):
+    df = spark.range(100_000).select(
+        F.lit(1).alias("page"), F.col("id").alias("item"), F.struct("id").alias("priority"), (F.col("id") * 7919 % 100_003 * 3).alias("s"),
+    ).withColumn("e", F.col("s") + 2)
+    assert ly.claim_ranges(df, "page").count() == 100_000
+
+
 def test_pdf_units_by_kind(spark):
     pages = spark.createDataFrame([(1, "layout", "head\nTABLE ROW\ntail"), (2, "ocr", "seen"), (3, "ocr", "seen unseen")], "page_id int, source_kind string, text string")
     regions = spark.createDataFrame([(2, 0, 4), (3, 0, 4)], "page_id int, region_start int, region_end int")

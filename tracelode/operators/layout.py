@@ -1,14 +1,19 @@
 """Page layout as table jobs: words to characters, captions, figure merging, claims.
 
-A page may hold any number of words or boxes, so nothing here walks a page in one task: words and
-text runs meet by interval joins, boxes by grid joins, and the two iterative jobs (components and
-greedy claims) run in rounds over edges.
+A page may hold any number of words or boxes, so nothing here holds a page in one task: words and
+text runs meet by interval joins, boxes by grid joins, components run in rounds over edges, and greedy claims,
+which depend on all claims before them, pass a page once and keep only what is claimed.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelode.functions import text as tx
 from tracelode.operators import ranges as rg
@@ -198,31 +203,43 @@ def figure_candidates(raster: DataFrame, vector: DataFrame, tables: DataFrame, k
 
 
 def claim_ranges(proposals: DataFrame, page: str) -> DataFrame:
-    """Greedy claims in priority order: a proposal is taken unless a taken one overlaps its range.
+    """Greedy claims in priority order: a proposal is taken if none of its ranges overlaps a taken one.
 
-    proposals: page, item (unique), priority (comparable struct), s, e. In every round the undecided
-    proposals without a better undecided rival are taken and their rivals dropped; the outcome is that
-    of the sequential walk.
+    proposals: page, item (unique), priority (comparable struct), ranges (array of struct s, e; or s and e for one
+    range). One pass over each page in the order of priority: what is claimed so far is kept as sorted starts and
+    ends, which are disjoint, so a range is looked up by bisection. A task holds the claimed ranges of one page,
+    never its proposals. Proposals without ranges claim nothing and are taken; empty ranges overlap nothing.
     """
-    p = proposals.select(page, "item", "priority", "s", "e")
-    left = p.select(page, F.col("item").alias("best"), F.col("priority").alias("_bp"), "s", "e")
-    right = p.select(page, F.col("item").alias("rest"), F.col("priority").alias("_rp"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    rivals = checkpoint(
-        rg.overlap_join(left, right, [page], ("s", "e"), ("s2", "e2"), 256).where(F.col("_bp") < F.col("_rp")).select("best", "rest").distinct()
-    )
-    open_items = p.select("item")
-    taken = None
-    while True:
-        beaten = rivals.select(F.col("rest").alias("item")).distinct()
-        now = checkpoint(open_items.join(beaten, "item", "left_anti"))
-        taken = now if taken is None else taken.unionByName(now)
-        dropped = rivals.join(now.select(F.col("item").alias("best")), "best", "left_semi").select(F.col("rest").alias("item")).distinct()
-        gone = checkpoint(now.unionByName(dropped))
-        open_items = checkpoint(open_items.join(gone, "item", "left_anti"))
-        if not open_items.limit(1).count():
-            return proposals.join(taken, "item", "left_semi")
-        rivals = checkpoint(
-            rivals.join(gone.select(F.col("item").alias("best")), "best", "left_anti").join(
-                gone.select(F.col("item").alias("rest")), "rest", "left_anti"
-            ).select("best", "rest")
-        )
+    ranges = F.col("ranges") if "ranges" in proposals.columns else F.array(F.struct("s", "e"))
+    spans = F.transform(ranges, lambda r: F.struct(r["s"].cast("long").alias("s"), r["e"].cast("long").alias("e")))
+    rows = proposals.select(page, "item", "priority", spans.alias("spans"))
+    schema = T.StructType([rows.schema[page], rows.schema["item"]])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, starts, ends = None, [], []
+        for batch in batches:
+            keep = []
+            for k, (key, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if k == 0 and now is None or key != now:
+                    now, starts, ends = key, [], []
+                own = sorted((r["s"], r["e"]) for r in own or [] if r["s"] < r["e"])
+                # the first claimed range that ends behind s must not begin before e
+                at = [bisect_right(ends, s) for s, _ in own]
+                if any(i < len(starts) and starts[i] < e for i, (_, e) in zip(at, own)):
+                    continue
+                keep.append(k)
+                for s, e in own:
+                    i = bisect_right(ends, s)
+                    if i < len(starts) and starts[i] < e:  # ranges of one proposal may overlap each other
+                        j = i
+                        while j < len(starts) and starts[j] < e:
+                            j += 1
+                        s, e = min(s, starts[i]), max(e, ends[j - 1])
+                        del starts[i:j], ends[i:j]
+                    starts.insert(i, s)
+                    ends.insert(i, e)
+            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
+    dealt = rows.repartition(page).sortWithinPartitions(page, "priority").select(page, "item", "spans")
+    taken = dealt.mapInArrow(walk, schema)
+    return proposals.join(taken, [page, "item"], "left_semi")

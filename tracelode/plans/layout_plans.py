@@ -101,19 +101,26 @@ def lay_figure_filter(t: Tables) -> DataFrame:
     ).select("page_id", "item", "source")
 
 
+# A table has the range of its cells; a figure one range for each line of its captions, up to seven.
 PROPOSALS = f"""SELECT DISTINCT l_orderkey AS page_id, {ITEM} AS item, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS kind, CASE WHEN l_returnflag = 'N' THEN 0 ELSE l_linenumber END AS gap,
-  CASE WHEN l_returnflag = 'N' THEN 0.0 ELSE -l_quantity END AS neg_area, l_suppkey * 7 % 400 AS s, l_suppkey * 7 % 400 + CAST(l_quantity AS INT) * 2 AS e FROM lineitem"""
+  CASE WHEN l_returnflag = 'N' THEN 0.0 ELSE -l_quantity END AS neg_area, l_suppkey * 7 % 400 AS s, CAST(l_quantity AS INT) + 1 AS size,
+  CASE WHEN l_returnflag = 'N' THEN 1 ELSE 1 + l_partkey % 7 END AS n, 1 + l_partkey % 90 AS step FROM lineitem"""
 
 
 @query(
     "lay_claim_ranges",
-    f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY kind, gap, neg_area, item) AS k FROM ({PROPOSALS})),
-    w AS (SELECT page_id, item, k, true AS taken, [{{s: s, e: e}}] AS claimed FROM p WHERE k = 1
-      UNION ALL SELECT p.page_id, p.item, p.k, len([c for c in w.claimed if c.s < p.e and c.e > p.s]) = 0,
-        CASE WHEN len([c for c in w.claimed if c.s < p.e and c.e > p.s]) = 0 THEN list_append(w.claimed, {{s: p.s, e: p.e}}) ELSE w.claimed END
+    f"""WITH RECURSIVE r AS (SELECT *, list_transform(range(0, n), lambda i: {{s: s + i * step, e: s + i * step + size}}) AS ranges FROM ({PROPOSALS})),
+    p AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY kind, gap, neg_area, item) AS k FROM r),
+    w AS (SELECT page_id, item, k, true AS taken, ranges AS claimed FROM p WHERE k = 1
+      UNION ALL SELECT p.page_id, p.item, p.k, len([c for c in w.claimed if len([x for x in p.ranges if c.s < x.e and c.e > x.s]) > 0]) = 0,
+        CASE WHEN len([c for c in w.claimed if len([x for x in p.ranges if c.s < x.e and c.e > x.s]) > 0]) = 0 THEN list_concat(w.claimed, p.ranges) ELSE w.claimed END
       FROM w JOIN p ON p.page_id = w.page_id AND p.k = w.k + 1)
     SELECT page_id, item FROM w WHERE taken""",
 )
 def lay_claim_ranges(t: Tables) -> DataFrame:
-    proposals = t.sql(PROPOSALS).withColumn("priority", F.struct("kind", "gap", "neg_area", "item"))
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)
+    ranges = F.transform(numbers, lambda i: F.struct(
+        (F.col("s") + i * F.col("step")).alias("s"), (F.col("s") + i * F.col("step") + F.col("size")).alias("e")
+    ))
+    proposals = t.sql(PROPOSALS).withColumn("ranges", ranges).withColumn("priority", F.struct("kind", "gap", "neg_area", "item"))
     return ly.claim_ranges(proposals, "page_id").select("page_id", "item")
