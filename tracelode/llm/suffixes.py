@@ -41,7 +41,7 @@ from tracelode.llm.common import U64, forget, give_back, load, map_batches, mix,
 
 MATCH, GRAM = 400, 64
 #: Contexts of one gram that are compared together, and into how many ranges of beginnings more are divided.
-LARGE, STRIPES = 3_000, 8
+LARGE, STRIPES = 12_000, 8
 #: Text bytes of a batch, and the number of batches of one build at most.
 BATCH_BYTES, BATCHES = 512 << 20, 16
 
