@@ -35,14 +35,21 @@ def counts_over(df: DataFrame, column: str, wanted: Sequence[str]) -> DataFrame:
     return literal_rows(df, column, wanted).join(counted, column, "left").fillna(0, ["n"])
 
 
-def thread_rollup(messages: DataFrame, title_chars: int = 80) -> DataFrame:
-    """Title = first question cut short; last position = latest message."""
+def thread_rollup(messages: DataFrame, titles: DataFrame | None = None, title_chars: int = 80) -> DataFrame:
+    """Title = the stored one (thread_id, title) unless blank, else the first question cut short; last position =
+    latest message."""
     question = F.when(F.col("role") == "user", F.struct("turn", "message_id"))
-    return messages.groupBy("thread_id").agg(
+    rolled = messages.groupBy("thread_id").agg(
         F.substring(F.min_by("content", question), 1, title_chars).alias("title"),
         F.max("turn").alias("last_turn"),
         F.count(F.lit(1)).alias("n_messages"),
     )
+    if titles is None:
+        return rolled
+    kept = titles.select("thread_id", F.nullif(F.trim("title"), F.lit("")).alias("_stored"))
+    return rolled.join(kept, "thread_id", "left").select(
+        "thread_id", F.coalesce("_stored", "title").alias("title"), "last_turn", "n_messages"
+    )
 
 
 def next_attempt(jobs: DataFrame) -> DataFrame:

@@ -128,6 +128,17 @@ def coverage_ratio(approved: DataFrame, rendered: DataFrame, key: str, region: s
     return scored.groupBy(key).agg(F.min("_best").alias("min_ratio"), F.count(F.lit(1)).alias("n_regions"))
 
 
+#: Difference up to which a reported ratio agrees with the rectangles (fixed value).
+RATIO_TOLERANCE = 1e-6
+
+
+def against_reported(ratios: DataFrame, reported: DataFrame, key: str) -> DataFrame:
+    """Ratios next to what a report claims (key, reported); `agrees` is false where nothing is claimed."""
+    return ratios.join(reported.select(key, F.col("reported").cast("double").alias("reported")), key, "left").withColumn(
+        "agrees", F.coalesce(F.abs(F.col("min_ratio") - F.col("reported")) <= RATIO_TOLERANCE, F.lit(False))
+    )
+
+
 def region_excerpt(
     selected: DataFrame, units: DataFrame, captions: DataFrame, key: str, limit: int = 4000
 ) -> DataFrame:

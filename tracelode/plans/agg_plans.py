@@ -45,13 +45,18 @@ def agg_job_status(t: Tables) -> DataFrame:
     return ag.counts_over(t("v_job"), "status", ag.JOB_STATUSES)
 
 
+# Titles as stored with a thread: some have one, some a blank one, most none.
+TITLES = """SELECT thread_id, CASE WHEN thread_id % 8 = 1 THEN '  ' ELSE CONCAT(' Thread ', CAST(thread_id AS STRING), ' ') END AS title
+  FROM (SELECT DISTINCT thread_id FROM v_message WHERE thread_id % 4 = 1) x"""
+
+
 @query(
     "agg_thread_rollup",
-    """SELECT thread_id, substr(arg_min(content, turn) FILTER (WHERE role = 'user'), 1, 80) AS title, max(turn) AS last_turn,
-      CAST(count(*) AS BIGINT) AS n_messages FROM v_message GROUP BY 1""",
+    f"""SELECT m.thread_id, coalesce(any_value(nullif(trim(s.title), '')), substr(arg_min(m.content, m.turn) FILTER (WHERE m.role = 'user'), 1, 80)) AS title,
+      max(m.turn) AS last_turn, CAST(count(*) AS BIGINT) AS n_messages FROM v_message m LEFT JOIN ({TITLES}) s ON s.thread_id = m.thread_id GROUP BY 1""",
 )
 def agg_thread_rollup(t: Tables) -> DataFrame:
-    return ag.thread_rollup(t("v_message"))
+    return ag.thread_rollup(t("v_message"), t.sql(TITLES))
 
 
 @query(

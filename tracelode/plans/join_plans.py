@@ -101,15 +101,15 @@ def join_oriented_repr(t: Tables) -> DataFrame:
     )
 
 
-def text_lines(t: Tables) -> DataFrame:
-    """Lines of every document with their code-point range; one in seven is not recognised."""
+def text_lines(t: Tables, whole: bool = False) -> DataFrame:
+    """Lines of every document with their code-point range; unless `whole`, one in seven is not recognised."""
     split = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     order = Window.partitionBy("doc_id").orderBy("line_no")
     ends = F.sum(F.length("line") + 1).over(order)
     return (
         split.withColumn("region_end", (ends - 1).cast("int"))
         .withColumn("region_start", (F.col("region_end") - F.length("line")).cast("int"))
-        .where((F.length("line") > 0) & ((F.col("line_no") + F.col("doc_id")) % 7 != 3))
+        .where((F.length("line") > 0) & (F.lit(whole) | ((F.col("line_no") + F.col("doc_id")) % 7 != 3)))
         .select("doc_id", F.col("line_no").cast("long").alias("line_no"), "region_start", "region_end")
     )
 
@@ -123,14 +123,14 @@ LINES_CTE = """pieces AS (SELECT doc_id, generate_subscripts(string_split(text,
 
 @query(
     "join_char_overlap",
-    f"""WITH {LINES_CTE}
+    f"""WITH {LINES_CTE.replace(" AND (line_no + doc_id) % 7 <> 3", "")}
     SELECT u.doc_id, CAST(u.char_start AS BIGINT) AS char_start, r.line_no, r.s AS region_start, r.e AS region_end
     FROM v_unit_base u JOIN regions r ON r.doc_id = u.doc_id AND r.s < u.char_end AND r.e > u.char_start""",
 )
 def join_char_overlap(t: Tables) -> DataFrame:
     chunks = t("v_unit").select("doc_id", "char_start", "char_end")
     pairs = rg.overlap_join(
-        chunks, text_lines(t), ["doc_id"], ("char_start", "char_end"), ("region_start", "region_end")
+        chunks, text_lines(t, whole=True), ["doc_id"], ("char_start", "char_end"), ("region_start", "region_end")
     )
     return pairs.select(
         "doc_id", F.col("char_start").cast("long").alias("char_start"), "line_no",
@@ -264,18 +264,26 @@ def join_case_assets(t: Tables) -> DataFrame:
     return rel.case_assets(t.sql(LABELLED), t("v_asset")).select("doc_id", "n_assets", "resolved")
 
 
+# The ratio an execution report claims: none for some targets, all or nothing for the others.
+REPORTED = """SELECT locator_id, CAST(CASE WHEN locator_id % 3 = 0 THEN 0.0 WHEN locator_id % 3 = 1 THEN 1.0000004 ELSE 1.0 END AS DOUBLE) AS reported
+  FROM (SELECT DISTINCT locator_id FROM v_rect WHERE flag = 'R' AND locator_id % 7 <> 2) x"""
+
+
 @query(
     "join_coverage_ratio",
     f"""WITH a AS (SELECT *, {REGION_ID} AS rid FROM v_rect WHERE flag = 'R'), b AS (SELECT * FROM v_rect WHERE flag = 'A'),
     best AS (SELECT a.locator_id, a.rid, max(CASE WHEN b.locator_id IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x))
       * greatest(0.0, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y)) / (a.width * a.height)) END) AS ratio
       FROM a LEFT JOIN b ON a.locator_id = b.locator_id GROUP BY 1, 2)
-    SELECT locator_id, round(min(ratio), 6) AS min_ratio, min(ratio) >= 0.08 AS passed FROM best GROUP BY 1""",
+    SELECT b.locator_id, round(min(ratio), 6) AS min_ratio, min(ratio) >= 0.08 AS passed, any_value(r.reported) AS reported,
+      coalesce(abs(min(ratio) - any_value(r.reported)) <= 1e-6, false) AS agrees
+    FROM best b LEFT JOIN ({REPORTED}) r ON r.locator_id = b.locator_id GROUP BY 1""",
 )
 def join_coverage_ratio(t: Tables) -> DataFrame:
     approved = rects(t, "R").withColumn("region_id", F.expr(REGION_ID))
-    return rg.coverage_ratio(approved, rects(t, "A"), "locator_id", "region_id").select(
-        "locator_id", F.round("min_ratio", 6).alias("min_ratio"), (F.col("min_ratio") >= 0.08).alias("passed")
+    ratios = rg.coverage_ratio(approved, rects(t, "A"), "locator_id", "region_id")
+    return rg.against_reported(ratios, t.sql(REPORTED), "locator_id").select(
+        "locator_id", F.round("min_ratio", 6).alias("min_ratio"), (F.col("min_ratio") >= 0.08).alias("passed"), "reported", "agrees"
     )
 
 

@@ -243,14 +243,41 @@ def gr_parent_rules(t: Tables) -> DataFrame:
     ).select("request_id", "outcome", "parent_id")
 
 
+# What each list shows, and the numbers it is ordered by: the smaller first, then the id.
+LISTS = {
+    "notes": """SELECT CAST(workspace_id AS STRING) AS owner, CAST(note_id AS STRING) AS item, CAST(CASE WHEN is_pinned THEN 0 ELSE 1 END AS BIGINT) AS a,
+      -CAST({micros} AS BIGINT) AS b, -CAST(note_id AS BIGINT) AS c FROM v_note WHERE NOT is_archived""",
+    "threads": """SELECT CAST(thread_id % 5 AS STRING) AS owner, CAST(thread_id AS STRING) AS item, -CAST(max(turn) AS BIGINT) AS a, -CAST(min(message_id) AS BIGINT) AS b,
+      CAST(0 AS BIGINT) AS c FROM v_message GROUP BY thread_id""",
+    "workspaces": """SELECT 'all' AS owner, workspace_id AS item, -CAST(max(created_seq) AS BIGINT) AS a, -CAST(min(created_seq) AS BIGINT) AS b, CAST(0 AS BIGINT) AS c
+      FROM v_asset GROUP BY workspace_id""",
+    "assets": """SELECT workspace_id AS owner, asset_id AS item, -CAST(created_seq AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c
+      FROM v_asset WHERE NOT is_deleted""",
+    "tags": "SELECT 'all' AS owner, p_brand AS item, CAST(min(p_partkey) AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM part GROUP BY p_brand",
+}
+#: Values of the first order that share a bucket.
+LIST_BUCKET = 1_024
+
+
+def list_sql(micros: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS list, owner, item, a, b, c FROM ({sql.format(micros=micros)}) x" for name, sql in LISTS.items())
+
+
 @query(
     "ord_lists",
-    """SELECT note_id, workspace_id, is_pinned, strftime(updated_at, '%Y-%m-%d') AS updated FROM v_note WHERE NOT is_archived""",
+    f"""SELECT list, owner, item, CAST(row_number() OVER (PARTITION BY list, owner ORDER BY a, b, c, item) AS BIGINT) AS position
+      FROM ({list_sql("epoch_us(updated_at)")})""",
 )
 def ord_lists(t: Tables) -> DataFrame:
-    return t("v_note").where("NOT is_archived").orderBy(
-        F.desc("is_pinned"), F.desc("updated_at"), "note_id"
-    ).select("note_id", "workspace_id", "is_pinned", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+    """The places of notes, threads, workspaces, assets and tags in their lists; no list is sorted in one task."""
+    rows = t.sql(list_sql("unix_micros(CAST(updated_at AS TIMESTAMP))"))
+    # pinned notes come first, then days: both are in order with (a, b)
+    day = F.floor(F.col("b") / 86_400_000_000)
+    bucket = F.when(F.col("list") == "notes", F.col("a") * 10_000_000 + day).otherwise(F.floor(F.col("a") / LIST_BUCKET))
+    order = [F.col(c) for c in ("a", "b", "c", "item")]
+    return hot_ordinal(rows, ["list", "owner"], order, bucket, "position").select(
+        "list", "owner", "item", F.col("position").cast("long").alias("position")
+    )
 
 
 @query(
