@@ -230,22 +230,56 @@ PDF_SPACE = "pdf_normalized_top_left_v1"
 IMAGE_SPACE = "image_normalized_top_left_v1"
 
 
+PDF_GEOMETRY = [
+    "crop_x0_points", "crop_y0_points", "crop_x1_points", "crop_y1_points", "rotation_degrees", "display_width_points",
+    "display_height_points",
+]
+
+
+def ordered_regions(rects: DataFrame, key: str) -> DataFrame:
+    """(key, regions): the rectangles of each locator as an array in their order. A locator is one selection on one
+    page or image, and its regions are part of its row in the data model."""
+    region = F.struct("region_order", "x", "y", "width", "height")
+    return rects.groupBy(key).agg(F.sort_array(F.collect_list(region)).alias("regions"))
+
+
 def typed_locators(located: DataFrame) -> DataFrame:
-    """Locators as exactly one filled struct (pdf or image) with the codes of broken rules.
+    """Locators as exactly one filled struct (page, region or image), or none with the codes of broken rules.
 
-    located: locator_kind, page_number, space, crop_width, n_regions.
+    located: locator_kind, page_number, space, the seven columns `PDF_GEOMETRY`, width_pixels, height_pixels,
+    orientation_applied, regions (null: none). A whole page has its number only, a region of a page also the space, the
+    geometry the selection was made on and its regions in order, a region of an image the image's size.
     """
-    kind = F.col("locator_kind")
-    image = kind == "image_region"
+    kind, regions = F.col("locator_kind"), F.coalesce("regions", F.array().cast("array<struct<region_order:bigint,x:double,y:double,width:double,height:double>>"))
+    page, region, image = (kind == k for k in ("pdf_page", "pdf_region", "image_region"))
+    none = F.size(regions) == 0
+    missing = F.lit(False)
+    for name in PDF_GEOMETRY:
+        missing = missing | F.col(name).isNull()
     rules = [
-        ((kind == "pdf_page") & (F.col("n_regions") > 0), "page_has_regions"),
-        ((kind != "pdf_page") & (F.col("n_regions") == 0), "regions_missing"),
-        ((kind == "pdf_region") & (F.col("space") != PDF_SPACE), "coordinate_space"),
+        (page & ~none, "page_has_regions"),
+        (~page & none, "regions_missing"),
+        (region & (F.col("space") != PDF_SPACE), "coordinate_space"),
         (image & (F.col("space") != IMAGE_SPACE), "coordinate_space"),
-        ((kind == "pdf_region") & F.col("crop_width").isNull(), "geometry_missing"),
+        (region & missing, "geometry_missing"),
+        (image & ~((F.coalesce("width_pixels", F.lit(0)) > 0) & (F.coalesce("height_pixels", F.lit(0)) > 0)), "geometry_missing"),
+        (image & ~F.coalesce("orientation_applied", F.lit(False)), "not_oriented"),
     ]
-    return (
-        located.withColumn("errors", error_codes(rules))
-        .withColumn("pdf", F.when(~image, F.struct(F.col("page_number").alias("page"), "space", "crop_width")))
-        .withColumn("image", F.when(image, F.struct("space")))
+    checked = located.withColumn("errors", error_codes(rules))
+    good = F.col("errors") == ""
+    geometry = F.struct(
+        F.array(*PDF_GEOMETRY[:4]).alias("crop_box_points"), F.col("rotation_degrees"), F.col("display_width_points"),
+        F.col("display_height_points"),
     )
+    return checked.withColumns({
+        "page": F.when(good & page, F.struct(F.col("page_number"))),
+        "region": F.when(good & region, F.struct("page_number", "space", geometry.alias("geometry"), regions.alias("regions"))),
+        "image": F.when(good & image, F.struct("space", "width_pixels", "height_pixels", regions.alias("regions"))),
+    })
+
+
+def cloned_locators(citations: DataFrame, located: DataFrame, new_id: Column) -> DataFrame:
+    """A copy of the locator of each citation (citation_id, locator_id) under a new id, with its details and regions;
+    `located` has only locators that are sound."""
+    sources = located.withColumnRenamed("locator_id", "source_id")
+    return citations.select("citation_id", F.col("locator_id").alias("source_id")).join(sources, "source_id").withColumn("locator_id", new_id)

@@ -217,24 +217,6 @@ def dq_restore_semantics(t: Tables) -> DataFrame:
     return dq.union_all([assets, history, order])
 
 
-@query(
-    "top_clone_locators",
-    """SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS locator_id,
-      source_id, locator_kind, CAST(generation AS BIGINT) AS generation FROM (
-      SELECT md5('citation:' || c.citation_id) AS h, l.locator_id AS source_id, l.locator_kind, l.generation FROM v_citation c
-      JOIN v_locator l ON l.locator_id = c.locator_id JOIN v_representation r ON r.representation_id = l.representation_id AND r.workspace_id = l.workspace_id
-        AND r.asset_id = l.asset_id AND r.generation = l.generation
-      WHERE l.locator_version = 1 AND CASE WHEN l.locator_kind = 'image_region' THEN r.representation_kind IN ('image_ocr', 'image_caption') ELSE r.representation_kind LIKE 'pdf%' END)""",
-)
-def top_clone_locators(t: Tables) -> DataFrame:
-    broken = dq.locator_snapshots(t("v_locator"), t("v_representation")).select("locator_id")
-    sound = t("v_locator").join(broken, "locator_id", "left_anti")
-    return t("v_citation").select("citation_id", "locator_id").join(sound, "locator_id").select(
-        rc.stable_uuid("citation", F.col("citation_id")).alias("locator_id"), F.col("locator_id").alias("source_id"),
-        "locator_kind", F.col("generation").cast("long").alias("generation"),
-    )
-
-
 @query(
     "top_uncite",
     """SELECT c.citation_id, c.message_id, c.locator_id FROM v_citation c WHERE c.message_id NOT IN (SELECT message_id FROM v_message WHERE status = 'failed')""",
@@ -244,25 +226,95 @@ def top_uncite(t: Tables) -> DataFrame:
     return t("v_citation").join(failed, "message_id", "left_anti").select("citation_id", "message_id", "locator_id")
 
 
-LOCATED = """SELECT locator_id, locator_kind, page_number, CASE WHEN locator_kind = 'image_region' THEN CASE WHEN char_start % 47 = 11 THEN 'other' ELSE 'image_normalized_top_left_v1' END
+LOCATED = """SELECT l.locator_id, locator_kind, page_number, CASE WHEN locator_kind = 'image_region' THEN CASE WHEN char_start % 47 = 11 THEN 'other' ELSE 'image_normalized_top_left_v1' END
     WHEN locator_kind = 'pdf_region' THEN CASE WHEN char_start % 53 = 9 THEN 'other' ELSE 'pdf_normalized_top_left_v1' END END AS space,
-  CASE WHEN locator_kind <> 'pdf_region' OR char_start % 37 = 5 THEN NULL ELSE 612.0 END AS crop_width,
-  CAST(asset_id AS BIGINT) AS region_key FROM v_locator"""
+  CAST(CASE WHEN locator_kind = 'pdf_region' THEN char_start % 5 END AS DOUBLE) AS crop_x0_points,
+  CAST(CASE WHEN locator_kind = 'pdf_region' THEN char_start % 7 END AS DOUBLE) AS crop_y0_points,
+  CAST(CASE WHEN locator_kind <> 'pdf_region' OR char_start % 37 = 5 THEN NULL ELSE 612 END AS DOUBLE) AS crop_x1_points,
+  CAST(CASE WHEN locator_kind = 'pdf_region' THEN 792 END AS DOUBLE) AS crop_y1_points,
+  CAST(CASE WHEN locator_kind <> 'pdf_region' OR char_start % 41 = 6 THEN NULL ELSE char_start % 4 * 90 END AS BIGINT) AS rotation_degrees,
+  CAST(CASE WHEN locator_kind = 'pdf_region' THEN CASE WHEN char_start % 2 = 0 THEN 612 ELSE 792 END END AS DOUBLE) AS display_width_points,
+  CAST(CASE WHEN locator_kind = 'pdf_region' THEN CASE WHEN char_start % 2 = 0 THEN 792 ELSE 612 END END AS DOUBLE) AS display_height_points,
+  CAST(g.width_pixels AS BIGINT) AS width_pixels, CAST(g.height_pixels AS BIGINT) AS height_pixels, g.orientation_applied,
+  CAST(l.asset_id AS BIGINT) AS region_key FROM v_locator l LEFT JOIN v_geometry g ON g.asset_id = l.asset_id AND l.locator_kind = 'image_region'"""
+GEOMETRY = ", ".join(f"d.{c}" for c in dq.PDF_GEOMETRY)
+# Regions in their order, as whole millionths.
+REGION_TEXT = "string_agg(concat_ws(':', CAST(region_order AS VARCHAR), {}), ',' ORDER BY region_order, x, y, width, height)".format(
+    ", ".join(f"CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)" for c in ("x", "y", "width", "height"))
+)
+# The filled struct as text: whole numbers only, so both engines print it alike.
+STRUCT_TEXT = """CASE WHEN e <> '' THEN NULL WHEN d.locator_kind = 'pdf_page' THEN concat('page ', CAST(d.page_number AS VARCHAR))
+  WHEN d.locator_kind = 'pdf_region' THEN concat_ws(' ', 'region', CAST(d.page_number AS VARCHAR), d.space, {}, d.regions)
+  ELSE concat_ws(' ', 'image', d.space, CAST(d.width_pixels AS VARCHAR), CAST(d.height_pixels AS VARCHAR), d.regions) END""".format(
+    ", ".join(f"CAST(CAST(d.{c} AS BIGINT) AS VARCHAR)" for c in dq.PDF_GEOMETRY)
+)
+TYPED = f"""k AS (SELECT locator_id, count(*) AS n, {REGION_TEXT} AS regions FROM v_rect GROUP BY 1),
+    d AS (SELECT d.*, CAST(coalesce(k.n, 0) AS BIGINT) AS n, k.regions, d.locator_kind = 'pdf_region' AND ({" OR ".join(f"d.{c} IS NULL" for c in dq.PDF_GEOMETRY)}) AS bare
+      FROM ({LOCATED}) d LEFT JOIN k ON k.locator_id = d.region_key),
+    typed AS (SELECT d.*, e, {STRUCT_TEXT} AS evidence FROM (SELECT *, {codes(
+      ("locator_kind = 'pdf_page' AND n > 0", "page_has_regions"), ("locator_kind <> 'pdf_page' AND n = 0", "regions_missing"),
+      ("locator_kind = 'pdf_region' AND space <> 'pdf_normalized_top_left_v1'", "coordinate_space"),
+      ("locator_kind = 'image_region' AND space <> 'image_normalized_top_left_v1'", "coordinate_space"), ("bare", "geometry_missing"),
+      ("locator_kind = 'image_region' AND NOT (coalesce(width_pixels, 0) > 0 AND coalesce(height_pixels, 0) > 0)", "geometry_missing"),
+      ("locator_kind = 'image_region' AND NOT coalesce(orientation_applied, false)", "not_oriented"))} AS e FROM d) d)"""
+
+
+def typed(t: Tables) -> DataFrame:
+    regions = dq.ordered_regions(t("v_rect"), "locator_id").withColumnRenamed("locator_id", "region_key")
+    return dq.typed_locators(t.sql(LOCATED).join(regions, "region_key", "left"))
+
+
+def evidence_text() -> F.Column:
+    """The filled struct as text, read from the struct alone."""
+    whole = lambda c: F.col(c).cast("long").cast("string")
+    micro = lambda v: F.round(v * 1_000_000).cast("long").cast("string")
+
+    def regions(name: str) -> F.Column:
+        parts = F.transform(F.col(f"{name}.regions"), lambda r: F.concat_ws(
+            ":", r["region_order"].cast("string"), *[micro(r[c]) for c in ("x", "y", "width", "height")]
+        ))
+        return F.array_join(parts, ",")
+
+    box = [F.col("region.geometry.crop_box_points")[i].cast("long").cast("string") for i in range(4)]
+    rest = [whole(f"region.geometry.{c}") for c in dq.PDF_GEOMETRY[4:]]
+    return (
+        F.when(F.col("page").isNotNull(), F.concat(F.lit("page "), whole("page.page_number")))
+        .when(F.col("region").isNotNull(), F.concat_ws(
+            " ", F.lit("region"), whole("region.page_number"), F.col("region.space"), *box, *rest, regions("region")
+        ))
+        .when(F.col("image").isNotNull(), F.concat_ws(
+            " ", F.lit("image"), F.col("image.space"), whole("image.width_pixels"), whole("image.height_pixels"), regions("image")
+        ))
+    )
 
 
 @query(
     "prj_evidence_struct",
-    f"""WITH k AS (SELECT locator_id, count(*) AS n FROM v_rect GROUP BY 1)
-    SELECT d.locator_id, {codes(("d.locator_kind = 'pdf_page' AND coalesce(k.n, 0) > 0", "page_has_regions"), ("d.locator_kind <> 'pdf_page' AND coalesce(k.n, 0) = 0", "regions_missing"),
-      ("d.locator_kind = 'pdf_region' AND d.space <> 'pdf_normalized_top_left_v1'", "coordinate_space"), ("d.locator_kind = 'image_region' AND d.space <> 'image_normalized_top_left_v1'", "coordinate_space"),
-      ("d.locator_kind = 'pdf_region' AND d.crop_width IS NULL", "geometry_missing"))} AS errors,
-      CAST(CASE WHEN d.locator_kind <> 'image_region' THEN d.page_number END AS BIGINT) AS pdf_page, CAST(coalesce(k.n, 0) AS BIGINT) AS n_regions
-    FROM ({LOCATED}) d LEFT JOIN k ON k.locator_id = d.region_key""",
+    f"WITH {TYPED} SELECT locator_id, e AS errors, n AS n_regions, md5(evidence) AS evidence_hash FROM typed",
 )
 def prj_evidence_struct(t: Tables) -> DataFrame:
-    counts = t("v_rect").groupBy(F.col("locator_id").alias("region_key")).agg(F.count(F.lit(1)).alias("n_regions"))
-    located = t.sql(LOCATED).join(counts, "region_key", "left").fillna(0, ["n_regions"])
-    typed = dq.typed_locators(located)
-    return typed.select(
-        "locator_id", "errors", F.col("pdf.page").cast("long").alias("pdf_page"), F.col("n_regions").cast("long").alias("n_regions")
+    return typed(t).select(
+        "locator_id", "errors", F.coalesce(F.size("regions"), F.lit(0)).cast("long").alias("n_regions"), F.md5(evidence_text()).alias("evidence_hash")
+    )
+
+
+@query(
+    "top_clone_locators",
+    f"""WITH {TYPED} SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS locator_id,
+      source_id, locator_kind, CAST(generation AS BIGINT) AS generation, evidence_hash FROM (
+      SELECT md5('citation:' || c.citation_id) AS h, l.locator_id AS source_id, l.locator_kind, l.generation, md5(d.evidence) AS evidence_hash FROM v_citation c
+      JOIN v_locator l ON l.locator_id = c.locator_id JOIN typed d ON d.locator_id = l.locator_id AND d.e = ''
+      JOIN v_representation r ON r.representation_id = l.representation_id AND r.workspace_id = l.workspace_id
+        AND r.asset_id = l.asset_id AND r.generation = l.generation
+      WHERE l.locator_version = 1 AND CASE WHEN l.locator_kind = 'image_region' THEN r.representation_kind IN ('image_ocr', 'image_caption') ELSE r.representation_kind LIKE 'pdf%' END)""",
+)
+def top_clone_locators(t: Tables) -> DataFrame:
+    """Copies of what citations point to: a sound locator with its details and regions under a new id."""
+    broken = dq.locator_snapshots(t("v_locator"), t("v_representation")).select("locator_id")
+    details = typed(t).where("errors = ''").select("locator_id", "page", "region", "image")
+    sound = t("v_locator").join(broken, "locator_id", "left_anti").select("locator_id", "locator_kind", "generation").join(details, "locator_id")
+    copies = dq.cloned_locators(t("v_citation"), sound, rc.stable_uuid("citation", F.col("citation_id")))
+    return copies.select(
+        "locator_id", "source_id", "locator_kind", F.col("generation").cast("long").alias("generation"),
+        F.md5(evidence_text()).alias("evidence_hash"),
     )
