@@ -79,6 +79,13 @@ def test_pdf_units_by_kind(spark):
     assert got == {(1, "pdf_text_chunk", "head\n         \ntail", 0), (1, "pdf_table", "| T |", None), (2, "pdf_ocr_region", "seen", 0), (3, "pdf_text_chunk", "seen unseen", 0)}
 
 
+def test_questions_are_embedded_behind_their_instruction(spark):
+    queries = spark.createDataFrame([(1, "what is it"), (2, None)], "query_id int, text string")
+    got = {r["query_id"]: r["embedding"] for r in ub.embed_queries(queries, ub.hashing_embedder(16), 16, "Find passages").collect()}
+    want = ub.hashing_embedder(16)(["Instruct: Find passages\nQuery: what is it", "Instruct: Find passages\nQuery: "])
+    assert got == {"1": pytest.approx(want[0]), "2": pytest.approx(want[1])}
+
+
 def test_embedder_contract(spark):
     units = spark.createDataFrame([("u", "a b")], "unit_id string, text string")
     assert len(ub.embed(units, ub.hashing_embedder(8), 8).first()["embedding"]) == 8

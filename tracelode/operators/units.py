@@ -111,6 +111,9 @@ def representations(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
+#: What stands before the text of a question (fixed value).
+QUERY_FORM = "Instruct: {instruction}\nQuery: "
+
 
 def hashing_embedder(dimensions: int) -> Embedder:
     """Deterministic stand-in for a model: signed word hashes, unit length."""
@@ -147,6 +150,14 @@ def embed(units: DataFrame, embedder: Embedder, dimensions: int, batch: int = EM
     return units.select("unit_id", "text").mapInPandas(run, schema)
 
 
+def embed_queries(queries: DataFrame, embedder: Embedder, dimensions: int, instruction: str, batch: int = EMBED_BATCH) -> DataFrame:
+    """(query_id, embedding): questions are embedded behind the instruction that tells the model they are such; texts of
+    units have none."""
+    asked = F.concat(F.lit(QUERY_FORM.format(instruction=instruction)), F.coalesce("text", F.lit("")))
+    rows = queries.select(F.col("query_id").cast("string").alias("unit_id"), asked.alias("text"))
+    return embed(rows, embedder, dimensions, batch).withColumnRenamed("unit_id", "query_id")
+
+
 CONFIG = ["embedding_space", "provider", "model", "version"]
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -413,6 +414,7 @@ _STORED = {
     "v_mixed_postings", "v_vector_slots", "v_vector_blocks",
 }
 _written: dict[tuple[str, str, str, str], str] = {}
+_building = threading.RLock()
 
 
 def input_version(spark: SparkSession, folder: str) -> str:
@@ -443,7 +445,9 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._frames:
-            self._frames[name] = self._build(name)
+            with _building:  # queries may run side by side; a stored table is written once
+                if name not in self._frames:
+                    self._frames[name] = self._build(name)
         return self._frames[name]
 
     def _build(self, name: str) -> DataFrame:
