@@ -167,7 +167,7 @@ def asked_terms(queries: DataFrame, terms: Column) -> DataFrame:
 
 
 def substring_runs(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """(workspace_id, term, run): runs of the workspace's vocabulary that contain a term.
+    """(workspace_id, run, terms): runs of the workspace's vocabulary that contain terms, each once with all of them.
 
     Terms come ahead of the runs in sorted partitions, once per part of a vocabulary; an automaton over up to
     `TERM_BLOCK` terms finds them all in one pass over a run.
@@ -199,11 +199,13 @@ def substring_runs(asked: DataFrame, rows: DataFrame) -> DataFrame:
                     made.make_automaton()
                     automata.append(made)
                 else:
-                    found += [(space, t, run) for a in automata for t in {t for _, t in a.iter(run)}]
-            yield pd.DataFrame(found, columns=["workspace_id", "term", "run"])
+                    inside = {t for a in automata for _, t in a.iter(run)}
+                    if inside:
+                        found.append((space, run, list(inside)))
+            yield pd.DataFrame(found, columns=["workspace_id", "run", "terms"])
 
     dealt = lists.unionByName(runs).repartition("workspace_id", "part").sortWithinPartitions("workspace_id", "part", "kind")
-    return dealt.mapInPandas(find, "workspace_id string, term string, run string")
+    return dealt.mapInPandas(find, "workspace_id string, run string, terms array<string>")
 
 
 class Row:
@@ -213,30 +215,55 @@ class Row:
         self.term, self.field, self.queries = row["term"], row["field"], row["queries"]
         self.idf, self.avg_len, self.max_tf, self.min_len = row["idf"], row["avg_len"], row["max_tf"], row["min_len"]
         self.slot, self.tf, self.length, self.page, self.place, self.asset = np.frombuffer(row["units"], np.int32).reshape(-1, 6).T
-        self.positions = row["positions"]
+        self.positions, self.terms = row["positions"], row["terms"]
+
+
+class Found:
+    """A term of questions and the slots of the units that have it in one of their runs."""
+
+    field = "run"
+
+    def __init__(self, term: str, queries: list[dict], slot: np.ndarray) -> None:
+        self.term, self.queries, self.slot = term, queries, slot
 
 
 class Block:
     """The rows of a block of units that a block of questions asks for, and the scopes of restricted questions."""
 
     def __init__(self) -> None:
-        self.rows: list[Row] = []
+        self.rows: list[Row | Found] = []
+        self.runs: list[Row] = []
+        self.asks: dict[str, list[dict]] = {}
         self.scopes: dict[str, np.ndarray] = {}
 
     def add(self, row: dict) -> None:
         if row["field"] == "scope":
             bits = np.unpackbits(np.frombuffer(row["units"], np.uint8), bitorder="little")
             self.scopes[row["term"]] = np.flatnonzero(bits) + row["df"]
+        elif row["field"] == "ask":
+            self.asks[row["term"]] = row["queries"]
+        elif row["field"] == "run":
+            self.runs.append(Row(row))
         else:
             self.rows.append(Row(row))
 
     def close(self) -> None:
-        self.n = max((int(r.slot.max()) for r in self.rows), default=-1) + 1
+        self.n = max((int(r.slot.max()) for r in [*self.rows, *self.runs]), default=-1) + 1
         for name in ("page", "place", "asset"):
             codes = np.zeros(self.n, np.int32)
-            for row in self.rows:
+            for row in (*self.rows, *self.runs):
                 codes[row.slot] = getattr(row, name)
             setattr(self, name, codes)
+        # a run may hold many terms and a term be in many runs; both meet in one mark per term and slot
+        marks: dict[str, np.ndarray] = {}
+        for row in self.runs:
+            for term in row.terms:
+                if term in self.asks:
+                    if term not in marks:
+                        marks[term] = np.zeros(self.n, bool)
+                    marks[term][row.slot] = True
+        self.rows += [Found(term, self.asks[term], np.flatnonzero(mark)) for term, mark in marks.items()]
+        self.runs = []
 
     def questions(self) -> Iterator[tuple[str, int, list[Row], np.ndarray | None]]:
         """(question, number of its terms, rows of its terms, which slots it may see; None: all)."""
@@ -254,12 +281,15 @@ class Block:
 
 
 _MET = [
-    "workspace_id", "part", "block", "field", "term", "df", "idf", "avg_len", "max_tf", "min_len", "units", "positions", "queries",
+    "workspace_id", "part", "block", "field", "term", "df", "idf", "avg_len", "max_tf", "min_len", "units", "positions", "queries", "terms",
 ]
 
 
-def _with_questions(found: DataFrame, asked: DataFrame, weights: bool, chosen: DataFrame | None, placed: DataFrame) -> DataFrame:
-    """Index rows next to the questions that ask their term, in blocks of about `BLOCK_QUERIES` questions; with
+def _with_questions(
+    found: DataFrame, asked: DataFrame, weights: bool, chosen: DataFrame | None, placed: DataFrame, runs: DataFrame | None = None
+) -> DataFrame:
+    """Index rows next to the questions that ask their term, in blocks of about `BLOCK_QUERIES` questions; with `runs`
+    also those rows, once for each block of questions, and the terms that are sought in them; with
     `chosen` (query_id, asset_id) also a bitmap of the assets of each restricted question in each block."""
     sizes = asked.groupBy("workspace_id").agg(F.ceil(F.count_distinct("query_id") / BLOCK_QUERIES).alias("_n"))
     asked = asked.join(sizes, "workspace_id").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("_n")))
@@ -268,7 +298,12 @@ def _with_questions(found: DataFrame, asked: DataFrame, weights: bool, chosen: D
     grouped = asked.groupBy("workspace_id", "term", "part", "idf", "avg_len").agg(
         F.collect_list(F.struct("query_id", "n_terms", "restricted")).alias("queries")
     )
-    met = found.join(grouped, ["workspace_id", "term"]).select(*_MET)
+    met = found.withColumn("terms", F.lit(None).cast("array<string>")).join(grouped, ["workspace_id", "term"]).select(*_MET)
+    if runs is not None:
+        parts = asked.select("workspace_id", "part").distinct()
+        blocks = placed.select("workspace_id", "block").distinct()
+        asks = grouped.join(blocks, "workspace_id").select("workspace_id", "part", "block", F.lit("ask").alias("field"), "term", "queries")
+        met = met.unionByName(asks, allowMissingColumns=True).unionByName(runs.join(parts, "workspace_id"), allowMissingColumns=True)
     if chosen is None:
         return met
     number = F.col("asset_no") + 1
@@ -312,13 +347,13 @@ def _scored(met: DataFrame, score: Callable[[Block, dict[str, float]], Iterator[
             for row in batch.to_pylist():
                 at = (row["workspace_id"], row["part"], row["block"])
                 if at != now:
-                    if held.rows:
+                    if held.rows or held.runs:
                         yield from done()
                     if now is None or at[:2] != now[:2]:
                         reached = {}
                     now, held = at, Block()
                 held.add(row)
-        if held.rows:
+        if held.rows or held.runs:
             yield from done()
 
     dealt = met.repartition("workspace_id", "part", "block").sortWithinPartitions("workspace_id", "part", "block")
@@ -416,10 +451,10 @@ def page_best(hits: DataFrame, placed: DataFrame, k: int | None) -> DataFrame:
 
 
 def _substring_rows(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """Index rows of the runs that contain a term, under that term."""
-    pairs = substring_runs(asked, rows)
-    runs = rows.where("field = 'run'").withColumnRenamed("term", "run")
-    return runs.join(pairs, ["workspace_id", "run"]).drop("run")
+    """Index rows of the runs that contain terms, each once with all of them."""
+    runs = rows.where("field = 'run'").select("workspace_id", "block", "field", "term", "max_tf", "min_len", "units")
+    found = substring_runs(asked, rows).withColumnRenamed("run", "term")
+    return runs.join(found, ["workspace_id", "term"])
 
 
 def _shares(rows: list[Row], seen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -450,7 +485,7 @@ def simple_hits(queries: DataFrame, rows: DataFrame, placed: DataFrame, k: int,
                 full = slot[matched == size]
                 yield query, full, np.ones(len(full)), True
 
-    hits = _scored(_with_questions(_substring_rows(asked, rows), asked, False, chosen, placed), score)
+    hits = _scored(_with_questions(rows.limit(0), asked, False, chosen, placed, _substring_rows(asked, rows)), score)
     hits = checkpoint(hits)
     folded = queries.select("query_id", tx.casefold(F.col("text")).alias("_question"))
     whole = hits.where("whole").join(folded, "query_id").join(
@@ -495,8 +530,6 @@ def latin_hits(
     share of its words found as substrings, 1 if it has one word, plus the density of covers."""
     words = asked_terms(queries, tx.latin_words(F.col("text")))
     tokens = rows.where("field = 'word'").join(words.select("workspace_id", "term").distinct(), ["workspace_id", "term"], "left_semi")
-    found = tokens.unionByName(_substring_rows(words, rows).select(tokens.columns))
-
     def score(held: Block, _: dict[str, float]) -> Iterator[tuple]:
         for r in held.rows:
             if r.field == "word":
@@ -520,7 +553,7 @@ def latin_hits(
             best, value = _best(slot, value, held.place[slot], slot, k)
             yield query, best, value, False
 
-    return _scored(_with_questions(found, words, False, chosen, placed), score).drop("whole")
+    return _scored(_with_questions(tokens, words, False, chosen, placed, _substring_rows(words, rows)), score).drop("whole")
 
 
 def match_counts(queries: DataFrame, rows: DataFrame) -> DataFrame:
