@@ -27,3 +27,9 @@ def test_documents_in_parts_are_ingested(spark, tmp_path):
     found = QUERIES["st_incremental_ingest"](spark, in_parts(spark, tmp_path))
     rows = found.select("asset_id", "n_units", "n_chars", "embedded").collect()
     assert sorted(map(tuple, rows)) == sorted(expected("st_incremental_ingest"))
+
+
+def test_conversations_in_parts_are_assembled(spark, tmp_path):
+    found = QUERIES["st_answer_assembly"](spark, in_parts(spark, tmp_path))
+    rows = found.select("message_id", "status", "answer_hash").collect()
+    assert rows and sorted(map(tuple, rows)) == sorted(expected("st_answer_assembly"))
