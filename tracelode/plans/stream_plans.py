@@ -76,8 +76,9 @@ def st_lease_timeout(t: Tables) -> DataFrame:
     return st.recover(expired.unionByName(unstarted), t.sql(STREAM_ASSETS))
 
 
-# Each assistant turn arrives as a start, one delta per half of its text, and mostly an end.
-REPLY = """SELECT conv_id * 1000 + turn AS message_id, e.event_order, e.name, e.data,
+# Each assistant turn arrives as a start, one delta per half of its text, and mostly an end. Threads of over 1,000 turns share
+# message numbers with the next one, so the stream is keyed by both.
+REPLY = """SELECT concat(conv_id, ':', turn) AS message_id, e.event_order, e.name, e.data,
   timestamp_micros((conv_id * 7200 + turn * 60 + e.event_order) * 1000000) AS ts
   FROM {conversations} LATERAL VIEW explode(array(
     named_struct('event_order', 0, 'name', 'meta', 'data', '{{}}'),
@@ -97,7 +98,8 @@ REPLY = """SELECT conv_id * 1000 + turn AS message_id, e.event_order, e.name, e.
 def st_answer_assembly(t: Tables) -> DataFrame:
     events = t.spark.sql(REPLY, conversations=stream_of(t, "conversations"))
     ended = st.drain_append(st.answers(events, "0 seconds"), "answers")
-    return ended.select("message_id", "status", F.md5("answer").alias("answer_hash"))
+    number = F.split_part("message_id", F.lit(":"), F.lit(1)).cast("long") * 1000 + F.split_part("message_id", F.lit(":"), F.lit(2)).cast("long")
+    return ended.select(number.alias("message_id"), "status", F.md5("answer").alias("answer_hash"))
 
 
 @query(
