@@ -29,7 +29,7 @@ def main() -> None:
     started = time.perf_counter()
     t = tables(spark, folder)
     for name in (
-        "v_unit", "v_locator", "v_embedding", "v_visible", "v_dense", "v_slots", "v_postings", "v_vector_slots", "v_vector_blocks",
+        "v_unit", "v_locator", "v_embedding", "v_visible", "v_dense", "v_slots", "v_postings", "v_runs", "v_vector_slots", "v_vector_blocks",
     ):
         t(name)
     times["build_corpus"] = round(time.perf_counter() - started, 3)

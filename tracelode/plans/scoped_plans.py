@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelode.operators import dense, fusion
 from tracelode.operators import postings as pb
 from tracelode.plans.dense_plans import DIMS, K, rank_long, stored
-from tracelode.plans.lexical_plans import COVERS, SHARE, top_ranked
+from tracelode.plans.lexical_plans import COVERS, SHARE, top_ranked, words_and_runs
 from tracelode.plans.registry import query
 from tracelode.sources.views import Tables
 
@@ -57,7 +57,7 @@ def top_lexical_scoped(t: Tables) -> DataFrame:
 
 def scoped_lexical(t: Tables, queries: DataFrame, number: str, k: int) -> DataFrame:
     asked, chosen = chosen_assets(queries, t("v_visible"), number)
-    return pb.top_units(pb.simple_hits(asked, t("v_postings"), t("v_slots"), k, chosen), t("v_slots"), k)
+    return pb.top_units(pb.simple_hits(asked, t("v_runs"), t("v_slots"), k, chosen), t("v_slots"), k)
 
 
 @query(
@@ -67,7 +67,7 @@ def scoped_lexical(t: Tables, queries: DataFrame, number: str, k: int) -> DataFr
 )
 def top_latin_scoped(t: Tables) -> DataFrame:
     asked, chosen = chosen_assets(t("v_query"), t("v_visible"), "item_id")
-    hits = pb.latin_hits(asked, t("v_postings"), t("v_slots"), K, chosen=chosen)
+    hits = pb.latin_hits(asked, words_and_runs(t), t("v_slots"), K, chosen=chosen)
     return top_ranked(t, hits, K)
 
 
