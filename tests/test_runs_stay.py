@@ -22,6 +22,10 @@ def test_hybrid_search_moves_no_index(plain):  # noqa: F811
     assert not heavy(lp.hybrid_lexical(plain, 10))
 
 
+def test_evidence_moves_no_texts(plain):  # noqa: F811
+    assert not heavy(lp.evidence(plain))
+
+
 def brute(queries, texts):
     out = {}
     for q, asked in queries.items():
